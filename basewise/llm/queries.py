@@ -3,18 +3,39 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality_rules, sharding
+from . import packing, quality_rules, sequences, sharding, viterbi, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc.archive_pages(_table(spark, sf_dir, "pages"))
+    return captures.select(
+        F.col("metadata.page_id").alias("page_id"),
+        F.coalesce("response.payload_bytes", "metadata.payload_bytes").alias("payload_bytes"),
+        F.col("response.payload_digest").alias("payload_digest"),
+        F.col("response.record_type").alias("record_type"),
+        F.col("metadata.refers_to").cast("long").alias("refers_to"),
+        F.col("response.target_uri").alias("target_uri"),
+    )
+
+
 def op4_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"))
 
 
+def op7_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.arrow_sequences(_table(spark, sf_dir, "documents"))
+
+
+def op8_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_llr_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = _table(spark, sf_dir, "labels").where("quality = 1")
     scored = quality_rules.score_quality(_table(spark, sf_dir, "documents"), trusted)
@@ -22,6 +43,10 @@ def op9_llr_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", *(f"quality.{c}" for c in names))
 
 
-QUERIES = {f.__name__: f for f in (op4_minimax_shards, op9_llr_quality)}
+def op10_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viterbi.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op2_warc_captures, op4_minimax_shards, op7_arrow_sequences, op8_residual_packing, op9_llr_quality, op10_viterbi_counts)}
 
 ORACLES: dict[str, str] = {}
