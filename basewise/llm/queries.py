@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_rules, sequences, sharding, viterbi, warc
+from . import packing, quality_rules, sequences, sharding, simhash, viterbi, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op4_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"))
 
 
+def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.arrow_sequences(_table(spark, sf_dir, "documents"))
 
@@ -47,6 +52,6 @@ def op10_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viterbi.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc_captures, op4_minimax_shards, op7_arrow_sequences, op8_residual_packing, op9_llr_quality, op10_viterbi_counts)}
+QUERIES = {f.__name__: f for f in (op2_warc_captures, op4_minimax_shards, op6_simhash_components, op7_arrow_sequences, op8_residual_packing, op9_llr_quality, op10_viterbi_counts)}
 
 ORACLES: dict[str, str] = {}
