@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, passages, quality_rules, sequences, sharding, simhash, viterbi, warc
+from . import decontamination, packing, passages, quality_rules, sequences, sharding, simhash, site_quality, viterbi, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,12 @@ def op2_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no url: their source stands for the host and the language for the path inside it."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return site_quality.score_sites(docs, labels, F.col("source"), F.col("lang"))
+
+
 def op4_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"))
 
@@ -60,6 +66,6 @@ def op10_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viterbi.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_template_decontamination, op2_warc_captures, op4_minimax_shards, op5_passage_chains, op6_simhash_components, op7_arrow_sequences, op8_residual_packing, op9_llr_quality, op10_viterbi_counts)}
+QUERIES = {f.__name__: f for f in (op1_template_decontamination, op2_warc_captures, op3_site_quality, op4_minimax_shards, op5_passage_chains, op6_simhash_components, op7_arrow_sequences, op8_residual_packing, op9_llr_quality, op10_viterbi_counts)}
 
 ORACLES: dict[str, str] = {}
