@@ -24,7 +24,6 @@ def op2_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("response.payload_digest").alias("payload_digest"),
         F.col("response.record_type").alias("record_type"),
         F.col("metadata.refers_to").cast("long").alias("refers_to"),
-        F.col("response.target_uri").alias("target_uri"),
     )
 
 
@@ -68,4 +67,12 @@ def op10_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_template_decontamination, op2_warc_captures, op3_site_quality, op4_minimax_shards, op5_passage_chains, op6_simhash_components, op7_arrow_sequences, op8_residual_packing, op9_llr_quality, op10_viterbi_counts)}
 
-ORACLES: dict[str, str] = {}
+# Base32 of a SHA-1: each 5 hexadecimal digits are 4 characters.
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(x, {5 * g + 1}, 5) AS BIGINT) >> {shift}) & 31 AS INTEGER) + 1, 1)" for g in range(8) for shift in (15, 10, 5, 0)
+)
+
+ORACLES: dict[str, str] = {
+    "op2_warc_captures": "WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages), m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM p) "
+    f"SELECT page_id, strlen(h) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < top THEN top END AS refers_to FROM m"
+}

@@ -60,7 +60,8 @@ def choose_responses(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> Da
     slim = keyed.select("key", "page_id", "url", F.unhex(sha).alias("sha"), F.octet_length(F.coalesce("html", F.lit(""))).alias("n")).where(F.col("n") >= min_bytes)
     rank = F.struct(F.col("page_id").isNotNull().alias("given"), "page_id", F.coalesce("url", F.lit("")).alias("url"), "key")
     best = slim.groupBy("sha", "n").agg(F.max(rank).alias("first"), F.min("key").alias("least"), F.max("key").alias("most")).where("least != most")
-    best = best.select(F.col("sha").alias("_sha"), F.col("n").alias("_n"), "first")
+    # written, so that the join below shuffles both sides for itself: only then can a hot digest be split
+    best = staged(best.select(F.col("sha").alias("_sha"), F.col("n").alias("_n"), "first"), "first-copies")
     revisits = slim.join(best, (F.col("sha") == F.col("_sha")) & (F.col("n") == F.col("_n"))).where(F.col("key") != F.col("first.key"))
     decided = revisits.groupBy(F.col("key").alias("_key")).agg(F.first("first").alias("first"))
     return keyed.join(decided, F.col("key") == F.col("_key"), "left").drop("_key")
@@ -226,7 +227,7 @@ def read_records(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
-    return manifest.select("path").repartition("path").mapInArrow(read, RECORD_SCHEMA)
+    return manifest.select("path").repartition(max(1, manifest.count()), "path").mapInArrow(read, RECORD_SCHEMA)
 
 
 def _number(text: str | None) -> int | None:
