@@ -41,9 +41,12 @@ def auto_cutoff(table: DataFrame, length: int = LENGTH, floor: int = 2) -> Cutof
     The smoothed curve's first valley before its first peak, but no further than just past the count that a
     quarter of all occurrences stay below, and at least ``floor``. Without a rise the floor is the cutoff.
     """
-    h = [0] * (length + 2)
-    for r in table.limit(length + 1).collect():
-        h[int(r["count"])] = r["n_kmers"]
+    return cutoff_of({int(r["count"]): r["n_kmers"] for r in table.limit(length + 1).collect()}, length, floor)
+
+
+def cutoff_of(bins: dict[int, int], length: int = LENGTH, floor: int = 2) -> Cutoff:
+    """The same from the bins in memory."""
+    h = [bins.get(i, 0) for i in range(length + 2)]
     smooth = [0] * (length + 1)
     smooth[1] = int(0.6 * h[1] + 0.4 * h[2])
     for i in range(2, length):
@@ -69,4 +72,7 @@ def auto_cutoff(table: DataFrame, length: int = LENGTH, floor: int = 2) -> Cutof
 def bank_cutoffs(long_counts: DataFrame, banks: list[str], length: int = LENGTH, floor: int = 3) -> dict[str, int]:
     """The automatic cutoff of each bank, as thresholds for solidity rules. One job; banks x length rows at most."""
     bins = long_counts.groupBy("bank", F.least("n", F.lit(length)).alias("count")).agg(F.count("*").alias("n_kmers"))
-    return {b: auto_cutoff(bins.where(F.col("bank") == b), length, floor).cutoff for b in banks}
+    found: dict[str, dict[int, int]] = {b: {} for b in banks}
+    for r in bins.where(F.col("bank").isin(banks)).collect():
+        found[r["bank"]][int(r["count"])] = r["n_kmers"]
+    return {b: cutoff_of(h, length, floor).cutoff for b, h in found.items()}

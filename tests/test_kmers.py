@@ -282,3 +282,19 @@ def test_abundance_scale(spark):
 def test_dense_ids(spark):
     t = spark.createDataFrame([(c,) for c in "dbaacb"], "k string")
     assert {r.k: r.id for r in sketches.dense_ids(t, "k").collect()} == {"a": 0, "b": 1, "c": 2, "d": 3}
+
+
+def test_whole_run(spark, reads):
+    from basewise.plans.run import run
+
+    seqs = banks.from_strings(spark, reads).withColumn("sample", F.when(F.col("seq_id") < 20, "x").otherwise("y"))
+    r = run(seqs, 4, bank="sample", kind="all", thresholds=[2], processors=(lambda v: v.where("kmer != 'AAAA'"),))
+    want = {}
+    for name, part in (("x", reads[:20]), ("y", reads[20:])):
+        for km, n in brute([s.upper() for s in part], 4).items():
+            want.setdefault(km, {})[name] = n
+    assert {x.kmer for x in r.solid.collect()} == {km for km, n in want.items() if min(n.get("x", 0), n.get("y", 0)) >= 2 and km != "AAAA"}
+    assert r.properties["banks"] == ["x", "y"] and r.properties["n_distinct"] == len(want)
+    assert run(seqs, 4).properties["thresholds"][0] >= 3
+    cut = histogram.bank_cutoffs(counting.count_banks(seqs, 4, "sample"), ["x", "y"])
+    assert set(cut) == {"x", "y"} and min(cut.values()) >= 3
