@@ -64,7 +64,8 @@ def choose_responses(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> Da
     best = staged(best.select(F.col("sha").alias("_sha"), F.col("n").alias("_n"), "first"), "first-copies")
     revisits = slim.join(best, (F.col("sha") == F.col("_sha")) & (F.col("n") == F.col("_n"))).where(F.col("key") != F.col("first.key"))
     decided = revisits.groupBy(F.col("key").alias("_key")).agg(F.first("first").alias("first"))
-    return keyed.join(decided, F.col("key") == F.col("_key"), "left").drop("_key")
+    # the html is shuffled once, by the key that the writer needs side by side and the join uses
+    return keyed.repartition("key").join(decided, F.col("key") == F.col("_key"), "left").drop("_key").sortWithinPartitions("key")
 
 
 def _record(kind: str, record: str, headers: dict[str, object], block: bytes) -> bytes:
@@ -139,7 +140,7 @@ def write_archives(pages: DataFrame, folder: str, file_bytes: int = 64 << 20, mi
             sink.close()
             yield pa.RecordBatch.from_pylist([{"path": f"{folder}/{name}", "records": records}])
 
-    return staged(choose_responses(pages, min_bytes).repartition("key").sortWithinPartitions("key").mapInArrow(write, "path string, records long"), "archives")
+    return staged(choose_responses(pages, min_bytes).mapInArrow(write, "path string, records long"), "archives")
 
 
 def parse_records(stream, buffer: int = 1 << 20) -> Iterator[tuple[dict[str, list[str]], bytes]]:
