@@ -142,7 +142,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files that the manifest names."""
     before = F.sum("n_tokens").over(Window.orderBy("part")) - F.col("n_tokens")  # one row per file
     # one file to a task, as far as hashing deals them evenly
-    todo = manifest.select("path", before.alias("before")).repartition("path")
+    todo = manifest.select("path", before.alias("before")).repartition(max(1, manifest.count()), "path")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
