@@ -9,6 +9,20 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make=dict):
+    """What a worker process keeps between tasks under ``name``; whatever it kept under another name goes.
+
+    Workers outlive the stages of a pipeline, so that their memos would otherwise add up.
+    """
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
 #: Word separators: space and the ASCII controls from tab to carriage return.
 SEPARATORS = r"[\x20\x09-\x0D]+"
 

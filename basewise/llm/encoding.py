@@ -10,18 +10,22 @@ whole.
 from __future__ import annotations
 
 import os
+import struct
 from collections.abc import Iterable
 
 import numpy as np
 
-#: Pieces that a worker's memo holds before it is emptied: about 100 MB at most.
-MEMO = 300_000
+from .common import kept
+
+#: Pieces that a worker's memo holds before it is emptied: about 150 MB at most.
+MEMO = 600_000
+#: Marks that make a pre-token of their own behind letters.
+MARKS = ".,;:!?%$#&*|()-"
+#: How byte-level vocabularies spell the bytes that are no printable Latin-1 characters.
+BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 #: Appended to each document.
 END_ID = 2
 
-_encoders: dict[str, Encoder] = {}
-
-
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -36,38 +40,46 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.memo: dict[str, bytes] = {}
-        self.marks = dict(zip(",.;:?!", self.whole(list(",.;:?!")), strict=True))
+        self.tails: dict[str, bytes] = {}
+        self.newline = struct.pack("<I", self.tokenizer.token_to_id("Ċ"))
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def tail(self, marks: str) -> bytes:
+        if marks not in self.tails:
+            self.tails[marks] = self.whole([marks])[0]
+        return self.tails[marks]
+
     def learn(self, pieces: set[str]) -> None:
         """Put the ids of " " + piece into the memo; of pieces that begin with a newline, their own ids."""
-        fresh = pieces.difference(self.memo)
-        if len(self.memo) + len(fresh) > MEMO:
-            self.memo.clear()
+        memo = self.memo
+        fresh = pieces.difference(memo)
+        if len(memo) + len(fresh) > MEMO:
+            memo.clear()
             fresh = pieces
-        # letters and one mark are two pre-tokens: only the letters need the library
-        marked = [p for p in fresh if p[-1:] in self.marks and p[p[0] == "\n" : -1].isalpha()]
-        rest = fresh.difference(marked).union(p[:-1] for p in marked).difference(self.memo)
-        plain, other = [], []
-        for p in rest:
-            own = p[1:] if p[:1] == "\n" else " " + p
-            (plain if own[own[:1] == " " :].split() == [own[own[:1] == " " :]] else other).append((p, own))
-        new = self.tokenizer.token_to_id("Ċ")
-        lead = np.array([new], dtype="<u4").tobytes()
-        for (p, _), ids in zip(other, self.whole([own for _, own in other]), strict=True):
-            self.memo[p] = lead + ids if p[:1] == "\n" else ids
-        for at in range(0, len(plain), 512):  # as lines of one text: each newline is a token of its own
-            part = plain[at : at + 512]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(own for _, own in part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.flatnonzero(ids == new)
-            raw, starts = ids.tobytes(), np.concatenate([[0], ends + 1]) * 4
-            stops = np.concatenate([ends, [len(ids)]]) * 4
-            for (p, _), x, y in zip(part, starts.tolist(), stops.tolist(), strict=True):
-                self.memo[p] = lead + raw[x:y] if p[:1] == "\n" else raw[x:y]
-        for p in marked:
-            self.memo[p] = self.memo[p[:-1]] + self.marks[p[-1]]
+        tokenize, pack, odd = self.tokenizer.model.tokenize, struct.pack, []
+        for p in fresh:
+            head = p[:1] == "\n"
+            core = p[1:] if head else p
+            word = core.rstrip(MARKS)
+            if not word.isalpha():
+                odd.append(p)
+                continue
+            # letters are one pre-token, with the space before them, and the marks behind are another
+            cut = len(core) - len(word)
+            base = p[:-cut] if cut else p
+            ids = memo.get(base)
+            if ids is None:
+                spelt = word if word.isascii() else word.encode().decode("latin-1").translate(BYTES)
+                found = [t.id for t in tokenize(spelt if head else "Ġ" + spelt)]
+                ids = pack(f"<{len(found)}I", *found)
+                ids = memo[base] = self.newline + ids if head else ids
+            if cut:
+                memo[p] = ids + self.tail(core[-cut:])
+        own = [p[1:] if p[:1] == "\n" else " " + p for p in odd]
+        for p, ids in zip(odd, self.whole(own), strict=True):
+            memo[p] = self.newline + ids if p[:1] == "\n" else ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers, without an end id."""
@@ -93,9 +105,7 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return kept(f"encoder {path}", lambda: Encoder(path))
 
 
 def encoded(path: str, texts: Iterable[str | None], chars: int = 4_000_000) -> Iterable[bytes]:
