@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import kept, staged
 
 WINDOW = 5
 MIN_SIMILARITY = 0.8
@@ -43,10 +43,9 @@ UNITS = frozenset(
     "c f k °c °f degree degrees percent % dollar dollars euro euros cent cents usd eur gbp".split()
 )
 #: Templates of words that a worker remembers.
-MEMO = 500_000
+MEMO = 300_000
 NUM, UNIT, NAME = "\x01num", "\x01unit", "\x01name"
 
-_memo: dict[str, tuple[int, int, bool, str]] = {}
 PLAIN, IS_NUMBER, MAYBE_UNIT, CAPITAL = range(4)
 
 
@@ -77,15 +76,16 @@ def template(text: str | None) -> tuple[np.ndarray, dict[int, str]]:
         _FIXED.update({x: xxhash.xxh64_intdigest(x) for x in (NUM, UNIT, NAME)})
     raws = (text or "").replace("\n", " \n ").split(" ")
     hashes, slots, begins, number = [], {}, True, False
-    of = _memo.get
+    memo = kept("templates")
+    of = memo.get
     for raw in raws:
         if not raw:
             continue
         w = of(raw)
         if w is None:
-            if len(_memo) >= MEMO:
-                _memo.clear()
-            w = _memo[raw] = _word(raw)
+            if len(memo) >= MEMO:
+                memo.clear()
+            w = memo[raw] = _word(raw)
         kind, h, stops, bare = w
         if not bare:
             begins = begins or stops or raw == "\n"

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept
 from .encoding import vocabulary_path
 
 SPACE = "▁"
@@ -28,9 +29,6 @@ UNKNOWN_PENALTY = 10.0
 #: Words that a worker remembers.
 MEMO = 500_000
 
-_counters: dict[str, Counter] = {}
-
-
 def load_pieces(path: str) -> list[tuple[str, float]]:
     """(piece, score) of the ordinary pieces of a sentencepiece model file, in the order of their ids."""
     import sentencepiece
@@ -89,9 +87,7 @@ class Counter(dict):
 
 
 def counter(path: str) -> Counter:
-    if path not in _counters:
-        _counters[path] = Counter(load_pieces(path))
-    return _counters[path]
+    return kept(f"counter {path}", lambda: Counter(load_pieces(path)))
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
