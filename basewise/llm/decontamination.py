@@ -161,6 +161,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
     hits = own.join(theirs, F.col("win") == F.col("_win"))
     # alignments: hits of one item whose places in the document advance with those in the item, up to a few words
     hits = hits.select(F.col("id").alias("doc_id"), "item_id", "pos", "item_pos", "item_windows", "slot_at", "slot_text", "item_slots", (F.col("pos") - F.col("item_pos")).alias("shift"))
+    hits = staged(hits, "hits")  # used twice below; the texts are read once
     order = Window.partitionBy("doc_id", "item_id").orderBy("shift", "pos")
     hits = hits.withColumn("far", (F.col("shift") - F.lag("shift").over(order) > window).cast("int")).withColumn("group", F.sum(F.coalesce("far", F.lit(0))).over(order))
     # one vote per slot of an alignment: (item's filler, document's filler)
