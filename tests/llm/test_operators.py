@@ -237,6 +237,30 @@ def test_planted_passages(spark):
     assert cut[0].text == texts[0] and cut[1].text == unique("c", 30) + "\n" + unique("d", 60) and cut[3].text == texts[3] and cut[1].n_chars == len(cut[1].text)
 
 
+def edited(words, share, r):
+    """The words with a share of them, but not the outer ones, substituted, deleted or preceded by a new one."""
+    out = list(words)
+    for i in sorted(r.sample(range(1, len(words) - 1), round(share * len(words))), reverse=True):
+        new = f"z{r.getrandbits(40)}"
+        out[i : i + 1] = r.choice([[new], [], [new, out[i]]])
+    return out
+
+
+def test_fuzzy_passages_are_recalled(spark):
+    r, texts = random.Random(5), []
+    fresh = lambda n: [f"u{r.getrandbits(40)}" for _ in range(n)]
+    for n in (52, 56, 65, 80):
+        for share in (0.10, 0.15, 0.18):
+            for _ in range(10):
+                passage = fresh(n)
+                copy = edited(passage, share, r)
+                if len(copy) >= 50:
+                    texts += [fresh(60) + passage + fresh(60), fresh(60) + copy + fresh(60)]
+    got = passages.find_passages(table(spark, [" ".join(t) for t in texts])).collect()
+    assert all(x.ref_id == x.doc_id - 1 and x.doc_id % 2 and x.n_words >= 50 and x.similarity >= 0.8 for x in got)
+    assert len({x.doc_id for x in got}) >= 0.97 * len(texts) / 2 > 50
+
+
 def test_passages_odd_rows(spark, odd):
     assert passages.find_passages(odd).columns[0] == "doc_id"
     assert passages.cut_passages(odd).columns == odd.columns
