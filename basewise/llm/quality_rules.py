@@ -25,8 +25,8 @@ from .common import bind, staged, words
 BUCKETS = 1 << 18
 PSEUDO_COUNT = 10.0
 THRESHOLD = -0.1
-#: Target documents that the target multinomial is fitted on, at most (about): it bounds what is broadcast.
-TRUSTED_LIMIT = 200_000
+#: Target ids up to which they are broadcast; a shuffle join beyond.
+BROADCAST_IDS = 200_000
 SCALE = 1 << 20
 MIN_WORDS = 50
 
@@ -92,20 +92,18 @@ def base_rules(docs: DataFrame) -> DataFrame:
     )
 
 
-def trusted_ids(labels: DataFrame, limit: int = TRUSTED_LIMIT) -> DataFrame:
-    """Ids of the target documents: all of them, or about ``limit`` picked by a hash of the id."""
+def trusted_ids(labels: DataFrame, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """Ids of all target documents, to be broadcast if they number at most ``broadcast_ids``."""
     ids = labels.select(F.col("doc_id").alias("trusted_id")).where("trusted_id is not null").distinct()
-    n = ids.count()
-    share = (1 << 30) if n <= limit else (1 << 30) * limit // n
-    return ids.where(F.pmod(F.xxhash64("trusted_id"), F.lit(1 << 30)) < share)
+    return F.broadcast(ids) if ids.count() <= broadcast_ids else ids.hint("shuffle_merge")
 
 
 def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int, pseudo_count: float) -> DataFrame:
-    """(bucket, weight) for every bucket. trusted: ``trusted_id`` of the target documents, bounded in number.
+    """(bucket, weight) for every bucket. trusted: ``trusted_id`` of the target documents.
 
     The target's and the corpus' counts come from one pass and one map-side combined aggregate.
     """
-    marked = docs.select("doc_id", "text").join(F.broadcast(trusted), F.col("doc_id") == F.col("trusted_id"), "left")
+    marked = docs.select("doc_id", "text").join(trusted, F.col("doc_id") == F.col("trusted_id"), "left")
     grams = marked.select(F.explode(ngram_buckets(words(F.col("text")), buckets)).alias("bucket"), F.col("trusted_id").isNotNull().cast("long").alias("t"))
     counts = staged(grams.groupBy("bucket").agg(F.sum("t").alias("target"), F.count("*").alias("raw")), "ngram-counts")
     t, r = counts.agg(F.sum("target"), F.sum("raw")).first()
@@ -124,7 +122,7 @@ def score_quality(
     buckets: int = BUCKETS,
     pseudo_count: float = PSEUDO_COUNT,
     threshold: float = THRESHOLD,
-    trusted_limit: int = TRUSTED_LIMIT,
+    broadcast_ids: int = BROADCAST_IDS,
 ) -> DataFrame:
     """Every row of ``docs`` with a struct ``quality``: the base counts, ``base_failed``, ``n_grams``, ``llr`` (mean weight) and ``kept``.
 
@@ -132,7 +130,7 @@ def score_quality(
     numbers whatever the corpus holds, reach the tasks as the value of a scalar subquery; documents
     are then scored where they are read, and no text is shuffled.
     """
-    weights = bucket_weights(docs, trusted_ids(labels, trusted_limit), buckets, pseudo_count)
+    weights = bucket_weights(docs, trusted_ids(labels, broadcast_ids), buckets, pseudo_count)
     table = weights.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "weight"))), lambda x: x["weight"]).alias("table")).scalar()
     limit = round(threshold * SCALE)
 

@@ -90,6 +90,13 @@ def test_quality_matches_brute_force(spark):
     assert sorted(r.doc_id for r in quality_rules.filter_quality(docs, labels).collect()) == sorted(i for i, r in got.items() if r.kept)
 
 
+def test_all_trusted_documents_count(spark):
+    docs = table(spark, [prose(120) for _ in range(40)])
+    labels = spark.createDataFrame([(i,) for i in range(0, 40, 2)], "doc_id long")
+    few, many = ({r.bucket: r.weight for r in quality_rules.bucket_weights(docs, quality_rules.trusted_ids(labels, n), 1 << 10, 10.0).collect()} for n in (100, 3))
+    assert few == many and any(few.values())
+
+
 def test_quality_odd_rows(spark, odd):
     none = spark.createDataFrame([], "doc_id long")
     got = quality_rules.filter_quality(odd.drop("quality"), none)
