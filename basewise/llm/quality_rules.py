@@ -93,7 +93,10 @@ def base_rules(docs: DataFrame) -> DataFrame:
 
 
 def trusted_ids(labels: DataFrame, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
-    """Ids of all target documents, to be broadcast if they number at most ``broadcast_ids``."""
+    """Ids of all target documents, to be broadcast if they number at most ``broadcast_ids``. Toxic ones are no target."""
+    if "toxic" in labels.columns:
+        toxic = labels.where("toxic = 1").select(F.col("doc_id").alias("_toxic"))
+        labels = labels.join(toxic, F.col("doc_id") == F.col("_toxic"), "left_anti")
     ids = labels.select(F.col("doc_id").alias("trusted_id")).where("trusted_id is not null").distinct()
     return F.broadcast(ids) if ids.count() <= broadcast_ids else ids.hint("shuffle_merge")
 
@@ -126,7 +129,7 @@ def score_quality(
 ) -> DataFrame:
     """Every row of ``docs`` with a struct ``quality``: the base counts, ``base_failed``, ``n_grams``, ``llr`` (mean weight) and ``kept``.
 
-    labels: rows with the ``doc_id`` of trusted documents. The weights, one array of ``buckets``
+    labels: rows with the ``doc_id`` of trusted documents; where there is a column ``toxic``, ids with 1 in it are not trusted. The weights, one array of ``buckets``
     numbers whatever the corpus holds, reach the tasks as the value of a scalar subquery; documents
     are then scored where they are read, and no text is shuffled.
     """

@@ -97,6 +97,12 @@ def test_all_trusted_documents_count(spark):
     assert few == many and any(few.values())
 
 
+def test_toxic_documents_are_no_target(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, None), (3, 1, 1), (4, 1, 0), (4, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    assert sorted(r.trusted_id for r in quality_rules.trusted_ids(labels).collect()) == [1, 2]
+    assert sorted(r.trusted_id for r in quality_rules.trusted_ids(labels.drop("toxic"), 1).collect()) == [1, 2, 3, 4]
+
+
 def test_quality_odd_rows(spark, odd):
     none = spark.createDataFrame([], "doc_id long")
     got = quality_rules.filter_quality(odd.drop("quality"), none)
