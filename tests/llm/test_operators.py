@@ -276,8 +276,8 @@ def test_fuzzy_passages_are_recalled(spark):
 
 def test_passages_whose_parts_are_older(spark):
     fresh = lambda tag, n: [f"{tag}{i}" for i in range(n)]
-    passage, fuzzy = fresh("p", 70), [("zz" if i in (3, 20, 50, 66) else w) for i, w in enumerate(fresh("p", 70))]
-    bodies = [passage[:35], passage[35:], passage, passage, fuzzy]
+    passage, fuzzy = fresh("p", 70), [("zz" if i in (3, 10, 60, 66) else w) for i, w in enumerate(fresh("p", 70))]
+    bodies = [passage[:45], passage[25:], passage, passage, fuzzy]
     docs = table(spark, [" ".join(fresh(f"a{i}x", 60) + b + fresh(f"b{i}x", 60)) for i, b in enumerate(bodies)])
     got = passages.find_passages(docs).collect()
     assert {(r.doc_id, r.ref_id) for r in got} == {(3, 2), (4, 2)}
