@@ -52,7 +52,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 def words(text: Column) -> Column:
     """The words of a text as an array (null and blank texts: no words)."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SEPARATORS), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SEPARATORS), "")
+
+
+def free(name: str, *frames: DataFrame) -> str:
+    """A column name like ``name`` that none of the frames has, whatever its case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def named(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def all_columns(df: DataFrame) -> list[Column]:
+    return [named(c) for c in df.columns]
 
 
 def bind(value: Column, use) -> Column:

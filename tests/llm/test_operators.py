@@ -18,6 +18,10 @@ rnd = random.Random(11)
 WORDS = ["the", "of", "Paris", "and", "runs", "42", "km", "blue,", "sky.", "Zürich", "日本", "x!!", "a|b"] + ["w" + str(i) for i in range(300)]
 
 
+#: Columns that clash with names inside the operators.
+ODD = ("bucket", "size", "fp", "hash", "id", "item", "pos", "quality", "n", "score", "shard", "_leak", "_spans", "_gone", "_q", "_text", "_id", "_fp", "_cut", "b", "a", "x.y", "words", "key", "base", "win", "n_pieces")
+
+
 def prose(n):
     return " ".join(rnd.choice(WORDS) for _ in range(n))
 
@@ -30,7 +34,7 @@ def table(spark, texts, first=0):
 def odd(spark):
     """Nulls, empty and blank texts, a long text, equal rows, a null id, and extra columns with the operators' own names."""
     rows = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, prose(30_000)), (6, prose(60)), (6, "again"), (7, prose(80)), (7, prose(80)), (None, prose(70)), (8, "dup text here"), (8, "dup text here"), (9, "dup text here")]
-    return spark.createDataFrame([(i, t, "en", None, None) for i, t in rows], DOC).withColumns({c: F.lit("own") for c in ("bucket", "size", "fp", "hash", "id", "item", "pos", "quality", "n", "score", "shard")})
+    return spark.createDataFrame([(i, t, "en", None, None) for i, t in rows], DOC).withColumns({c: F.lit("own") for c in ODD})
 
 
 def split(text):
@@ -52,13 +56,15 @@ def base_counts(text):
 
 
 def brute_llr(rows, trusted, buckets=1 << 18, a=10.0):
-    """Mean bucket weight of each text, with counts in plain Python; XXH64 chained over a pair's words as Spark does."""
+    """Mean bucket weight of each text, with counts in plain Python; a pair's hash is the chained XXH64 of the words' hashes."""
+    import struct
+
     import xxhash
 
     def grams(text):
         w = split(text)
         one = [xxhash.xxh64_intdigest(x.encode(), 42) for x in w]
-        two = [xxhash.xxh64_intdigest(y.encode(), h) for h, y in zip(one, w[1:])]
+        two = [xxhash.xxh64_intdigest(struct.pack("<Q", y), xxhash.xxh64_intdigest(struct.pack("<Q", x), 42)) for x, y in zip(one, one[1:])]
         return [(h - (1 << 64) if h >> 63 else h) % buckets for h in one + two]
 
     raw, target = collections.Counter(), collections.Counter()
@@ -76,7 +82,7 @@ def brute_llr(rows, trusted, buckets=1 << 18, a=10.0):
 
 
 def test_quality_matches_brute_force(spark):
-    texts = [prose(rnd.randint(0, 300)) for _ in range(30)] + ["a b c\na b c\nx " * 30, "", None, "JUNK!! MORE!! STUFF!! " * 40, "x\n\ny\nx\n \n"]
+    texts = [prose(rnd.randint(0, 300)) for _ in range(30)] + ["a b c\na b c\nx " * 30, "", None, "JUNK!! MORE!! STUFF!! " * 40, "x\n\ny\nx\n \n", "a b a b", "a a a a", "\u00a0 é\x0b日本\x1f語\x85 z"] + [" ".join(rnd.choice("abcd") for _ in range(n)) for n in (5, 40, 300)]
     docs = table(spark, texts)
     labels = spark.createDataFrame([(i,) for i in range(0, 30, 2)], "doc_id long")
     got = {r.doc_id: r for r in quality_rules.score_quality(docs, labels).select("doc_id", "quality.*").collect()}
@@ -105,10 +111,19 @@ def test_toxic_documents_are_no_target(spark):
 
 def test_quality_odd_rows(spark, odd):
     none = spark.createDataFrame([], "doc_id long")
-    got = quality_rules.filter_quality(odd.drop("quality"), none)
-    assert got.columns == odd.drop("quality").columns
+    got = quality_rules.filter_quality(odd, none)
+    assert got.columns == odd.columns and {r.quality for r in got.collect()} == {"own"}
     assert sorted(str(r.doc_id) for r in got.collect()) == ["5", "6", "7", "7", "None"]
-    assert quality_rules.filter_quality(odd.drop("quality").limit(0), none).count() == 0
+    assert quality_rules.filter_quality(odd.limit(0), none).count() == 0
+
+
+def test_windows_of_one_prefix_are_told_apart(spark):
+    low = 1 << 62  # two bits hold the positions of three windows, so this and low + 1 share their upper bits
+    rows = [([5, 5 + low, 7], 0), ([5, 5 + low, 5], 5), ([5, 5 + low, 5 + low], 4), ([9, 9, 9], 5), ([1, 2, 3], 0)]
+    df = spark.createDataFrame(rows, "win array<long>, want long")
+    df = df.withColumn("packed", quality_rules.packed(F.col("win")))
+    got = df.select(quality_rules.repeat_words(F.col("win"), F.col("packed")).alias("got"), "want").collect()
+    assert [r.got for r in got] == [r.want for r in got]
 
 
 # --- 4 sharding --------------------------------------------------------------------------------------
