@@ -23,6 +23,30 @@ def kept(name: str, make=dict):
     return _kept[name]
 
 
+def released(work):
+    """``work`` over a task's batches; at its end the worker gives back what it kept and its free memory.
+
+    Workers stay idle between tasks and stages, while Spark's own share of an executor's memory is in use.
+    """
+
+    def run(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from work(batches)
+        finally:
+            _kept.clear()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # no glibc
+                pass
+
+    return run
+
+
 #: Word separators: space and the ASCII controls from tab to carriage return.
 SEPARATORS = r"[\x20\x09-\x0D]+"
 

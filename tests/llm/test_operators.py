@@ -299,11 +299,87 @@ def test_passages_whose_parts_are_older(spark):
     assert {r.doc_id: r.n_words for r in got}[3] == 70
 
 
+def test_word_hashes_follow_words():
+    import pyarrow as pa
+
+    texts = ["", None, "The the, (THE) ...", " a\tb\x0bc\x0cd\r\ne ", "é É \u00a0x...y 'q'", "x" * 900 + " " + "y" * 50, "w " * 500, "...", prose(400), "tail"]
+    for chunk in (64, 1 << 18):
+        got = [h.tolist() for h in passages.word_hashes(pa.array(["skipped", *texts])[1:], chunk)]
+        flat = {}
+        for t, h in zip(texts, got):
+            w = passages.split_words(t)
+            assert len(w) == len(h)
+            for x, y in zip(w, h):
+                assert flat.setdefault(x, y) == y
+        assert len(set(flat.values())) == len(flat)
+
+
+def test_edit_paths_are_cheapest():
+    for _ in range(200):
+        x, y = ([rnd.choice("abcd") for _ in range(rnd.randint(0, 14))] for _ in range(2))
+        cost = [[i + j if not i * j else 0 for j in range(len(y) + 1)] for i in range(len(x) + 1)]
+        for i in range(1, len(x) + 1):
+            for j in range(1, len(y) + 1):
+                cost[i][j] = min(cost[i - 1][j - 1] + (x[i - 1] != y[j - 1]), cost[i - 1][j] + 1, cost[i][j - 1] + 1)
+        steps = passages.edit_path(x, y)
+        assert (sum(s[0] for s in steps), sum(s[1] for s in steps)) == (len(x), len(y)) and sum(not s[2] for s in steps) == cost[-1][-1]
+        for some in (steps, passages.edit_path(x, y, 3), passages.edit_path(x, y, 3, 9.0)):
+            i = j = 0
+            for dx, dy, same in some:
+                assert same == (dx == dy == 1 and x[i] == y[j])
+                i, j = i + dx, j + dy
+            assert i <= len(x) and j <= len(y)
+
+
+def test_whole_runs_are_found_though_their_parts_are_older(spark):
+    fresh = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    passage = fresh("p", 120)
+    bodies = {1: passage[:40], 2: passage[40:80], 3: passage[80:], 10: passage, 11: passage, 12: passage[10:110]}
+    rows = [(i, " ".join(fresh(f"a{i}x", 60) + b + fresh(f"b{i}x", 60)), "en", None, 0) for i, b in bodies.items()]
+    got = {}
+    for r in passages.find_passages(spark.createDataFrame(rows, DOC)).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.from_word, r.to_word))
+    assert got == {11: set(range(60, 180)), 12: set(range(60, 160))}
+
+
+def covered_words(texts, n=50):
+    """Per text, the words inside runs of n words that an earlier text has: what exact passages must cover."""
+    seen, out = set(), []
+    for t in texts:
+        w = passages.split_words(t)
+        runs = [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
+        out.append({i + d for i, g in enumerate(runs) if g in seen for d in range(n)})
+        seen |= set(runs)
+    return out
+
+
+def test_exact_runs_against_brute_force(spark):
+    """Boilerplate of all lengths, mixed: nearly every word of a repeated run of 50 words is covered, and nothing else in plenty."""
+    r = random.Random(8)
+    parts = [[f"q{k}x{i}" for i in range(r.choice([20, 35, 45, 55, 70, 120]))] for k in range(25)]
+    texts = []
+    for _ in range(150):
+        body = []
+        for _ in range(r.randint(1, 6)):
+            body += r.choice(parts) if r.random() < 0.7 else [f"u{r.getrandbits(40)}" for _ in range(r.randint(5, 90))]
+        texts.append(" ".join(body))
+    want, got = covered_words(texts), collections.defaultdict(set)
+    for x in passages.find_passages(table(spark, texts)).collect():
+        got[x.doc_id] |= set(range(x.from_word, x.to_word))
+    total = sum(map(len, want))
+    assert total > 5000 and sum(len(w & got[i]) for i, w in enumerate(want)) >= 0.97 * total
+    assert sum(len(got[i] - w) for i, w in enumerate(want)) <= 0.1 * total
+
+
 def test_passages_odd_rows(spark, odd):
     assert passages.find_passages(odd).columns[0] == "doc_id"
     assert passages.cut_passages(odd).columns == odd.columns
     assert {None, 1, 2, 4, 5, 8} <= {r.doc_id for r in passages.cut_passages(odd).collect()}
     assert passages.find_passages(odd.limit(0)).count() == 0 and passages.cut_passages(odd.limit(0)).count() == 0
+    long = prose(80)
+    two = spark.createDataFrame([(1, long), (2, long), (2, "other text"), (3, "z " + long)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.text) for r in passages.cut_passages(two).collect())
+    assert got == [(1, long), (2, "other text"), (3, "z ")]
 
 
 # --- 1 decontamination -------------------------------------------------------------------------------
