@@ -3,8 +3,8 @@
 The tokenizer's own pre-tokenizer always cuts before a single space or newline that no other one
 touches, and after such a newline. So the ids of a text without runs of spaces and newlines are the
 ids of its pieces, one after another. Each distinct piece is encoded by the tokenizers library once
-per worker process, and texts are assembled from the memo. Texts with such runs go to the library
-whole.
+per worker process, and texts are assembled from the memo, which is bounded in bytes. Texts with such runs, and
+texts with a string that the tokenizer holds for a token of its own, go to the library whole.
 """
 
 from __future__ import annotations
@@ -17,8 +17,11 @@ import numpy as np
 
 from .common import kept
 
-#: Pieces that a worker's memo holds before it is emptied: about 150 MB at most.
-MEMO = 600_000
+#: Bytes that a worker's memo may hold, about, before it is emptied; longer pieces than LONGEST are not kept at all.
+MEMO_BYTES = 100_000_000
+LONGEST = 64
+#: What an entry takes besides its characters and ids.
+ENTRY = 180
 #: Marks that make a pre-token of their own behind letters.
 MARKS = ".,;:!?%$#&*|()-"
 #: How byte-level vocabularies spell the bytes that are no printable Latin-1 characters.
@@ -38,8 +41,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: Strings that are ids of their own wherever they stand.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
+        self.held = 0
         self.tails: dict[str, bytes] = {}
         self.newline = struct.pack("<I", self.tokenizer.token_to_id("Ċ"))
 
@@ -47,18 +52,23 @@ class Encoder:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def tail(self, marks: str) -> bytes:
+        if len(marks) > 8:  # marks in endless variety are not kept
+            return self.whole([marks])[0]
         if marks not in self.tails:
+            if len(self.tails) > 100_000:
+                self.tails.clear()
             self.tails[marks] = self.whole([marks])[0]
         return self.tails[marks]
 
-    def learn(self, pieces: set[str]) -> None:
-        """Put the ids of " " + piece into the memo; of pieces that begin with a newline, their own ids."""
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of " " + piece (of pieces that begin with a newline: their own ids), by piece; those of short pieces are kept."""
         memo = self.memo
-        fresh = pieces.difference(memo)
-        if len(memo) + len(fresh) > MEMO:
+        if self.held > MEMO_BYTES:
             memo.clear()
-            fresh = pieces
-        tokenize, pack, odd = self.tokenizer.model.tokenize, struct.pack, []
+            self.held = 0
+        fresh = pieces.difference(memo)
+        tokenize, pack, odd, found = self.tokenizer.model.tokenize, struct.pack, [], {}
+        words: dict[str, bytes] = {}
         for p in fresh:
             head = p[:1] == "\n"
             core = p[1:] if head else p
@@ -69,24 +79,28 @@ class Encoder:
             # letters are one pre-token, with the space before them, and the marks behind are another
             cut = len(core) - len(word)
             base = p[:-cut] if cut else p
-            ids = memo.get(base)
+            ids = memo.get(base) or words.get(base)
             if ids is None:
                 spelt = word if word.isascii() else word.encode().decode("latin-1").translate(BYTES)
-                found = [t.id for t in tokenize(spelt if head else "Ġ" + spelt)]
-                ids = pack(f"<{len(found)}I", *found)
-                ids = memo[base] = self.newline + ids if head else ids
-            if cut:
-                memo[p] = ids + self.tail(core[-cut:])
+                own = [t.id for t in tokenize(spelt if head else "Ġ" + spelt)]
+                ids = pack(f"<{len(own)}I", *own)
+                ids = words[base] = self.newline + ids if head else ids
+            found[p] = ids + self.tail(core[-cut:]) if cut else ids
         own = [p[1:] if p[:1] == "\n" else " " + p for p in odd]
         for p, ids in zip(odd, self.whole(own), strict=True):
-            memo[p] = self.newline + ids if p[:1] == "\n" else ids
+            found[p] = self.newline + ids if p[:1] == "\n" else ids
+        for p, ids in (words | found).items():
+            if len(p) <= LONGEST:
+                memo[p] = ids
+                self.held += len(p) + len(ids) + ENTRY
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers, without an end id."""
         out: list[bytes] = [b""] * len(texts)
         split, odd = [], []
         for i, t in enumerate(texts):
-            if "  " in t or "\n\n" in t or " \n" in t or "\n " in t:
+            if "  " in t or "\n\n" in t or " \n" in t or "\n " in t or any(a in t for a in self.added):
                 odd.append(i)
             elif t:
                 split.append((i, f"\n{t}".replace("\n", " \n").split(" ")))
@@ -96,10 +110,9 @@ class Encoder:
         for _, p in split:
             del p[0]
             pieces.update(p)
-        self.learn(pieces)
-        of = self.memo.__getitem__
+        fresh, memo = self.learn(pieces), self.memo
         for i, p in split:
-            out[i] = b"".join(map(of, p))[4:]  # without the newline that was put in front
+            out[i] = b"".join([memo.get(x) or fresh[x] for x in p])[4:]  # without the newline that was put in front
         return out
 
 

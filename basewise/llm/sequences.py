@@ -5,7 +5,7 @@ into rows of ``length`` ids. A file is an Arrow IPC file of record batches with
 columns: ``ids`` (uint16 where the vocabulary allows, else uint32), ``mask`` (bool: a token, not
 padding) and ``ends`` (bool: the last id of a document). Nothing is compressed, so a memory map gives
 any row without a copy, by (row div rows per batch, row mod rows per batch). Only a file's last row is padded.
-Beside each file stands an index file with doc_id and n_tokens of its documents.
+Beside each file stands an index file with doc_id and n_tokens of its documents. A task rolls its files by their number of ids.
 
 Files are written by tasks under names of their own attempt; a file counts only if the manifest,
 committed by Spark's writer, names it. A retried or speculative task so leaves unnamed files at worst.
@@ -32,6 +32,8 @@ from .encoding import encoded, vocabulary_path
 LENGTH = 2048
 #: Rows of a record batch.
 ROWS = 128
+#: Ids after which a file ends, at the end of a document.
+FILE_TOKENS = 1 << 27
 
 
 def _schema(length: int, wide: bool) -> pa.Schema:
@@ -85,39 +87,62 @@ class _Writer:
         self.out.close()
 
 
-def write_sequences(docs: DataFrame, folder: str, length: int = LENGTH, vocabulary: str | None = None) -> DataFrame:
-    """Write the files and return their manifest: path, part, rows, n_docs, n_tokens (one row per file)."""
+def write_sequences(docs: DataFrame, folder: str, length: int = LENGTH, vocabulary: str | None = None, file_tokens: int = FILE_TOKENS) -> DataFrame:
+    """Write the files and return their manifest: path, part, number, n_rows, n_docs, n_tokens (one row per file).
+
+    A task begins another file once one has ``file_tokens`` ids; the order of the files is that of (part, number).
+    """
     vocabulary = vocabulary or vocabulary_path()
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, name = TaskContext.get().partitionId(), f"part-{uuid.uuid4().hex}"
-        files, path = _file(folder)
-        files.create_dir(path, recursive=True)
-        n_docs = n_tokens = 0
-        with files.open_output_stream(f"{path}/{name}.arrow") as sink, files.open_output_stream(f"{path}/{name}.index.arrow") as side:
-            wide = _vocabulary_size(vocabulary) > 1 << 16
-            out, index = _Writer(sink, length, wide), None
-            for b in batches:
-                counts = []
-                for raw in encoded(vocabulary, b.column("text").to_pylist()):
-                    ids = np.frombuffer(raw, "<u4").copy()
-                    counts.append(len(ids))
-                    ids[-1] |= 1 << 31
-                    out.add(ids)
-                rows = pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
-                index = index or pa.ipc.new_file(side, rows.schema)
-                index.write_batch(rows)
-                n_docs, n_tokens = n_docs + len(counts), n_tokens + sum(counts)
-            if not n_docs:
-                return
-            out.close()
-            index.close()
-        yield pa.RecordBatch.from_pylist([{"path": f"{folder}/{name}", "part": part, "n_rows": out.rows, "n_docs": n_docs, "n_tokens": n_tokens}])
-
-    return staged(ordered.mapInArrow(write, "path string, part long, n_rows long, n_docs long, n_tokens long"), "manifest")
+        part, number, current = TaskContext.get().partitionId(), 0, None
+        wide = _vocabulary_size(vocabulary) > 1 << 16
+        for b in batches:
+            counts = []  # of the rows from `first` on, which are not yet in an index
+            first = 0
+            for k, raw in enumerate(encoded(vocabulary, b.column("text").to_pylist())):
+                current = current or _File(folder, length, wide)
+                ids = np.frombuffer(raw, "<u4").copy()
+                counts.append(len(ids))
+                ids[-1] |= 1 << 31
+                current.out.add(ids)
+                if current.n_tokens + sum(counts) >= file_tokens:
+                    current.index(b.column("doc_id").slice(first, len(counts)), counts)
+                    yield current.close(part, number)
+                    current, number, first, counts = None, number + 1, k + 1, []
+            if counts:
+                current.index(b.column("doc_id").slice(first, len(counts)), counts)
+        if current:
+            yield current.close(part, number)
+
+    return staged(ordered.mapInArrow(write, "path string, part long, number long, n_rows long, n_docs long, n_tokens long"), "manifest")
+
+
+class _File:
+    """A file of sequences and its index, under a name of their own."""
+
+    def __init__(self, folder: str, length: int, wide: bool) -> None:
+        self.path, self.n_docs, self.n_tokens, self.rows = f"{folder}/part-{uuid.uuid4().hex}", 0, 0, None
+        files, at = _file(self.path)
+        files.create_dir(at.rpartition("/")[0], recursive=True)
+        self.sink, self.side = files.open_output_stream(f"{at}.arrow"), files.open_output_stream(f"{at}.index.arrow")
+        self.out = _Writer(self.sink, length, wide)
+
+    def index(self, ids: pa.Array, counts: list[int]) -> None:
+        rows = pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
+        self.rows = self.rows or pa.ipc.new_file(self.side, rows.schema)
+        self.rows.write_batch(rows)
+        self.n_docs, self.n_tokens = self.n_docs + len(counts), self.n_tokens + sum(counts)
+
+    def close(self, part: int, number: int) -> pa.RecordBatch:
+        self.out.close()
+        self.rows.close()
+        self.sink.close()
+        self.side.close()
+        return pa.RecordBatch.from_pylist([{"path": self.path, "part": part, "number": number, "n_rows": self.out.rows, "n_docs": self.n_docs, "n_tokens": self.n_tokens}])
 
 
 def _vocabulary_size(vocabulary: str) -> int:
@@ -138,9 +163,9 @@ def _chunks(path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield b.column("ids").flatten().to_numpy()[:n], np.flatnonzero(b.column("ends").flatten().to_numpy(zero_copy_only=False)[:n])
 
 
-def read_documents(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, from the files that the manifest names."""
-    before = F.sum("n_tokens").over(Window.orderBy("part")) - F.col("n_tokens")  # one row per file
+def read_documents(manifest: DataFrame, kind: str = "long") -> DataFrame:
+    """doc_id (of type ``kind``), start, n_tokens and ids_crc32 of every document, from the files that the manifest names."""
+    before = F.sum("n_tokens").over(Window.orderBy("part", "number")) - F.col("n_tokens")  # one row per file
     # one file to a task, as far as hashing deals them evenly
     todo = manifest.select("path", before.alias("before")).repartition(max(1, manifest.count()), "path")
 
@@ -159,7 +184,6 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                     ids = index.column("doc_id").slice(k, 10_000).combine_chunks()
                     yield pa.RecordBatch.from_arrays([ids, pa.array(starts[s]), pa.array(sizes[s], pa.int64()), pa.array(crcs[s], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    kind = "long"
     return todo.mapInArrow(read, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
@@ -196,4 +220,5 @@ class SequenceFile:
 
 def arrow_sequences(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None) -> DataFrame:
     """Write all documents to new files in the shared folder and read them back."""
-    return read_documents(write_sequences(docs, scratch(docs.sparkSession, "sequences"), length, vocabulary))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return read_documents(write_sequences(docs, scratch(docs.sparkSession, "sequences"), length, vocabulary), kind)

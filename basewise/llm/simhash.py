@@ -10,8 +10,8 @@ finds, so a dense cluster gives no more rows than it has members, and components
 
 Defined cases: a null, empty or blank text has the fingerprint 0 and is linked like any other. Rows
 that repeat a doc_id give a row each. A null doc_id is kept and takes part; a component's id is the
-smallest doc_id that is not null (null if there is none). An empty table gives no rows. Columns but doc_id and
-text are ignored by ``near_duplicates`` and passed through by ``keep_one``.
+smallest doc_id that is not null (null if there is none). ``keep_one`` leaves one row of each component, of repeated ids and null ids
+alike. An empty table gives no rows. Columns but doc_id and text are ignored by ``near_duplicates`` and passed through by ``keep_one``, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,11 +19,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import all_columns, free, named, released, staged
 from .components import connected_components
 
 BITS = 64
@@ -34,6 +35,8 @@ SEED = 42
 LEAVES = 8192
 #: Node pairs or candidate pairs that a task holds at once.
 CHUNK = 1 << 20
+#: Keys of dropped rows up to which they are broadcast; a shuffle join beyond.
+BROADCAST_KEYS = 1_000_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -65,7 +68,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fps = np.array([fingerprint(t, shingle) for t in b.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(add, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(released(add), f"doc_id {kind}, fp long")
 
 
 def _split(sorted_fps: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndarray:
@@ -216,25 +219,44 @@ def _walk(fps: DataFrame, pairs: DataFrame, depth: int, max_bits: int) -> DataFr
                     yield pa.RecordBatch.from_arrays([pa.array(every[links[:, 0]]), pa.array(every[links[:, 1]])], ["a", "b"])
 
     # few, heavy rows: dealt out one by one rather than by the hash of a node
-    return both.select("a", "b", "differing", "left", "right").repartition(F.xxhash64("a", "b")).mapInArrow(walk, "a long, b long")
+    return both.select("a", "b", "differing", "left", "right").repartition(F.xxhash64("a", "b")).mapInArrow(released(walk), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp and component_id of every row."""
-    rows = staged(fingerprints(docs, shingle), "fingerprints")
+def _named(rows: DataFrame, max_bits: int) -> DataFrame:
+    """_fp, component (of fingerprints) and component_id (the smallest doc_id in it) of every fingerprint in ``rows`` (doc_id, fp)."""
     classes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     links = staged(linked_fingerprints(classes.select("fp"), max_bits), "links")
     groups = connected_components(links).select(F.col("node").alias("fp"), "component")
     grouped = classes.join(groups, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     ids = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = staged(grouped.join(ids, "component").select(F.col("fp").alias("_fp"), "component_id"), "named")
+    return staged(grouped.join(ids, "component").select(F.col("fp").alias("_fp"), "component", "component_id"), "named")
+
+
+def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fp and component_id of every row."""
+    rows = staged(fingerprints(docs, shingle), "fingerprints")
     # a hot fingerprint is a skewed key on the left, which adaptive execution splits
-    return rows.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    return rows.join(_named(rows, max_bits), F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of their component; of rows that repeat it, one."""
-    found = near_duplicates(docs, max_bits, shingle)
-    gone = found.where("doc_id != component_id or doc_id is null").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    return left.dropDuplicates(["doc_id"]) if found.groupBy("doc_id").count().where("count > 1").limit(1).count() else left
+    """One row of each component of ``docs``: that with the smallest doc_id, null ids last, and of several such rows one.
+
+    Rows are told apart by a number that is written with them, so rows that share an id are judged each for itself.
+    """
+    key, fp, out = free("row_key", docs), free("row_fp", docs), free("row_gone", docs)
+
+    @F.pandas_udf("long")
+    def print_of(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
+
+    rows = staged(docs.withColumn(key, F.monotonically_increasing_id()).withColumn(fp, print_of(F.coalesce("text", F.lit("")))), "keyed-documents")
+    slim = rows.select("doc_id", named(fp).alias("fp"), named(key).alias("key"))
+    placed = staged(slim.join(_named(slim, max_bits).select("_fp", "component"), F.col("fp") == F.col("_fp")).select("component", "key", "doc_id"), "placed")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    first = placed.groupBy(F.col("component").alias("_component")).agg(F.min(order)["key"].alias("_key"))
+    first = staged(first, "first-rows")
+    gone = placed.join(first, F.col("component") == F.col("_component")).where("key != _key").select(F.col("key").alias(out))
+    gone = staged(gone, "later-rows")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
+    return rows.join(gone, named(key) == named(out), "left_anti").select(*all_columns(docs))

@@ -15,19 +15,17 @@ Other columns of the input pass through ``count_tokens`` unless they are named n
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import free, kept, named
 from .encoding import vocabulary_path
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Words that a worker remembers.
-MEMO = 500_000
+#: Words that a worker remembers, and characters of the longest of them.
+MEMO, LONGEST = 500_000, 64
 
 def load_pieces(path: str) -> list[tuple[str, float]]:
     """(piece, score) of the ordinary pieces of a sentencepiece model file, in the order of their ids."""
@@ -54,9 +52,10 @@ class Counter(dict):
 
     def __missing__(self, word: str) -> complex:
         value = self.count(SPACE + word)
-        if len(self) >= MEMO:
-            self.clear()
-        self[word] = value
+        if len(word) <= LONGEST:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = value
         return value
 
     def count(self, text: str) -> complex:
@@ -93,15 +92,14 @@ def counter(path: str) -> Counter:
 def count_tokens(docs: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
     """``docs`` without its text, with n_pieces and score of each row's best segmentation."""
     path = path or vocabulary_path("piece_bpe_32k.model")
-    kept = [c for c in docs.columns if c not in (text_col, "n_pieces", "score")]
-    rows = docs.select(*kept, F.col(text_col).cast("string").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
+    others = [named(c) for c in docs.columns if c not in (text_col, "n_pieces", "score")]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("n_pieces long, score double")
+    def count(texts: pd.Series) -> pd.DataFrame:
         of = counter(path).document
-        for b in batches:
-            found = [of(t) for t in b.column(b.num_columns - 1).to_pylist()]
-            columns = [*b.columns[:-1], pa.array([int(x.real) for x in found], pa.int64()), pa.array([x.imag for x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*kept, "n_pieces", "score"])
+        found = [of(t) for t in texts]
+        return pd.DataFrame({"n_pieces": [int(x.real) for x in found], "score": [x.imag for x in found]})
 
-    return rows.mapInArrow(count, f"{schema}, n_pieces long, score double" if schema else "n_pieces long, score double")
+    counts = free("counts", docs)
+    rows = docs.select(*others, count(F.coalesce(named(text_col).cast("string"), F.lit(""))).alias(counts))
+    return rows.select(*others, named(counts)["n_pieces"].alias("n_pieces"), named(counts)["score"].alias("score"))

@@ -222,7 +222,13 @@ def test_fingerprints_and_components(spark, odd):
     want = sorted((str(r.doc_id), least[c] if least[c] < 10**9 else None) for r, c in zip(rows, comp))
     assert sorted(((str(r.doc_id), r.component_id) for r in got), key=str) == sorted(want, key=str)
     kept = simhash.keep_one(odd)
-    assert kept.columns == odd.columns and kept.count() == len({r.doc_id for r in kept.collect()})
+    assert kept.columns == odd.columns and kept.count() == len(set(comp))
+    one, two, three = prose(90), prose(95), prose(85)
+    few = lambda rows: [tuple(r) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    got = few([(5, one), (5, two), (3, two), (None, three)])
+    assert sorted(got, key=str) == sorted([(5, one), (3, two), (None, three)], key=str)
+    assert sorted(few([(5, one), (5, two)])) == sorted([(5, one), (5, two)])
+    assert sorted(few([(None, one), (None, one), (None, two)]), key=str) == sorted([(None, one), (None, two)], key=str)
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
@@ -389,7 +395,7 @@ def test_reparameterised_questions(spark):
     item = "a train leaves Boston at 60 mph and another train leaves Denver at 45 mph towards Boston so when do the two trains finally meet"
     bench = spark.createDataFrame([(1, item), (2, "short one"), (3, None), (4, "")], "item_id long, text string")
     swap = lambda *p: __import__("functools").reduce(lambda t, x: t.replace(*x), p, item)
-    texts = ["Lead in. " + item + " and more", swap(("Boston", "Paris"), ("Denver", "Rome"), ("60", "80")), swap(("towards Boston", "towards Oslo"), ("leaves Boston", "leaves Paris"), ("Denver", "Rome")), prose(100), "has a short one inside", None, ""]
+    texts = ["Lead in. " + item + " and more", swap(("Boston", "Paris"), ("Denver", "Rome"), ("60", "80")), swap(("towards Boston", "towards Oslo"), ("leaves Boston", "leaves Paris"), ("Denver", "Rome")), prose(100), "has a short one inside it", None, ""]
     docs = table(spark, texts)
     for windows in (10**6, 0):  # with and without the broadcast
         got = {(r.doc_id, r.item_id): r for r in decontamination.find_leaks(docs, bench, broadcast_windows=windows).collect()}
@@ -398,10 +404,58 @@ def test_reparameterised_questions(spark):
     assert sorted(r.doc_id for r in decontamination.drop_leaks(docs, bench).collect()) == [2, 3, 4, 5, 6]
 
 
+def test_verbatim_copies_in_any_dress(spark):
+    items = {
+        1: "What is the boiling point of Gallium",
+        2: "capital of Peru?",
+        3: "Tom has 3 apples and 4 pears. Tom gives 2 of them to Mary. How many does Tom keep?",
+        4: "Iron Lead Zinc Tin and Gold were sold by Ann Bob Cid Dan and Eve at noon.",
+        5: "Hi there",
+        6: " ".join(f"c{i}" for i in range(40)),
+    }
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    filler = "plain words go here and there without any sense at all "
+    long = " ".join(f"w{i} x{i}" for i in range(20))
+    texts = {
+        10: ("x y. " + items[1], {1}), 11: (items[1].lower() + " " + filler, {1}), 12: (filler + items[3].upper(), {3}), 13: (items[3].replace(" ", "\t"), {3}),
+        14: ("We asked them What is the boiling point of Gallium yesterday", {1}), 15: ("the Capital of Peru is Lima", {2}),
+        16: (items[3].replace("Tom", "Ann").replace("Mary", "Bob").replace("3", "7").replace("4", "9"), {3}),
+        17: (items[4], {4}), 18: (" ".join("Zoe" if w.strip(".") in "Iron Lead Zinc Tin Gold Ann Bob Cid Dan Eve".split() else w for w in items[4].split()), set()),
+        19: (f"{items[3][:40]} {long} {items[3][40:]} {long}", set()), 20: (filler * 3, set()), 21: ("hi there", {5}), 22: ("oh hi there you", set()), 23: ("1 2 3 4 5 6 7 8 9 " * 40, set()),
+        24: (" ".join([*items[6].split()[:20], "a whole sentence was put in here.", *items[6].split()[20:]]), {6}),
+    }
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")
+    for windows in (10**6, 0):
+        got = collections.defaultdict(set)
+        for r in decontamination.find_leaks(docs, bench, broadcast_windows=windows).collect():
+            got[r.doc_id].add(r.item_id)
+        assert {i: got[i] for i in texts} == {i: want for i, (_, want) in texts.items()}
+
+
+def test_planted_items_against_brute_force(spark):
+    """Every text that holds an item word for word is found, whatever the case and the white space, and no text without four fifths of one."""
+    r = random.Random(4)
+    vocabulary = [f"v{i}" for i in range(400)] + ["Ada", "Bob", "Cid", "7", "12", "km", "the", "of"]
+    some = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = [some(r.randint(5, 40)) for _ in range(40)]
+    dress = [str, str.lower, str.upper]
+    texts, want = [], {}
+    for i in range(200):
+        body = some(r.randint(0, 120))
+        if i % 2:
+            k = r.randrange(40)
+            body += [r.choice(dress)(w) for w in items[k]] + some(r.randint(0, 60))
+            want[i] = k
+        texts.append(r.choice([" ", "\t", "\n", "  "]).join(body))
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontamination.find_leaks(table(spark, texts), bench).collect()}
+    assert got == set(want.items())
+
+
 def test_leaks_odd_rows(spark, odd):
     bench = spark.createDataFrame([(1, "dup text here"), (None, "one")], "item_id long, text string")
     assert decontamination.drop_leaks(odd, bench).columns == odd.columns
-    assert {(r.doc_id, r.item_id) for r in decontamination.find_leaks(odd, bench).collect()} >= {(8, 1), (9, 1)}
+    assert {(r.doc_id, r.item_id) for r in decontamination.find_leaks(odd, bench).collect()} >= {(8, 1), (9, 1), (4, None)}
     assert decontamination.find_leaks(odd, bench.limit(0)).count() == 0 and decontamination.find_leaks(odd.limit(0), bench).count() == 0
 
 
@@ -451,14 +505,13 @@ def test_sites_shrink_to_what_is_above(spark):
 
 # --- 7, 8, 10: tokens --------------------------------------------------------------------------------
 
-TRICKY = ["", " ", "a", "a  b", " a\n b", "a\n\nb", "x\n", "\nx", "tab\tand nbsp 　 end ", "it's don't 3.14 km", "日本語 ☃☃ 🤗x", "<|endoftext|>", "WORD!! %%% a|b", "é" * 50, "foo,bar. Baz;\nQux?"]
+TRICKY = ["", " ", "a", "a  b", " a\n b", "a\n\nb", "x\n", "\nx", "tab\tand nbsp 　 end ", "it's don't 3.14 km", "日本語 ☃☃ 🤗x", "<|endoftext|>", "a <|endoftext|> b", "x" * 300, "WORD!! %%% a|b", "é" * 50, "foo,bar. Baz;\nQux?"]
 
 
 def library_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(encoding.vocabulary_path())
-    t.encode_special_tokens = True
     return [np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4") for x in texts]
 
 
@@ -466,7 +519,7 @@ def test_encoder_is_exact(monkeypatch):
     texts = TRICKY + ["".join(rnd.choice(" \n\tab.,é☃'1!A") for _ in range(rnd.randint(0, 40))) for _ in range(400)] + [prose(200)] * 3
     want = [x.tobytes() for x in library_ids(texts)]
     assert list(encoding.encoded(encoding.vocabulary_path(), texts)) == want
-    monkeypatch.setattr(encoding, "MEMO", 5)
+    monkeypatch.setattr(encoding, "MEMO_BYTES", 5)
     assert list(encoding.encoded(encoding.vocabulary_path(), texts)) == want
 
 
@@ -480,7 +533,7 @@ def test_sequences(spark, odd):
         start += len(ids)
     stream = np.concatenate(library_ids(texts))
     before = 0
-    for r in manifest.orderBy("part").collect():
+    for r in manifest.orderBy("part", "number").collect():
         f = sequences.SequenceFile(r.path + ".arrow")
         assert len(f) == r.n_rows == -(-r.n_tokens // 64)
         for k in range(len(f)):
@@ -488,6 +541,12 @@ def test_sequences(spark, odd):
             n = sum(mask.to_pylist())
             assert len(ids) == 64 and (ids[:n] == stream[before + 64 * k : before + 64 * k + n]).all()
         before += r.n_tokens
+    rolled = sequences.write_sequences(docs, sequences.scratch(spark, "t"), length=64, file_tokens=500)
+    assert rolled.count() > manifest.count() and rolled.agg(F.max("n_tokens")).first()[0] < 30_000
+    assert sorted(sequences.read_documents(rolled).collect()) == sorted(got.values())
+    for kind in ("int", "string"):
+        named = sequences.arrow_sequences(table(spark, texts[:9]).withColumn("doc_id", F.col("doc_id").cast(kind)))
+        assert named.schema["doc_id"].dataType.simpleString() == kind and named.count() == 9
     assert sequences.arrow_sequences(odd).count() == 13 and sequences.arrow_sequences(odd.limit(0)).count() == 0
 
 
