@@ -5,22 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import packed
 from .kmers import valid_kmers
 from .minimizers import super_kmers
 
 
 def count_kmers(seqs: DataFrame, k: int, policy: str = "skip", order: str | None = "ACGT") -> DataFrame:
-    """kmer and n: one shuffle of partial counts. order None counts k-mers as read."""
-    return valid_kmers(seqs.select("seq"), k, policy, order).groupBy("kmer").agg(F.count("*").alias("n"))
+    """kmer and n: one shuffle of partial counts. order None counts k-mers as read. Up to k = 31 k-mers are counted and shuffled as numbers."""
+    if k > packed.MOST_K:
+        return valid_kmers(seqs.select("seq"), k, policy, order).groupBy("kmer").agg(F.count("*").alias("n"))
+    counts = packed.code_counts(seqs, k, policy, order).groupBy("code").agg(F.sum("n").alias("n"))
+    return counts.select(packed.spelled("code", k, order).alias("kmer"), "n")
+
+
+#: Parts into which the super-k-mers of one minimizer are dealt.
+SALT = 8
 
 
 def count_through_super_kmers(seqs: DataFrame, k: int, m: int, order: str = "ACGT", policy: str = "skip") -> DataFrame:
-    """The same counts, with super-k-mers shuffled by minimizer instead of partial counts, and cut into k-mers behind the shuffle.
+    """The same counts, with super-k-mers shuffled by minimizer and cut into k-mers behind the shuffle.
 
-    This ships about (k + run - 1) bases per run instead of a k-mer per base; worth it where k-mers are long and mostly distinct.
+    This ships about (k + run - 1) bases per run instead of a number per k-mer. Super-k-mers of one minimizer go to up to ``SALT`` tasks,
+    so that a frequent one is no task of its own; partial counts are summed once more.
     """
     runs = super_kmers(seqs.select("seq"), k, m, policy=policy).select("minimizer", "seq")
-    return valid_kmers(runs.repartition("minimizer").select("seq"), k, order=order).groupBy("kmer").agg(F.count("*").alias("n"))
+    return count_kmers(runs.repartition("minimizer", F.pmod(F.xxhash64("seq"), F.lit(SALT))).select("seq"), k, order=order)
 
 
 def wrap_uint8(n: Column | str) -> Column:
@@ -40,15 +49,18 @@ def heavy_hitters(seqs: DataFrame, k: int, at_least: int = 4, most: int | None =
 
 
 def count_admitted(seqs: DataFrame, admitted: DataFrame, k: int, most: int | None = 255, policy: str = "skip") -> DataFrame:
-    """kmer and n of only those k-mers that ``admitted`` lists. Spark broadcasts the list or not by its size."""
-    seen = valid_kmers(seqs.select("seq"), k, policy).join(admitted.select("kmer"), "kmer", "left_semi")
-    counts = seen.groupBy("kmer").agg(F.count("*").alias("n"))
+    """kmer and n of only those k-mers that ``admitted`` lists. Counts are joined, not occurrences; Spark broadcasts the list or not by its size."""
+    counts = count_kmers(seqs, k, policy).join(admitted.select("kmer"), "kmer", "left_semi")
     return counts.withColumn("n", saturate("n", most).cast("long")) if most else counts
 
 
 def count_banks(seqs: DataFrame, k: int, bank: str, policy: str = "skip", order: str = "ACGT") -> DataFrame:
     """kmer, bank and n in long form."""
-    return valid_kmers(seqs.select(F.col(bank).alias("bank"), "seq"), k, policy, order).groupBy("kmer", "bank").agg(F.count("*").alias("n"))
+    named = seqs.select(F.col(bank).alias("bank"), "seq")
+    if k > packed.MOST_K:
+        return valid_kmers(named, k, policy, order).groupBy("kmer", "bank").agg(F.count("*").alias("n"))
+    counts = packed.code_counts(named, k, policy, order, ["bank"]).groupBy("code", "bank").agg(F.sum("n").alias("n"))
+    return counts.select(packed.spelled("code", k, order).alias("kmer"), "bank", "n")
 
 
 def count_vectors(long_counts: DataFrame, banks: list[str]) -> DataFrame:

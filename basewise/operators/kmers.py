@@ -1,7 +1,7 @@
 """K-mers of sequences.
 
-All overlapping k-mers come from one pass of a look-ahead pattern over the sequence, linear in its
-length; a sequence shorter than k gives none. Rows of k-mers are exploded right before they are
+All overlapping k-mers come from one pass of a look-ahead pattern over pieces of the sequence that overlap by k - 1, linear in its
+length in time and bounded in memory; a sequence shorter than k gives none. Rows of k-mers are exploded right before they are
 aggregated and never cached.
 """
 
@@ -21,6 +21,19 @@ def kmer_array(seq: Column, k: int, valid_only: bool = False) -> Column:
     return F.regexp_extract_all(seq, F.lit(f"(?s)(?=({letter}{{{k}}}))"), F.lit(1))
 
 
+#: Characters of the pieces that a sequence is cut into before its k-mers are taken.
+PIECE = 1 << 14
+
+
+def _pieces(s: DataFrame, others: list[str], k: int, piece: int | None = None) -> DataFrame:
+    """The column _s of ``s`` in pieces that overlap by k - 1 characters, and _at, the place of each."""
+    size = max(piece or PIECE, k)
+    parts = F.regexp_extract_all("_s", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    lapped = lambda p: F.transform(p, lambda x, i: F.concat(x, F.coalesce(F.substr(F.get(p, i + 1), F.lit(1), F.lit(k - 1)), F.lit(""))))
+    whole = s.withColumn("_parts", F.when(F.length("_s") > size, F.element_at(F.transform(F.array(parts), lapped), 1)).otherwise(F.array("_s")))
+    return whole.select(*others, F.posexplode("_parts").alias("_i", "_s")).select(*others, "_s", (F.col("_i") * size).alias("_at"))
+
+
 def kmers(seqs: DataFrame, k: int, policy: str = "skip", order: str = "ACGT", both_strands: bool = True) -> DataFrame:
     """The columns of ``seqs`` but seq, with pos (from 0), kmer and, with both_strands, rc and canonical.
 
@@ -28,13 +41,13 @@ def kmers(seqs: DataFrame, k: int, policy: str = "skip", order: str = "ACGT", bo
     are the reverse complements in order. Under ``skip`` k-mers with invalid characters are left out.
     """
     others = [c for c in seqs.columns if c != "seq"]
-    s = seqs.select(*others, clean(F.col("seq"), policy).alias("_s"))
-    forward = kmer_array(F.col("_s"), k)
+    s = _pieces(seqs.select(*others, clean(F.col("seq"), policy).alias("_s")), others, k)
+    forward, pos = kmer_array(F.col("_s"), k), (F.col("_pos") + F.col("_at")).alias("pos")
     if both_strands:
         pairs = F.arrays_zip(forward.alias("kmer"), F.reverse(kmer_array(revcomp("_s"), k)).alias("rc"))
-        out = s.select(*others, F.posexplode(pairs).alias("pos", "_p")).select(*others, "pos", F.col("_p.kmer").alias("kmer"), F.col("_p.rc").alias("rc"))
+        out = s.select(*others, "_at", F.posexplode(pairs).alias("_pos", "_p")).select(*others, pos, F.col("_p.kmer").alias("kmer"), F.col("_p.rc").alias("rc"))
     else:
-        out = s.select(*others, F.posexplode(forward).alias("pos", "kmer"))
+        out = s.select(*others, "_at", F.posexplode(forward).alias("_pos", "kmer")).select(*others, pos, "kmer")
     if policy == "skip":
         out = out.where(~F.col("kmer").rlike("[^ACGT]"))
     return out.withColumn("canonical", canonical("kmer", order, F.col("rc"))) if both_strands else out
@@ -46,7 +59,7 @@ def valid_kmers(seqs: DataFrame, k: int, policy: str = "skip", order: str | None
     This is the lean form for counting: no positions, and validity is part of the pattern.
     """
     others = [c for c in seqs.columns if c != "seq"]
-    s = seqs.select(*others, clean(F.col("seq"), policy).alias("_s"))
+    s = _pieces(seqs.select(*others, clean(F.col("seq"), policy).alias("_s")), others, k)
     forward = kmer_array(F.col("_s"), k, valid_only=True)
     if order is None:
         return s.select(*others, F.explode(forward).alias("kmer"))

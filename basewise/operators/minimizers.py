@@ -1,22 +1,21 @@
 """Minimizers, super-k-mers and buckets.
 
-Everything about one sequence is computed from arrays inside its row: no shuffle and no window over
+Everything about one sequence is computed from 2-bit numbers inside its row, a piece at a time: no shuffle and no window over
 rows. Super-k-mers leave the row as one record per run, not one per k-mer.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from ..functions.alphabet import canonical, check_order, clean, digits, encode, undigits
-from .kmers import kmer_array, valid_kmers
-
-
-def _bind(value: Column, use) -> Column:
-    """use(value), evaluated once per row also where lambdas refer to it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+from ..functions.alphabet import check_order, digits, encode
+from .packed import CHUNK, MOST_K, Minimizing, as_bytes, base_table, both_strands, check_k, code_counts, letters_of, spelled, strings
 
 
 def allowed(mmer: Column) -> Column:
@@ -24,81 +23,102 @@ def allowed(mmer: Column) -> Column:
     return F.instr(F.substr(mmer, F.lit(2)), F.lit("AA")) == 0
 
 
-def minimizer_array(seq: Column, k: int, m: int, order: str = "ACTG", ban_aa: bool = False, ranks: Column | None = None) -> Column:
-    """Per k-mer a struct of its minimizer's key, mmer (canonical) and at (its place, from 0); null where a letter is invalid.
-
-    The smallest canonical m-mer by ``order``, or by ``ranks`` (an array indexed by the m-mer's code) and then
-    ``order``; of equal ones the rightmost. With ban_aa, m-mers that ``allowed`` refuses count as the largest of all.
-    """
-    if not 1 <= m <= k:
-        raise ValueError("m must be between 1 and k")
+def _minimizing(seqs: DataFrame, k: int, m: int, order: str, policy: str, ban_aa: bool, ranks: DataFrame | None, hashed: bool) -> Minimizing:
+    if not 1 <= m <= k or m > MOST_K:
+        raise ValueError(f"m must be between 1 and k, {MOST_K} at most")
     check_order(order)
-    top = "3" * m
-
-    def item(x: Column, i: Column) -> Column:
-        canon = canonical(x, order)
-        key = digits(canon, order)
-        key = F.when(~allowed(canon), F.lit(top)).otherwise(key) if ban_aa else key
-        rank = F.get(ranks, encode(canon, order).cast("int")) if ranks is not None else F.lit(0)
-        return F.when(x.rlike("[^ACGT]"), None).otherwise(F.struct(rank.cast("long").alias("rank"), key.alias("key"), (-i).alias("back")))
-
-    width = k - m + 1
-    of_mmers = lambda mm: F.transform(
-        F.sequence(F.lit(1), F.size(mm) - width + 1),
-        lambda i: _bind(F.slice(mm, i, width), lambda w: F.when(F.exists(w, lambda x: x.isNull()), None).otherwise(F.array_min(w))),
-    )
-    found = _bind(F.transform(kmer_array(seq, m), item), lambda mm: F.when(F.size(mm) >= width, of_mmers(mm)).otherwise(F.array()))
-    return F.transform(found, lambda x: F.when(x.isNotNull(), F.struct(x["key"].alias("key"), undigits(x["key"], order).alias("mmer"), (-x["back"]).alias("at"))))
-
-
-def minimizers(seqs: DataFrame, k: int, m: int, order: str = "ACTG", policy: str = "skip", ban_aa: bool = False, ranks: DataFrame | None = None) -> DataFrame:
-    """One row per valid k-mer: the columns of ``seqs`` but seq, pos, kmer, minimizer and minimizer_at (both from 0)."""
+    table = None
+    if ranks is not None:  # 4**m numbers whatever the data
+        if m > 10:
+            raise ValueError("frequency ranks are for m up to 10")
+        known = ranks.select(encode(F.col("mmer"), order).alias("code"), F.col("rank").cast("long").alias("rank")).toPandas()
+        table = np.full(4**m, 4**m, np.int64)
+        table[known["code"].to_numpy()] = known["rank"].to_numpy()
+    return Minimizing(k, m, order, policy, ban_aa, table, hashed)
+
+
+def _mapped(seqs: DataFrame, others: list[str], added: str, rows_of) -> DataFrame:
+    """Rows of the columns ``others`` and ``added`` (names and types), from what rows_of yields for each text: arrays of equal length."""
+    names = [x.split()[0] for x in added.split(", ")]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts, held = [], 0
+            for i, text in enumerate(b.column("seq").to_pylist()):
+                for arrays in rows_of(text):
+                    n = len(arrays[0])
+                    if n:
+                        own = pa.array(np.full(n, i))
+                        parts.append(pa.RecordBatch.from_arrays([*(b.column(c).take(own) for c in others), *arrays], [*others, *names]))
+                        held += n
+                    if held > 50_000:
+                        yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
+                        parts, held = [], 0
+            if parts:
+                yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
+
+    kinds = [f"`{c}` {seqs.schema[c].dataType.simpleString()}" for c in others]
+    return seqs.select(*others, "seq").mapInArrow(cut, ", ".join([*kinds, added]))
+
+
+def minimizers(seqs: DataFrame, k: int, m: int, order: str = "ACTG", policy: str = "skip", ban_aa: bool = False, ranks: DataFrame | None = None, hashed: bool = False) -> DataFrame:
+    """One row per valid k-mer: the columns of ``seqs`` but seq, pos, kmer, minimizer and minimizer_at (both from 0).
+
+    The smallest canonical m-mer by ``order``, by ``ranks`` and then ``order``, or, with ``hashed``, by the 64-bit mix of its number (unsigned);
+    of equal ones the rightmost. With ban_aa, m-mers that ``allowed`` refuses count as the largest of all.
+    """
+    of = _minimizing(seqs, k, m, order, policy, ban_aa, ranks, hashed)
+
+    def rows(text: str | None):
+        codes = of.codes(text)
+        spelt = of.upper[codes]
+        for first, mini, place, ok in of.pieces(codes):
+            for at in range(0, len(ok), 1 << 15):  # spelled out some at a time
+                x = np.flatnonzero(ok[at : at + (1 << 15)]) + at
+                if len(x):
+                    words = np.lib.stride_tricks.sliding_window_view(spelt, k)[x + first]
+                    yield pa.array((x + first).astype(np.int32)), strings(words, np.full(len(x), k)), strings(letters_of(mini[x], m, order), np.full(len(x), m)), pa.array(place[x].astype(np.int32))
+
     others = [c for c in seqs.columns if c != "seq"]
-    s = seqs.select(*others, clean(F.col("seq"), policy).alias("_s"))
-    s, table = _with_ranks(s, ranks, m, order)
-    both = F.arrays_zip(kmer_array(F.col("_s"), k).alias("kmer"), minimizer_array(F.col("_s"), k, m, order, ban_aa, table).alias("mini"))
-    wide = s.select(*others, F.posexplode(both).alias("pos", "_x")).where("_x.mini is not null")
-    return wide.select(*others, "pos", F.col("_x.kmer").alias("kmer"), F.col("_x.mini.mmer").alias("minimizer"), F.col("_x.mini.at").alias("minimizer_at"))
-
-
-def _with_ranks(s: DataFrame, ranks: DataFrame | None, m: int, order: str) -> tuple[DataFrame, Column | None]:
-    """Adds the rank of every possible m-mer as one array: 4**m numbers whatever the data."""
-    if ranks is None:
-        return s, None
-    if m > 10:
-        raise ValueError("frequency ranks are for m up to 10")
-    every = s.sparkSession.range(4**m).select(F.col("id").alias("code"))
-    known = ranks.select(encode(F.col("mmer"), order).alias("code"), F.col("rank").cast("long").alias("rank"))
-    table = every.join(known, "code", "left").select("code", F.coalesce("rank", F.lit(4**m)).alias("rank"))
-    array = table.agg(F.transform(F.array_sort(F.collect_list(F.struct("code", "rank"))), lambda x: x["rank"]).alias("r")).scalar()
-    return s.withColumn("_ranks", array), F.col("_ranks")
-
-
-def super_kmers(seqs: DataFrame, k: int, m: int, order: str = "ACTG", policy: str = "skip", max_kmers: int | None = None, ban_aa: bool = False, ranks: DataFrame | None = None) -> DataFrame:
+    return _mapped(seqs, others, "pos int, kmer string, minimizer string, minimizer_at int", rows)
+
+
+def super_kmers(seqs: DataFrame, k: int, m: int, order: str = "ACTG", policy: str = "skip", max_kmers: int | None = None, ban_aa: bool = False, ranks: DataFrame | None = None, hashed: bool = False) -> DataFrame:
     """Runs of consecutive k-mers with one minimizer: the other columns, run_id, minimizer, start, n_kmers and seq.
 
     A run ends where the minimizer changes, at an invalid k-mer, or after ``max_kmers`` k-mers.
     """
+    of = _minimizing(seqs, k, m, order, policy, ban_aa, ranks, hashed)
+
+    def rows(text: str | None):
+        codes = of.codes(text)
+        n, starts, minis, valid, last = max(0, len(codes) - k + 1), [], [], [], None
+        for first, mini, _, ok in of.pieces(codes):  # runs go on from one piece to the next
+            turn = np.concatenate([[last is None or last[0] != mini[0] or last[1] != ok[0]], (mini[1:] != mini[:-1]) | (ok[1:] != ok[:-1])])
+            x = np.flatnonzero(turn)
+            starts.append(x + first)
+            minis.append(mini[x])
+            valid.append(ok[x])
+            last = mini[-1], ok[-1]
+        if not n:
+            return
+        start, mini, ok = (np.concatenate(a) for a in (starts, minis, valid))
+        size = np.diff(np.concatenate([start, [n]]))[ok]
+        start, mini = start[ok], mini[ok]
+        if max_kmers and len(size):
+            parts = -(-size // max_kmers)
+            step = (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * max_kmers
+            start, mini, size = np.repeat(start, parts) + step, np.repeat(mini, parts), np.minimum(np.repeat(size, parts) - step, max_kmers)
+        spelt = of.upper[codes]
+        for at in range(0, len(start), 20_000):
+            s, z = start[at : at + 20_000], size[at : at + 20_000] + (k - 1)
+            before = np.cumsum(z) - z
+            data = spelt[np.repeat(s - before, z) + np.arange(z.sum())]
+            ids = np.arange(at, at + len(s))
+            yield pa.array(ids), strings(letters_of(mini[at : at + 20_000], m, order), np.full(len(s), m)), pa.array(s.astype(np.int32)), pa.array((z - (k - 1)).astype(np.int32)), strings(data, z)
+
     others = [c for c in seqs.columns if c != "seq"]
-    s = seqs.select(*others, clean(F.col("seq"), policy).alias("_s"))
-    s, table = _with_ranks(s, ranks, m, order)
-
-    def runs(minis: Column) -> Column:
-        n = F.size(minis)
-        changed = lambda i: (i == 0) | ~F.get(minis, i)["key"].eqNullSafe(F.get(minis, i - 1)["key"])
-        starts = F.filter(F.sequence(F.lit(0), n - 1), changed)
-        return _bind(
-            starts,
-            lambda p: F.zip_with(p, F.concat(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), F.array(n)), lambda a, b: F.struct(F.get(minis, a)["mmer"].alias("minimizer"), a.alias("start"), (b - a).alias("n_kmers"))),
-        )
-
-    found = _bind(minimizer_array(F.col("_s"), k, m, order, ban_aa, table), lambda x: F.when(F.size(x) > 0, runs(x)).otherwise(F.array()))
-    found = F.filter(found, lambda r: r["minimizer"].isNotNull())
-    if max_kmers:
-        cut = lambda r: F.transform(F.sequence(F.lit(0), r["n_kmers"] - 1, F.lit(max_kmers)), lambda at: F.struct(r["minimizer"].alias("minimizer"), (r["start"] + at).alias("start"), F.least(F.lit(max_kmers), r["n_kmers"] - at).alias("n_kmers")))
-        found = F.flatten(F.transform(found, cut))
-    wide = s.select(*others, "_s", F.posexplode(found).alias("run_id", "_r"))
-    return wide.select(*others, F.col("run_id").cast("long").alias("run_id"), F.col("_r.minimizer").alias("minimizer"), F.col("_r.start").alias("start"), F.col("_r.n_kmers").alias("n_kmers"), F.substr("_s", F.col("_r.start") + 1, F.col("_r.n_kmers") + (k - 1)).alias("seq"))
+    return _mapped(seqs, others, "run_id long, minimizer string, start int, n_kmers int, seq string", rows)
 
 
 def mmer_ranks(seqs: DataFrame, m: int, order: str = "ACTG", share: float = 1.0, seed: int = 0) -> DataFrame:
@@ -107,7 +127,7 @@ def mmer_ranks(seqs: DataFrame, m: int, order: str = "ACTG", share: float = 1.0,
     ``share`` below 1 counts a sample of the sequences. The window runs over at most 4**m rows.
     """
     some = seqs.sample(share, seed) if share < 1 else seqs
-    counts = valid_kmers(some.select("seq"), m, order=order).groupBy(F.col("kmer").alias("mmer")).agg(F.count("*").alias("n"))
+    counts = code_counts(some, m, order=order).groupBy("code").agg(F.sum("n").alias("n")).select(spelled("code", m, order).alias("mmer"), "n")
     return counts.withColumn("rank", (F.row_number().over(Window.orderBy("n", digits("mmer", order))) - 1).cast("long"))
 
 
@@ -137,13 +157,29 @@ def run_lengths(supers: DataFrame) -> DataFrame:
     return supers.groupBy(F.col("n_kmers").cast("long").alias("n_kmers")).agg(F.count("*").alias("n_super_kmers"))
 
 
-def strand_runs(table: DataFrame, by: list[str]) -> DataFrame:
-    """run_length and n_runs of consecutive k-mers on the same strand (columns pos and kmer, canonical; a sequence is named by ``by``)."""
-    w = Window.partitionBy(*by).orderBy("pos")
-    forward = (F.col("kmer") == F.col("canonical")).cast("int")
-    turned = table.select(*by, "pos", forward.alias("f")).withColumn("new", (~F.col("f").eqNullSafe(F.lag("f").over(w)) | ~F.col("pos").eqNullSafe(F.lag("pos").over(w) + 1)).cast("int"))
-    runs = turned.withColumn("run", F.sum("new").over(w)).groupBy(*by, "run").agg(F.count("*").alias("run_length"))
-    return runs.groupBy("run_length").agg(F.count("*").alias("n_runs"))
+def strand_runs(seqs: DataFrame, k: int, order: str = "ACGT", policy: str = "skip") -> DataFrame:
+    """run_length and n_runs of consecutive valid k-mers on the same strand (a palindrome counts as forward)."""
+    table = base_table(order, policy)
+    check_k(k)
+
+    def lengths(text: str | None) -> np.ndarray:
+        codes = table[np.frombuffer(as_bytes(text), np.uint8)]
+        n, starts, kept, last = max(0, len(codes) - k + 1), [], [], None
+        for first in range(0, n, CHUNK):
+            forward, back, ok = both_strands(codes[first : first + CHUNK + k - 1], k, order)
+            side = np.where(ok, (forward <= back).astype(np.int8), np.int8(2))
+            x = np.flatnonzero(np.concatenate([[last is None or last != side[0]], side[1:] != side[:-1]]))
+            starts.append(x + first)
+            kept.append(side[x] < 2)
+            last = side[-1]
+        return np.diff(np.concatenate([*starts, [n]]))[np.concatenate(kept)] if n else np.empty(0, np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size, n = np.unique(np.concatenate([np.empty(0, np.int64), *(lengths(t) for t in b.column("seq").to_pylist())]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(size.astype(np.int64)), pa.array(n.astype(np.int64))], ["run_length", "n_runs"])
+
+    return seqs.select("seq").mapInArrow(count, "run_length long, n_runs long").groupBy("run_length").agg(F.sum("n_runs").alias("n_runs"))
 
 
 def greedy_partitions(bins: DataFrame, n: int, most: int = 1 << 20) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Sketches: distributed ones as tables of words and cells, local ones for order-dependent state.
+"""Sketches as tables of words and cells.
 
 A distributed Bloom filter is a table (word, bits) built by one bit_or aggregate; membership is an equi-join
 on the word. Its rows are bounded by its size, so it is broadcast up to a limit that is checked.
@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,10 +42,9 @@ def bloom_contains(rows: DataFrame, col: str, table: DataFrame, bits: int, hashe
     return hit.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") == hashes).select(F.col("key").alias(col))
 
 
-def seen_more_often(rows: DataFrame, col: str, levels: int, order: str) -> DataFrame:
-    """What a cascade of ``levels`` filters without errors lets pass: each occurrence after the first ``levels``."""
-    rank = F.row_number().over(Window.partitionBy(col).orderBy(order))
-    return rows.withColumn("_rank", rank).where(F.col("_rank") > levels).drop("_rank")
+def passed(counts: DataFrame, levels: int) -> DataFrame:
+    """What a cascade of ``levels`` filters without errors lets pass, as counts: each occurrence after the first ``levels``."""
+    return counts.where(F.col("n") > levels).withColumn("n", F.col("n") - levels)
 
 
 def count_min_table(keys: DataFrame, col: str, depth: int, width: int) -> DataFrame:
@@ -64,6 +62,7 @@ def count_min_estimate(keys: DataFrame, col: str, table: DataFrame, depth: int,
 
 def linear_count(keys: DataFrame, place: Column, bits: int) -> DataFrame:
     """n_distinct by linear counting over a bit map of ``bits`` places, its weight, and whether the load allows it (under 0.99)."""
+    # a full map gives no estimate: its row says so
     used = keys.select(place.alias("p")).groupBy("p").agg(F.count("*").alias("n")).agg(F.count("*").alias("weight"))
     free = (F.lit(bits) - F.col("weight")) / bits
     return used.select("weight", F.when(free > 0, F.floor(-bits * F.log(free))).cast("long").alias("n_distinct"), (F.col("weight") < 0.99 * bits).alias("accurate"))
@@ -95,109 +94,19 @@ def abundance_of(code: Column) -> Column:
 
 
 def dense_ids(keys: DataFrame, col: str) -> DataFrame:
-    """key and id: distinct keys numbered from 0 in order, range by range without a global window."""
-    ordered = keys.select(col).distinct().repartitionByRange(col).sortWithinPartitions(col)
-    parts = ordered.withColumn("_part", F.spark_partition_id())
-    inside = parts.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(col)) - 1)
-    # counted by rank, not by partition number: a key's id is the number of smaller keys
-    starts = inside.groupBy("_part").agg(F.min(col).alias("_low"), F.count("*").alias("_n"))
-    before = starts.select("_part", (F.sum("_n").over(Window.orderBy("_low")) - F.col("_n")).alias("_before"))
-    return inside.join(F.broadcast(before), "_part").select(col, (F.col("_before") + F.col("_at")).cast("long").alias("id"))
-
-
-class BitSet:
-    """Bits in memory."""
-
-    def __init__(self, n: int) -> None:
-        self.bits = np.zeros(n, bool)
-
-    def __len__(self) -> int:
-        return len(self.bits)
-
-    def get(self, i: int) -> bool:
-        return bool(self.bits[i])
-
-    def set(self, i: int) -> None:
-        self.bits[i] = True
-
-    def get_and_set(self, i: int) -> bool:
-        was = bool(self.bits[i])
-        self.bits[i] = True
-        return was
-
-    def reset(self) -> None:
-        self.bits[:] = False
-
-
-class BloomFilter:
-    """A filter of ``size`` bytes that can clear itself once too full."""
-
-    def __init__(self, size: int, hashes: int) -> None:
-        self.set, self.hashes, self.used = BitSet(8 * size), hashes, 0
-
-    def places(self, data: bytes) -> list[int]:
-        import hashlib
-
-        d = hashlib.blake2b(data, digest_size=16).digest()
-        a, b = int.from_bytes(d[:8], "little"), int.from_bytes(d[8:], "little")
-        return [(a + i * b) % len(self.set) for i in range(self.hashes)]
+    """key and id: distinct keys numbered from 0 in order, range by range without a global window.
 
-    def add(self, data: bytes) -> bool:
-        """Puts a value in; whether it seemed to be there before."""
-        was = [self.set.get_and_set(p) for p in self.places(data)]
-        self.used = int(self.set.bits.sum())
-        return all(was)
+    The ranges are written once, with their numbers, so that counts and ids come from the same rows.
+    """
+    from ..plans.scratch import scratch
 
-    def add_resetting(self, data: bytes, ratio: float) -> bool:
-        """The same; a filter with more than ``ratio`` of its bits set is emptied first."""
-        if self.used > ratio * len(self.set):
-            self.set.reset()
-            self.used = 0
-        return self.add(data)
-
-    def may_contain(self, data: bytes) -> bool:
-        return all(self.set.get(p) for p in self.places(data))
-
-
-class CascadingBloomFilter:
-    """Filters in a row: an insert stops at the first that does not know the value yet."""
-
-    def __init__(self, size: int, levels: int, ratio: float) -> None:
-        hashes = max(1, math.ceil(math.log(2) / ratio))
-        sizes = [size] if levels == 1 else [size // 2, *[size // 2 // (levels - 1)] * (levels - 1)]
-        self.ratio, self.filters = ratio, [BloomFilter(s, hashes) for s in sizes]
-
-    def sizes(self) -> list[int]:
-        """Bits of each filter."""
-        return [len(f.set) for f in self.filters]
-
-    def insert(self, data: bytes) -> bool:
-        """Whether all filters knew the value."""
-        return all(f.add_resetting(data, self.ratio) for f in self.filters)
-
-
-class CountMin:
-    """Small counters with conservative update: only the smallest of a key's cells grow."""
-
-    def __init__(self, depth: int, width: int, most: int = 3) -> None:
-        self.cells, self.most = np.zeros((depth, width), np.int64), most
-
-    def _at(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        filter_ = BloomFilter.__new__(BloomFilter)
-        filter_.set, filter_.hashes = BitSet(self.cells.shape[1]), len(self.cells)
-        return np.arange(len(self.cells)), np.array(filter_.places(data))
-
-    def estimate(self, data: bytes) -> int:
-        return int(self.cells[self._at(data)].min())
-
-    def add(self, data: bytes) -> int:
-        """Counts a value; what it stood at before."""
-        at = self._at(data)
-        least = int(self.cells[at].min())
-        if least < self.most:
-            self.cells[at] = np.maximum(self.cells[at], least + 1)
-        return least
-
-    def histogram(self) -> list[int]:
-        """How many cells hold 0, 1, and so on."""
-        return np.bincount(self.cells.ravel(), minlength=self.most + 1).tolist()
+    ordered = keys.select(col).distinct().repartitionByRange(col).sortWithinPartitions(col)
+    inside = ordered.withColumn("_row", F.monotonically_increasing_id())
+    path = scratch(keys.sparkSession, "dense-ids")
+    inside.write.parquet(path)
+    rows = keys.sparkSession.read.schema(inside.schema).parquet(path)
+    part = F.shiftright("_row", 33)  # a row number holds its range above 33 bits, and its rank in the range below
+    starts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # one row per range
+    before = starts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    rank = F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn("_part", part).join(F.broadcast(before), "_part").select(col, (F.col("_before") + rank).cast("long").alias("id"))

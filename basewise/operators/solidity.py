@@ -17,29 +17,35 @@ class Solidity(str, Enum):
     CUSTOM = "custom"
 
 
-MOST = (1 << 31) - 1
+#: A range of counts, both ends included; None as its upper end leaves it open.
+Range = tuple[int, int | None]
 
 
-def complete_thresholds(thresholds: list[int | tuple[int, int]], n_banks: int) -> list[tuple[int, int]]:
-    """One inclusive range per bank: a bare number is a minimum, and missing ones repeat the last."""
+def within(n: Column, bounds: Range) -> Column:
+    low, high = bounds
+    return n >= low if high is None else n.between(low, high)
+
+
+def complete_thresholds(thresholds: list[int | Range], n_banks: int) -> list[Range]:
+    """One inclusive range per bank: a bare number is a minimum without an upper end, and missing ones repeat the last."""
     if not thresholds:
         raise ValueError("at least one threshold is needed")
     if len(thresholds) > n_banks:
         raise ValueError(f"{len(thresholds)} thresholds for {n_banks} banks")
-    ranges = [t if isinstance(t, tuple) else (t, MOST) for t in thresholds]
+    ranges = [t if isinstance(t, tuple) else (t, None) for t in thresholds]
     return ranges + [ranges[-1]] * (n_banks - len(ranges))
 
 
-def is_solid(kind: Solidity | str, thresholds: list[int | tuple[int, int]], n_banks: int, custom: list[bool] | None = None, counts: Column | None = None) -> Column:
+def is_solid(kind: Solidity | str, thresholds: list[int | Range], n_banks: int, custom: list[bool] | None = None, counts: Column | None = None) -> Column:
     """Whether the vector ``counts`` is solid. One bank alone is always judged by its sum."""
     kind = Solidity.SUM if n_banks == 1 else Solidity(kind)
     counts = F.col("counts") if counts is None else counts
     ranges = complete_thresholds(thresholds, n_banks)
-    inside = [F.get(counts, F.lit(i)).between(lo, hi) for i, (lo, hi) in enumerate(ranges)]
+    inside = [within(F.get(counts, F.lit(i)), r) for i, r in enumerate(ranges)]
     if kind is Solidity.SUM:
-        return F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x).between(*ranges[0])
+        return within(F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x), ranges[0])
     if kind in (Solidity.MIN, Solidity.MAX):
-        return (F.array_min if kind is Solidity.MIN else F.array_max)(counts).between(*ranges[0])
+        return within((F.array_min if kind is Solidity.MIN else F.array_max)(counts), ranges[0])
     if kind is Solidity.CUSTOM:
         if custom is None or len(custom) != n_banks:
             raise ValueError("custom solidity needs one flag per bank")
@@ -50,13 +56,13 @@ def is_solid(kind: Solidity | str, thresholds: list[int | tuple[int, int]], n_ba
     return out
 
 
-def solid_kmers(vectors: DataFrame, kind: Solidity | str, thresholds: list[int | tuple[int, int]], n_banks: int, custom: list[bool] | None = None) -> DataFrame:
+def solid_kmers(vectors: DataFrame, kind: Solidity | str, thresholds: list[int | Range], n_banks: int, custom: list[bool] | None = None) -> DataFrame:
     return vectors.where(is_solid(kind, thresholds, n_banks, custom))
 
 
-def abundance_filter(counts: DataFrame, low: int = 1, high: int = MOST) -> DataFrame:
-    """Rows of (kmer, n) with n in the inclusive range."""
-    return counts.where(F.col("n").between(low, high))
+def abundance_filter(counts: DataFrame, low: int = 1, high: int | None = None) -> DataFrame:
+    """Rows of (kmer, n) with n in the inclusive range, open above without ``high``."""
+    return counts.where(within(F.col("n"), (low, high)))
 
 
 def solidity_stats(vectors: DataFrame, solid: Column) -> DataFrame:

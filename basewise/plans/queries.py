@@ -377,9 +377,15 @@ def minimizer_frequency_rank(spark, sf_dir):
     return minimizers.mmer_ranks(stripped(spark, sf_dir), MM)
 
 
-@query()
+_RANKED = _minis(key="lpad(CAST(coalesce(rank, 1024) AS VARCHAR), 5, '0') || least(translate(f, 'ACTG', '0123'), translate(r, 'ACTG', '0123'))")
+_RANKED = _RANKED.replace("FROM f)", "FROM f LEFT JOIN k ON k.mmer = translate(least(translate(f, 'ACTG', '0123'), translate(r, 'ACTG', '0123')), '0123', 'ACTG'))", 1).replace(f"substr(best, 1, {MM})", f"substr(best, 6, {MM})").replace(f"substr(best, {MM + 1})", f"substr(best, {MM + 6})")
+
+
+_RANKED = _RANKED.removeprefix(f"WITH {SEQ}, ").replace("i AS (", "i2 AS (", 1).replace("FROM i WHERE", "FROM i2 WHERE")
+
+
+@query(_RANKS + ", k AS (SELECT mmer, row_number() OVER (ORDER BY n, translate(mmer, 'ACTG', '0123')) - 1 AS rank FROM q), " + _RANKED + " SELECT minimizer, count(*) AS n_kmers FROM m GROUP BY 1")
 def minimizers_by_frequency(spark, sf_dir):
-    """Checked against brute force in the tests."""
     seqs = stripped(spark, sf_dir)
     found = minimizers.minimizers(seqs, MK, MM, ranks=minimizers.mmer_ranks(seqs, MM))
     return found.groupBy("minimizer").agg(F.count("*").alias("n_kmers"))
@@ -416,7 +422,7 @@ def partition_stats(spark, sf_dir):
     "g AS (SELECT doc_id, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM e), r AS (SELECT doc_id, run, count(*) AS run_length FROM g GROUP BY 1, 2) SELECT run_length, count(*) AS n_runs FROM r GROUP BY 1"
 )
 def strand_runs(spark, sf_dir):
-    return minimizers.strand_runs(kmers.kmers(stripped(spark, sf_dir), K), ["doc_id"])
+    return minimizers.strand_runs(stripped(spark, sf_dir), K)
 
 
 @query(_minis() + f", x AS (SELECT substr(seq, pos + 1, {MK}) AS kmer, minimizer_at - pos AS place FROM m JOIN s USING (doc_id)) SELECT substr(kmer, 1, place) || substr(kmer, place + {MM} + 1) AS compacted, count(*) AS n FROM x GROUP BY 1")
@@ -559,10 +565,10 @@ _BITS = 1 << 12
 _CODE7 = " + ".join(f"(instr('ACTG', substr(kmer, {i + 1}, 1)) - 1) * {4 ** (6 - i)}" for i in range(7))
 
 
-@query(_c(7) + f", p AS (SELECT count(DISTINCT (CAST({_CODE7} AS BIGINT) * 40503) % {_BITS}) AS w FROM c) SELECT w AS weight, CAST(floor(-{_BITS} * ln(({_BITS} - w) / {_BITS})) AS BIGINT) AS n_distinct, w < 0.99 * {_BITS} AS accurate FROM p WHERE w < {_BITS}")
+@query(_c(7) + f", p AS (SELECT count(DISTINCT (CAST({_CODE7} AS BIGINT) * 40503) % {_BITS}) AS w FROM c) SELECT w AS weight, CASE WHEN w < {_BITS} THEN CAST(floor(-{_BITS} * ln((greatest({_BITS} - w, 1)) / {_BITS})) AS BIGINT) END AS n_distinct, w < 0.99 * {_BITS} AS accurate FROM p")
 def linear_counting(spark, sf_dir):
     held = counting.count_kmers(stripped(spark, sf_dir), 7)
-    return sketches.linear_count(held, A.encode("kmer") * 40503 % _BITS, _BITS).where(f"weight < {_BITS}")
+    return sketches.linear_count(held, A.encode("kmer") * 40503 % _BITS, _BITS)
 
 
 def _scale_sql() -> tuple[str, str]:
@@ -587,8 +593,7 @@ def dense_ids(spark, sf_dir):
 
 @query(_w(7) + ", r AS (SELECT least(fwd, rc) AS kmer, row_number() OVER (PARTITION BY least(fwd, rc) ORDER BY doc_id, pos) AS k FROM w) SELECT kmer, count(*) AS n FROM r WHERE k > 3 GROUP BY 1")
 def cascade_passed(spark, sf_dir):
-    rows = kmers.kmers(stripped(spark, sf_dir), 7).select(F.col("canonical").alias("kmer"), F.struct("doc_id", "pos").alias("at"))
-    return sketches.seen_more_often(rows, "kmer", 3, "at").groupBy("kmer").agg(F.count("*").alias("n"))
+    return sketches.passed(counting.count_kmers(stripped(spark, sf_dir), 7), 3)
 
 
 # --- streaming ------------------------------------------------------------------------------------

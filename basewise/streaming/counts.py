@@ -9,13 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.kmers import valid_kmers
-from ..operators.sketches import BloomFilter
+from ..operators.counting import count_kmers
 
 
 def running_counts(stream: DataFrame, k: int, policy: str = "skip", order: str = "ACGT") -> DataFrame:
     """kmer and n over all that has arrived: a streaming aggregate for output mode update or complete."""
-    return valid_kmers(stream.select("seq"), k, policy, order).groupBy("kmer").agg(F.count("*").alias("n"))
+    return count_kmers(stream, k, policy, order)
 
 
 def admitted(stream: DataFrame, k: int, at_least: int = 4, policy: str = "skip") -> DataFrame:
@@ -32,17 +31,3 @@ def run_to_table(counts: DataFrame, path: str, checkpoint: str) -> DataFrame:
     query = counts.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return counts.sparkSession.read.schema(counts.schema).parquet(path)
-
-
-class ResettingMembership:
-    """Batches through one filter that empties itself when full. Order matters: rows are taken in the order
-    of ``order``, a batch at a time on the driver, for streams of moderate batches (at most ``most`` rows, checked)."""
-
-    def __init__(self, size: int, hashes: int, ratio: float, most: int = 1_000_000) -> None:
-        self.filter, self.ratio, self.most, self.known = BloomFilter(size, hashes), ratio, most, 0
-
-    def __call__(self, batch: DataFrame, _: int) -> None:
-        rows = batch.select("kmer").limit(self.most + 1).collect()
-        if len(rows) > self.most:
-            raise ValueError(f"a batch has more than {self.most} rows")
-        self.known += sum(self.filter.add_resetting(r.kmer.encode(), self.ratio) for r in rows)

@@ -109,8 +109,56 @@ def test_minimizers_by_rank_take_the_rarest(spark, reads):
 
 
 def test_banned_mmers_lose(spark):
-    got = minimizers.minimizers(banks.from_strings(spark, ["CAACCGT"]), 7, 3, ban_aa=True).first()
-    assert got.minimizer == "AAC" or "AA" not in got.minimizer[1:]
+    seq = "CAACCGTCAAAG"
+
+    def best(i, m):
+        options = []
+        for j in range(i, i + 7 - m + 1):
+            w = min(seq[j : j + m], rc(seq[j : j + m]), key=lambda x: ["ACTG".index(c) for c in x])
+            key = [3] * m if "AA" in w[1:] else ["ACTG".index(c) for c in w]
+            options.append((key, -j))
+        return "".join("ACTG"[c] for c in min(options)[0])
+
+    got = minimizers.minimizers(banks.from_strings(spark, [seq]), 7, 3, ban_aa=True).select("pos", "minimizer")
+    assert rows(got) == {(i, best(i, 3)) for i in range(len(seq) - 6)}
+
+
+def test_minimizers_by_hash(spark, reads):
+    import numpy as np
+
+    seqs = [r for r in reads if set(r) <= set("ACGT")]
+
+    def best(s, i):
+        options = []
+        for j in range(i, i + 6):
+            w = min([["ACTG".index(c) for c in x] for x in (s[j : j + 4], rc(s[j : j + 4]))])
+            code = sum(d * 4 ** (3 - p) for p, d in enumerate(w))
+            options.append((int(H.mix64(np.array([code], np.uint64))[0]), -j, "".join("ACTG"[d] for d in w)))
+        return min(options)[2]
+
+    got = minimizers.minimizers(banks.from_strings(spark, seqs), 9, 4, hashed=True).select("seq_id", "pos", "minimizer")
+    assert rows(got) == {(n, i, best(s, i)) for n, s in enumerate(seqs) for i in range(len(s) - 8)}
+
+
+def test_long_sequences_are_cut_without_seams(spark, reads, monkeypatch):
+    from basewise.operators import packed
+
+    bank = banks.from_strings(spark, ["".join(reads[:30]) + "N" + "ACGT" * 30, *reads])
+    plain = [rows(counting.count_kmers(bank, 9)), rows(minimizers.minimizers(bank, 9, 4)), rows(minimizers.super_kmers(bank, 9, 4)), rows(kmers.kmers(bank, 9)), rows(kmers.valid_kmers(bank, 33)), rows(minimizers.strand_runs(bank, 9))]
+    assert plain[0] == set(brute([r.upper() for r in ["".join(reads[:30]) + "N" + "ACGT" * 30, *reads]], 9).items())
+    for module in (packed, minimizers):
+        monkeypatch.setattr(module, "CHUNK", 16)
+    monkeypatch.setattr(kmers, "PIECE", 64)
+    # functions are shipped with the values that their modules have in the worker, so pieces are cut in this process
+    made = packed.Minimizing(9, 4, "ACTG", "skip", False, None, False)
+    for text in reads:
+        codes = made.codes(text)
+        small = [np_.tolist() for np_ in map(lambda x: __import__("numpy").concatenate(x), zip(*[p[1:] for p in made.pieces(codes)]))] if len(codes) >= 9 else []
+        monkeypatch.setattr(packed, "CHUNK", 1 << 20)
+        whole = [x.tolist() for p in made.pieces(codes) for x in p[1:]]
+        monkeypatch.setattr(packed, "CHUNK", 16)
+        assert small == whole
+    assert rows(kmers.kmers(bank, 9)) == plain[3] and rows(kmers.valid_kmers(bank, 33)) == plain[4]
 
 
 def test_repartition(spark):
@@ -163,9 +211,12 @@ def test_solidity_rules(spark):
     assert kept("one", [5, 9], 2) == ["a", "c"]
     assert kept("all", [1, 3], 2) == ["b"]
     assert kept("custom", [3], 2, [True, False]) == ["a"]
+    huge = spark.createDataFrame([("x", [1 << 40], 1 << 40)], "kmer string, counts array<long>, total long")
+    assert solidity.solid_kmers(huge, "sum", [2], 1).count() == 1
+    assert solidity.abundance_filter(huge.select("kmer", F.col("total").alias("n")), 2).count() == 1
     with pytest.raises(ValueError):
         solidity.complete_thresholds([1, 2, 3], 2)
-    assert solidity.complete_thresholds([4], 3) == [(4, solidity.MOST)] * 3
+    assert solidity.complete_thresholds([4], 3) == [(4, None)] * 3
 
 
 def test_auto_cutoff(spark):
@@ -245,35 +296,6 @@ def test_count_files(spark, tmp_path):
 # --- sketches --------------------------------------------------------------------------------------
 
 
-def test_bit_set():
-    b = sketches.BitSet(100)
-    for i in (0, 15, 63, 99):
-        assert not b.get_and_set(i) and b.get(i)
-    assert len(b) == 100 and b.bits.sum() == 4
-    b.reset()
-    assert not b.bits.any()
-
-
-def test_bloom_filter():
-    f = sketches.BloomFilter(16, 1)
-    assert len(f.set) == 128 and not f.add(b"\x00") and f.add(b"\x00") and f.used == 1
-    for i in range(1, 200):
-        f.add_resetting(bytes([i]), 0.5)
-        assert f.used <= 65
-
-
-def test_cascade():
-    c = sketches.CascadingBloomFilter(256, 3, 0.5)
-    assert c.sizes() == [1024, 512, 512]
-    assert [c.insert(b"x") for _ in range(4)] == [False, False, False, True]
-
-
-def test_count_min():
-    c = sketches.CountMin(2, 64)
-    assert [c.add(b"k") for _ in range(5)] == [0, 1, 2, 3, 3]
-    assert sum(c.histogram()) == 128
-
-
 def test_abundance_scale(spark):
     got = spark.createDataFrame([(0,), (69,), (70,), (99,), (100,), (499,), (49_999,), (10**9,)], "n long").select("n", sketches.abundance_code(F.col("n")).alias("c")).select("n", "c", sketches.abundance_of(F.col("c")).alias("a"))
     assert [(r.c, r.a) for r in got.orderBy("n").collect()] == [(0, 0), (69, 69), (70, 71), (84, 99), (85, 105), (124, 495), (254, 49_500), (255, 50_000)]
