@@ -92,8 +92,15 @@ def tile(seqs: DataFrame, size: int, overlap: int, coverage: int = 1) -> DataFra
 
 
 def random_reads(spark, n: int, length: int, seed: int = 0) -> DataFrame:
-    """n random sequences, the same for the same seed."""
-    draws = F.transform(F.sequence(F.lit(1), F.lit(length)), lambda i: F.substr(F.lit("ACTG"), F.pmod(F.xxhash64(F.col("id"), i, F.lit(seed)), F.lit(4)).cast("int") + 1, F.lit(1)))
+    """n random sequences, the same for the same seed: a quadratic and a linear step modulo a prime from id, place and seed."""
+    prime = F.lit((1 << 31) - 1).cast("long")
+
+    def letter(i):
+        x = (F.col("id") % prime * 7919 + i * 104729 + seed * 15485863) % prime
+        y = x * x % prime * 48271 % prime
+        return F.substr(F.lit("ACTG"), (F.shiftright(y, 16) % 4).cast("int") + 1, F.lit(1))
+
+    draws = F.transform(F.sequence(F.lit(1).cast("long"), F.lit(length).cast("long")), letter)
     return spark.range(n).select(F.col("id").alias("seq_id"), F.concat_ws("", draws).alias("seq"))
 
 

@@ -271,7 +271,22 @@ def kmer_histogram_2d(spark, sf_dir):
     return histogram.histogram_2d(_vectors(spark, sf_dir))
 
 
-@query()
+# the smoothed histogram, its first rise, the peak, the valley before it and the count that a quarter of all occurrences stay below
+_CUTOFF = (
+    _c(9) + ", hh AS MATERIALIZED (SELECT t.i, coalesce(n_kmers, 0) AS h FROM range(1, 10002) t(i) LEFT JOIN (SELECT least(n, 10000) AS i, count(*) AS n_kmers FROM c GROUP BY 1) x ON x.i = t.i), "
+    "sm AS MATERIALIZED (SELECT i, h, CASE WHEN i = 1 THEN floor(6e-1 * h + 4e-1 * lead(h) OVER (ORDER BY i)) WHEN i < 10000 THEN floor(2e-1 * lag(h) OVER (ORDER BY i) + 6e-1 * h + 2e-1 * lead(h) OVER (ORDER BY i)) ELSE 0 END AS smooth, "
+    "sum(i * h) OVER (ORDER BY i) AS seen, sum(i * h) OVER () AS occ FROM hh), "
+    "ri AS (SELECT min(i) AS rise FROM (SELECT i, smooth, lag(smooth) OVER (ORDER BY i) AS before FROM sm) WHERE i BETWEEN 2 AND 9999 AND before < smooth), "
+    "pe AS (SELECT i AS peak FROM sm, ri WHERE i BETWEEN rise AND 9999 ORDER BY smooth DESC, i LIMIT 1), "
+    "va AS (SELECT i AS valley FROM sm, ri, pe WHERE i BETWEEN rise - 1 AND peak ORDER BY smooth, i LIMIT 1), "
+    "li AS (SELECT coalesce(min(i) + 1, 0) AS most FROM sm WHERE occ > 0 AND 4 * seen >= occ), "
+    "cu AS (SELECT rise, CASE WHEN rise IS NULL THEN 2 ELSE greatest(least((SELECT valley FROM va), most), 2) END AS cutoff FROM ri, li) "
+    "SELECT CAST(cutoff AS BIGINT) AS cutoff, (SELECT peak FROM pe) AS first_peak, CASE WHEN rise IS NOT NULL THEN CAST((SELECT sum(h) FROM hh WHERE i >= cutoff) AS BIGINT) END AS n_solid, "
+    "CAST(floor(coalesce((SELECT CAST(sum(i * h) FILTER (i < cutoff) AS DOUBLE) / nullif(max(occ), 0) FROM sm), 0) * 10000) AS BIGINT) AS weak_ratio_x10000 FROM cu"
+)
+
+
+@query(_CUTOFF)
 def auto_cutoff(spark, sf_dir):
     c = histogram.auto_cutoff(histogram.histogram(counting.count_kmers(stripped(spark, sf_dir), 9)))
     return spark.createDataFrame([(c.cutoff, c.first_peak, c.n_solid, int(c.weak_ratio * 10000))], "cutoff long, first_peak long, n_solid long, weak_ratio_x10000 long")
@@ -396,7 +411,15 @@ def _bins(spark, sf_dir) -> DataFrame:
     return runs.groupBy(F.col("minimizer").alias("bin")).agg(F.sum("n_kmers").cast("long").alias("size"))
 
 
-@query()
+_GREEDY = (
+    _minis().replace("WITH ", "WITH RECURSIVE ", 1) + _RUNS + ", od AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY size DESC, bin) AS r FROM (SELECT minimizer AS bin, CAST(sum(n_kmers) AS BIGINT) AS size FROM u GROUP BY 1)), "
+    "gr(r, loads, part) AS (SELECT CAST(0 AS BIGINT), list_transform(range(16), lambda x: CAST(0 AS BIGINT)), CAST(-1 AS INTEGER) UNION ALL "
+    "SELECT od.r, list_transform(loads, lambda v, p: v + CASE WHEN p = list_position(loads, list_min(loads)) THEN od.size ELSE 0 END), CAST(list_position(loads, list_min(loads)) - 1 AS INTEGER) FROM gr JOIN od ON od.r = gr.r + 1) "
+    "SELECT bin, size, part FROM gr JOIN od USING (r)"
+)
+
+
+@query(_GREEDY)
 def greedy_repartition(spark, sf_dir):
     return minimizers.greedy_partitions(_bins(spark, sf_dir), 16)
 
@@ -483,7 +506,11 @@ def tile_sequences(spark, sf_dir):
     return tiles.select("doc_id", "copy", F.col("start").cast("long").alias("start"), "seq")
 
 
-@query()
+@query(
+    "WITH d AS (SELECT id, p, (id * 7919 + p * 104729 + 7 * 15485863) % 2147483647 AS x FROM range(1000) a(id), range(1, 151) b(p)), "
+    "e AS (SELECT id, p, (x * x % 2147483647) * 48271 % 2147483647 AS y FROM d) "
+    "SELECT id AS seq_id, string_agg(substr('ACTG', CAST((y // 65536) % 4 + 1 AS INTEGER), 1), '' ORDER BY p) AS seq FROM e GROUP BY id"
+)
 def random_reads(spark, sf_dir):
     return kmers.random_reads(spark, 1000, 150, 7)
 
