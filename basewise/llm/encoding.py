@@ -29,6 +29,7 @@ BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b
 #: Appended to each document.
 END_ID = 2
 
+
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -111,8 +112,13 @@ class Encoder:
             del p[0]
             pieces.update(p)
         fresh, memo = self.learn(pieces), self.memo
+        known = memo.__getitem__
         for i, p in split:
-            out[i] = b"".join([memo.get(x) or fresh[x] for x in p])[4:]  # without the newline that was put in front
+            try:
+                ids = b"".join(map(known, p))
+            except KeyError:  # a long piece, which the memo does not keep
+                ids = b"".join([memo.get(x) or fresh[x] for x in p])
+            out[i] = ids[4:]  # without the newline that was put in front
         return out
 
 

@@ -98,7 +98,7 @@ def write_sequences(docs: DataFrame, folder: str, length: int = LENGTH, vocabula
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, number, current = TaskContext.get().partitionId(), 0, None
+        part, number, current, held = TaskContext.get().partitionId(), 0, None, 0  # held: ids of the file at hand
         wide = _vocabulary_size(vocabulary) > 1 << 16
         for b in batches:
             counts = []  # of the rows from `first` on, which are not yet in an index
@@ -107,12 +107,13 @@ def write_sequences(docs: DataFrame, folder: str, length: int = LENGTH, vocabula
                 current = current or _File(folder, length, wide)
                 ids = np.frombuffer(raw, "<u4").copy()
                 counts.append(len(ids))
+                held += len(ids)
                 ids[-1] |= 1 << 31
                 current.out.add(ids)
-                if current.n_tokens + sum(counts) >= file_tokens:
+                if held >= file_tokens:
                     current.index(b.column("doc_id").slice(first, len(counts)), counts)
                     yield current.close(part, number)
-                    current, number, first, counts = None, number + 1, k + 1, []
+                    current, number, first, counts, held = None, number + 1, k + 1, [], 0
             if counts:
                 current.index(b.column("doc_id").slice(first, len(counts)), counts)
         if current:
