@@ -286,6 +286,18 @@ _CUTOFF = (
 )
 
 
+@query(_c(9) + " SELECT least(n, 10000) AS count, count(*) AS n_kmers FROM c GROUP BY 1")
+def histogram_roundtrip(spark, sf_dir):
+    path = scratch(spark, "histogram")
+    counts.write_histogram(kmer_histogram(spark, sf_dir), path)
+    return spark.read.option("sep", "\t").schema("count long, n_kmers long").csv(path)
+
+
+@query(_banks() + " SELECT least(total - n_de, 10000) AS count_reads, " + ", ".join(f'count(*) FILTER (least(n_de, 10) = {i}) AS "{i}"' for i in range(11)) + " FROM v GROUP BY 1")
+def histogram_pivot(spark, sf_dir):
+    return histogram.pivot_2d(kmer_histogram_2d(spark, sf_dir))
+
+
 @query(_CUTOFF)
 def auto_cutoff(spark, sf_dir):
     c = histogram.auto_cutoff(histogram.histogram(counting.count_kmers(stripped(spark, sf_dir), 9)))
@@ -440,6 +452,19 @@ def partition_stats(spark, sf_dir):
     return minimizers.partition_stats(minimizers.route(runs, minimizers.grouped_partitions(bins, 16, ["bin"])))
 
 
+@query(
+    _minis() + _RUNS + ", b AS (SELECT minimizer AS bin, CAST(sum(n_kmers) AS BIGINT) AS size FROM u GROUP BY 1), "
+    "y AS (SELECT bin, CAST(least(floor((sum(size) OVER (ORDER BY bin) - size) * 16 / (sum(size) OVER ())), 15) AS INTEGER) AS part FROM b) "
+    f"SELECT part, doc_id, run_id, minimizer, start, n_kmers, substr(seq, start + 1, n_kmers + {MK - 1}) AS seq FROM u JOIN y ON minimizer = bin JOIN s USING (doc_id)"
+)
+def super_kmer_files(spark, sf_dir):
+    """Super-k-mers written part by part and read back."""
+    runs = super_kmers(spark, sf_dir)
+    path = scratch(spark, "super-kmers")
+    counts.write_super_kmers(minimizers.route(runs, minimizers.grouped_partitions(_bins(spark, sf_dir), 16, ["bin"])), path)
+    return counts.read_super_kmers(spark, path)
+
+
 @query(
     _w(K) + ", d AS (SELECT doc_id, pos, fwd = least(fwd, rc) AS f FROM w), e AS (SELECT *, CASE WHEN f IS DISTINCT FROM lag(f) OVER (PARTITION BY doc_id ORDER BY pos) THEN 1 ELSE 0 END AS new FROM d), "
     "g AS (SELECT doc_id, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM e), r AS (SELECT doc_id, run, count(*) AS run_length FROM g GROUP BY 1, 2) SELECT run_length, count(*) AS n_runs FROM r GROUP BY 1"
@@ -515,6 +540,19 @@ def random_reads(spark, sf_dir):
     return kmers.random_reads(spark, 1000, 150, 7)
 
 
+@query(_c() + " SELECT kmer, n, 5 AS kmer_size FROM c WHERE n >= 3")
+def solid_table_roundtrip(spark, sf_dir):
+    path = scratch(spark, "solid")
+    counts.write_solid(solidity.abundance_filter(counting.count_kmers(stripped(spark, sf_dir), K), 3), path, K)
+    table, k = counts.read_solid(spark, path)
+    return table.withColumn("kmer_size", F.lit(k))
+
+
+@query(f"WITH {SEQ} SELECT count(*) AS n_seqs, CAST(sum(length(seq)) AS BIGINT) AS bases, CAST(sum((length(seq) + 3) // 4) AS BIGINT) AS packed_bytes FROM s WHERE length(seq) > 0")
+def bank_conversion(spark, sf_dir):
+    return counts.convert_bank(stripped(spark, sf_dir).select("doc_id", "seq"), scratch(spark, "packed-bank"))
+
+
 _READS = f"WITH {SEQ} SELECT CAST(doc_id AS VARCHAR) AS comment, seq FROM s"
 
 
@@ -577,6 +615,26 @@ def bloom_membership(spark, sf_dir):
     return held.agg(F.count("*").alias("n_held")).join(found.agg(F.count("*").alias("n_found")))
 
 
+@query(
+    _w(9) + ", a AS (SELECT DISTINCT least(fwd, rc) AS kmer FROM w WHERE bank = 'fr'), b AS (SELECT DISTINCT least(fwd, rc) AS kmer FROM w WHERE bank <> 'fr' EXCEPT SELECT kmer FROM a) "
+    "SELECT (SELECT count(*) FROM a) AS n_held, (SELECT count(*) FROM a) AS n_found, (SELECT count(*) FROM b) AS n_others, true AS few_false"
+)
+def bloom_files(spark, sf_dir):
+    """A filter of one bank's k-mers, written and read back, must know each of them, and take at most one in fifty of the others for its own."""
+    seqs = stripped(spark, sf_dir)
+    held = counting.count_kmers(seqs.where("bank = 'fr'"), 9).select("kmer")
+    others = counting.count_kmers(seqs.where("bank <> 'fr'"), 9).select("kmer").join(held, "kmer", "left_anti")
+    bits, hashes = sketches.bloom_size(held.count(), 12)
+    path = scratch(spark, "bloom")
+    counts.write_bloom(sketches.bloom_table(held, "kmer", bits, hashes), path, bits, hashes)
+    table, bits, hashes = counts.read_bloom(spark, path)
+    found = sketches.bloom_contains(held, "kmer", table, bits, hashes)
+    false = sketches.bloom_contains(others, "kmer", table, bits, hashes)
+    rows = [held.agg(F.count("*").alias("n_held")), found.agg(F.count("*").alias("n_found")), others.agg(F.count("*").alias("n_others")), false.agg(F.count("*").alias("n_false"))]
+    one = rows[0].join(rows[1]).join(rows[2]).join(rows[3])  # one row each
+    return one.select("n_held", "n_found", "n_others", (F.col("n_false") * 50 <= F.col("n_others")).alias("few_false"))
+
+
 @query(_c(7) + " SELECT count(*) AS n_kmers, 0 AS n_under FROM c")
 def cms_estimate(spark, sf_dir):
     """No estimate is below the count."""

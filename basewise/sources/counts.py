@@ -50,11 +50,34 @@ def write_super_kmers(routed: DataFrame, path: str) -> None:
     routed.write.partitionBy("part").parquet(path)
 
 
+def read_super_kmers(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_super_kmers`` wrote; a condition on part reads its folder only."""
+    return spark.read.parquet(path)
+
+
+def write_bloom(table: DataFrame, path: str, bits: int, hashes: int) -> None:
+    """A filter's words, which carry its size and its number of hashes."""
+    table.withColumn("bits", F.col("bits").alias("bits", metadata={"bits": bits, "hashes": hashes})).write.parquet(path)
+
+
+def read_bloom(spark: SparkSession, path: str) -> tuple[DataFrame, int, int]:
+    """The words of a filter, its bits and its hashes."""
+    table = spark.read.parquet(path)
+    about = table.schema["bits"].metadata
+    return table, about["bits"], about["hashes"]
+
+
 def write_solid(counts: DataFrame, path: str, kmer_size: int) -> None:
     """A table of solid k-mers that carries its k."""
     counts.withColumn("kmer", F.col("kmer").alias("kmer", metadata={"kmer_size": kmer_size})).write.parquet(path)
 
 
+def read_solid(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """A table of solid k-mers and its k."""
+    table = spark.read.parquet(path)
+    return table, table.schema["kmer"].metadata["kmer_size"]
+
+
 def write_properties(spark: SparkSession, properties: dict[str, object], path: str) -> None:
     """Run properties as one JSON line."""
     import json
