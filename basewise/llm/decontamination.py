@@ -13,10 +13,9 @@ before it tasks drop windows whose hash is not in a bit map of fixed size built
 more item windows neither is used and the join shuffles.
 
 Defined cases: null, empty and blank texts have no windows and no leaks. Items of 3 words up to ``window`` - 1 are found inside texts by windows of their own
-length, as plain words; items of 1 or 2 words only in texts that are nothing else. Items without words are ignored. A window of placeholders only is no
-evidence as a template and counts only in items that are nothing else. Rows that repeat a doc_id or
-item_id are joined into one document's or item's evidence. Rows without doc_id leak nothing and
-stay in ``drop_leaks``; items without item_id are used. Empty tables give no leaks. Other columns, whatever their names, pass through ``drop_leaks``.
+length, as plain words; items of 1 or 2 words only in texts that are nothing else. Items without words are ignored. A window with fewer than two words
+that are no placeholders is shared by too many texts to be evidence as a template and counts only in items that are nothing else. Each row of documents and each row of
+items is judged by itself, whether its id is null or repeated or not: ``find_leaks`` has a row for each pair of rows. Empty tables give no leaks. Other columns, whatever their names, pass through ``drop_leaks``.
 """
 
 from __future__ import annotations
@@ -26,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free, kept, named, released, staged
+from .common import all_columns, free, kept, named, released, staged
 
 WINDOW = 5
 MIN_SIMILARITY = 0.8
@@ -129,12 +128,12 @@ def _windows(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _only_slots(slots: dict[int, str], n: int, window: int) -> np.ndarray:
-    """Which windows hold placeholders only."""
+def _mostly_slots(slots: dict[int, str], n: int, window: int) -> np.ndarray:
+    """Which windows hold fewer than two words that are no placeholders."""
     full = np.zeros(n + 1, np.int64)
     full[np.array(list(slots), np.int64) + 1] = 1
     full = np.cumsum(full)
-    return full[window:] - full[: n + 1 - window] == window
+    return full[window:] - full[: n + 1 - window] > window - 2
 
 
 def text_windows(text: str | None, window: int, short: tuple[int, ...], item: bool) -> tuple[list[tuple[np.ndarray, np.ndarray, dict[int, str], int]], int, int]:
@@ -153,18 +152,18 @@ def text_windows(text: str | None, window: int, short: tuple[int, ...], item: bo
         return found, 0, n
     every = np.arange(n - window + 1)
     none = np.zeros(len(every), bool)
-    only = _only_slots(first[1] | second[1], n, window) if first[1] or second[1] else none
+    only = _mostly_slots(first[1] | second[1], n, window) if first[1] or second[1] else none
     counted = every if not item or only.all() else every[~only]
     found.append((_windows(plain, window)[counted], counted, {}, window))
     for h, slots in (first, second):
         if slots:
-            at = every[~(_only_slots(slots, n, window) | (only if item else none))]
+            at = every[~(_mostly_slots(slots, n, window) | (only if item else none))]
             found.append((_windows(h, window)[at], at, slots, window))
     return found, len(counted), n
 
 
-def window_table(texts: DataFrame, id_col: str, window: int = WINDOW, keep: np.ndarray | None = None, short: tuple[int, ...] = (), item: bool = False) -> DataFrame:
-    """id, win (hash), pos, n_windows and n_words of the text, and slots: the positions and fillers inside the window.
+def window_table(texts: DataFrame, id_col: str, window: int = WINDOW, keep: np.ndarray | None = None, short: tuple[int, ...] = (), item: bool = False, key: Column | None = None) -> DataFrame:
+    """id, key (the row's number), win (hash), pos, n_windows and n_words of the text, and slots: the positions and fillers inside the window.
 
     keep: a bit map of 1 << MAP_BITS bits; windows whose top bits are not set in it are dropped.
     """
@@ -192,15 +191,21 @@ def window_table(texts: DataFrame, id_col: str, window: int = WINDOW, keep: np.n
                     total += [n_windows] * len(at)
                     length += [n_words] * len(at)
                 if len(rows) > 100_000 or rows and k == b.num_rows - 1:
-                    cols = [b.column("id").take(pa.array(rows)), pa.array(np.concatenate(wins).view(np.int64)), pa.array(np.concatenate(pos).astype(np.int32)), pa.array(total, pa.int32()), pa.array(length, pa.int32()), pa.array(keys, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays(cols, ["id", "win", "pos", "n_windows", "n_words", "slot_at", "slot_text"])
+                    cols = [b.column("id").take(pa.array(rows)), b.column("key").take(pa.array(rows)), pa.array(np.concatenate(wins).view(np.int64)), pa.array(np.concatenate(pos).astype(np.int32)), pa.array(total, pa.int32()), pa.array(length, pa.int32()), pa.array(keys, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays(cols, ["id", "key", "win", "pos", "n_windows", "n_words", "slot_at", "slot_text"])
                     rows, wins, pos, total, length, keys, values = [], [], [], [], [], [], []
 
-    return texts.select(F.col(id_col).alias("id"), "text").mapInArrow(released(cut), f"id {kind}, win long, pos int, n_windows int, n_words int, slot_at array<int>, slot_text array<string>")
+    key = F.monotonically_increasing_id() if key is None else key
+    return texts.select(F.col(id_col).alias("id"), key.alias("key"), "text").mapInArrow(released(cut), f"id {kind}, key long, win long, pos int, n_windows int, n_words int, slot_at array<int>, slot_text array<string>")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_similarity: float = MIN_SIMILARITY, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """doc_id, item_id, coverage, n_slots, n_changed (slots filled otherwise), exact and at (its first word) of every leak."""
+    return _leaks(docs, benchmark, None, window, min_similarity, broadcast_windows).drop("doc_key", "item_key")
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, doc_key: Column | None, window: int = WINDOW, min_similarity: float = MIN_SIMILARITY, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """``find_leaks`` with the numbers of the rows: ``doc_key``, or else any."""
     items = staged(window_table(benchmark.where("text is not null"), "item_id", window, item=True), "item-windows")
     n = items.count()
     short = tuple(sorted(r[0] for r in items.where(F.col("n_words").between(LEAST_WORDS, window - 1)).select("n_words").distinct().collect()))  # fewer than window rows
@@ -209,16 +214,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
         keep = np.zeros(1 << (MAP_BITS - 3), np.uint8)
         top = items.select(F.shiftrightunsigned("win", 64 - MAP_BITS).cast("int").alias("top")).distinct().toPandas()["top"].to_numpy()
         np.bitwise_or.at(keep, top >> 3, (1 << (top & 7)).astype(np.uint8))
-    own = window_table(docs.where("doc_id is not null").select("doc_id", "text"), "doc_id", window, keep, short)
-    theirs = items.select(F.col("id").alias("item_id"), F.col("win").alias("_win"), F.col("pos").alias("item_pos"), F.col("n_windows").alias("item_windows"), F.col("n_words").alias("item_words"), F.col("slot_text").alias("item_slots"))
+    own = window_table(docs, "doc_id", window, keep, short, key=doc_key)
+    theirs = items.select(F.col("id").alias("item_id"), F.col("key").alias("item_key"), F.col("win").alias("_win"), F.col("pos").alias("item_pos"), F.col("n_windows").alias("item_windows"), F.col("n_words").alias("item_words"), F.col("slot_text").alias("item_slots"))
     theirs = F.broadcast(theirs) if keep is not None else theirs
     hits = own.join(theirs, F.col("win") == F.col("_win"))
     # regions of twice the item's length, one beginning at each multiple of it: an item with something put in is in one
     region = F.floor(F.col("pos") / F.col("item_words")).cast("int")
-    hits = hits.select(F.col("id").alias("doc_id"), "item_id", "pos", "item_pos", "item_windows", "slot_at", "slot_text", "item_slots", F.explode(F.array(region, region - 1)).alias("region"))
+    hits = hits.select(F.col("id").alias("doc_id"), F.col("key").alias("doc_key"), "item_id", "item_key", "pos", "item_pos", "item_windows", "slot_at", "slot_text", "item_slots", F.explode(F.array(region, region - 1)).alias("region"))
     hits = staged(hits, "hits")  # used twice below; the texts are read once
-    key = ["doc_id", "item_id", "region"]
-    cover = hits.groupBy(*key).agg(F.count_distinct("item_pos").alias("hit"), F.max("item_windows").alias("of"), F.min("pos").alias("at"))
+    key = ["doc_key", "item_key", "region"]
+    cover = hits.groupBy(*key).agg(F.first("doc_id").alias("doc_id"), F.first("item_id").alias("item_id"), F.count_distinct("item_pos").alias("hit"), F.max("item_windows").alias("of"), F.min("pos").alias("at"))
     # a window that the item has more than once is taken at the place to which most hits of the region are shifted alike
     shift = F.col("pos") - F.col("item_pos")
     alike = hits.withColumn("shift", shift).withColumn("alike", F.count("*").over(Window.partitionBy(*key, "shift")))
@@ -236,18 +241,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
     )
     zero = F.lit(0).cast("long")
     covered = cover.where(F.col("hit") >= F.ceil(F.col("of") * min_similarity))
-    found = covered.join(filled.withColumnsRenamed({k: f"_{k}" for k in key}), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key], "left")
-    found = found.select("doc_id", "item_id", (F.col("hit") / F.col("of")).alias("coverage"), F.coalesce("n_slots", zero).alias("n_slots"), F.coalesce("n_changed", zero).alias("n_changed"), F.coalesce("torn", zero).alias("torn"), "at")
+    found = covered.join(filled.withColumnsRenamed({k: f"_{k}" for k in key}), [F.col(k) == F.col(f"_{k}") for k in key], "left")
+    found = found.select("doc_id", "item_id", "doc_key", "item_key", (F.col("hit") / F.col("of")).alias("coverage"), F.coalesce("n_slots", zero).alias("n_slots"), F.coalesce("n_changed", zero).alias("n_changed"), F.coalesce("torn", zero).alias("torn"), "at")
     # consistent: a filler nearly always stands for one filler, both ways
     found = found.where(F.col("torn") <= (1 - min_similarity) * F.col("n_slots"))
-    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", (-F.col("n_changed")).alias("k"), "n_slots", (-F.col("at")).alias("a"))).alias("b"))
-    return best.select("doc_id", "item_id", "b.coverage", "b.n_slots", (-F.col("b.k")).alias("n_changed"), (F.col("b.k") == 0).alias("exact"), (-F.col("b.a")).alias("at"))
+    best = found.groupBy("doc_key", "item_key").agg(F.first("doc_id").alias("doc_id"), F.first("item_id").alias("item_id"), F.max(F.struct("coverage", (-F.col("n_changed")).alias("k"), "n_slots", (-F.col("at")).alias("a"))).alias("b"))
+    return best.select("doc_key", "item_key", "doc_id", "item_id", "b.coverage", "b.n_slots", (-F.col("b.k")).alias("n_changed"), (F.col("b.k") == 0).alias("exact"), (-F.col("b.a")).alias("at"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` that leak no item. The leaking ids are slim; texts move only if there are too many to broadcast."""
-    leak = free("leak", docs)
-    gone = staged(find_leaks(docs, benchmark, **settings).select(F.col("doc_id").alias(leak)).distinct(), "leaks")
+    """The rows of ``docs`` that leak no item.
+
+    Rows are told apart by a number that is written with them. The leaking ones' numbers are slim; texts move only if there are too many to broadcast.
+    """
+    key, leak = free("row_key", docs), free("row_leak", docs)
+    rows = staged(docs.withColumn(key, F.monotonically_increasing_id()), "keyed-documents")
+    gone = staged(_leaks(rows.select("doc_id", "text", named(key).alias("key")), benchmark, F.col("key"), **settings).select(F.col("doc_key").alias(leak)).distinct(), "leaks")
     if gone.count() <= BROADCAST_LEAKS:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id") == named(leak), "left_anti")
+    return rows.join(gone, named(key) == named(leak), "left_anti").select(*all_columns(docs))

@@ -1,15 +1,16 @@
 """Exact byte-level BPE ids of whole texts, with a memo of pieces.
 
-The tokenizer's own pre-tokenizer always cuts before a single space or newline that no other one
-touches, and after such a newline. So the ids of a text without runs of spaces and newlines are the
-ids of its pieces, one after another. Each distinct piece is encoded by the tokenizers library once
-per worker process, and texts are assembled from the memo, which is bounded in bytes. Texts with such runs, and
+The tokenizer's own pre-tokenizer always cuts before a space that no other space touches, and before and
+after a newline that no white space of any kind touches. So the ids of a text without two spaces in a row and without white
+space beside a newline are the ids of its pieces, one after another. Each distinct piece is encoded by the tokenizers library once
+per worker process, and texts are assembled from the memo, which is bounded in bytes. All other texts, and
 texts with a string that the tokenizer holds for a token of its own, go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterable
 
@@ -22,6 +23,8 @@ MEMO_BYTES = 100_000_000
 LONGEST = 64
 #: What an entry takes besides its characters and ids.
 ENTRY = 180
+#: A newline with white space of any kind on either side.
+BESIDE_NEWLINE = re.compile(r"\n(?:\s|(?<=\s\n))")
 #: Marks that make a pre-token of their own behind letters.
 MARKS = ".,;:!?%$#&*|()-"
 #: How byte-level vocabularies spell the bytes that are no printable Latin-1 characters.
@@ -101,7 +104,7 @@ class Encoder:
         out: list[bytes] = [b""] * len(texts)
         split, odd = [], []
         for i, t in enumerate(texts):
-            if "  " in t or "\n\n" in t or " \n" in t or "\n " in t or any(a in t for a in self.added):
+            if "  " in t or BESIDE_NEWLINE.search(t) or any(a in t for a in self.added):
                 odd.append(i)
             elif t:
                 split.append((i, f"\n{t}".replace("\n", " \n").split(" ")))

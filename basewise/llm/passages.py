@@ -14,9 +14,8 @@ the first document with the whole span, so that a run of words is found though i
 A chain ends where more than ``min_words`` words of either text hold no seed of it; what follows is a passage of its own.
 
 Defined cases: null, empty and blank texts have no words and no passages; so have texts shorter than
-``min_words``. What repeats inside one document only is no passage. Of rows that repeat a doc_id the largest text
-stands for all: ``cut_passages`` cuts rows with that text only. Rows without a doc_id take no part and are kept by
-``cut_passages``. An empty table gives no rows. Other columns, whatever their names, pass through ``cut_passages``.
+``min_words``. What repeats inside one document only is no passage. Each row is judged by itself, whether its doc_id
+is null or repeated or not; such tables are numbered by (doc_id, nulls last) first, in any order within an id. An empty table gives no rows. Other columns, whatever their names, pass through ``cut_passages``.
 """
 
 from __future__ import annotations
@@ -465,21 +464,32 @@ def _widened(cx: np.ndarray, cy: np.ndarray, gain: np.ndarray, same: np.ndarray,
     return (int(starts[best]), int(ends[best])) if scores[best] > -1e-6 else (s, e)
 
 
-def _known(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """doc_id and text of the rows with a doc_id, one text to an id, and whether ids repeat."""
-    known = docs.where("doc_id is not null").select("doc_id", "text")
-    if known.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        return staged(known.groupBy("doc_id").agg(F.max("text").alias("text")), "largest-texts"), True
-    return known, False
+def _ranked(docs: DataFrame, key: str) -> DataFrame | None:
+    """``docs`` with a number for each row in ``key``, by doc_id and nulls last, written once; None if the doc_ids are such numbers themselves."""
+    if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count():
+        return None
+    number, rank = free("row_number", docs), free("rank_number", docs)
+    rows = staged(docs.withColumn(number, F.monotonically_increasing_id()), "numbered-documents")
+    # range partitions of slim rows: their numbers rise with the order
+    ranks = rows.select(F.col("doc_id").alias("id"), named(number).alias(rank)).orderBy(F.asc_nulls_last("id"), rank).select(rank, F.monotonically_increasing_id().alias(key))
+    return staged(rows.join(staged(ranks, "ranks"), named(number) == named(rank)).select(*all_columns(docs), named(key)), "ranked-documents")
 
 
 def find_passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_words: int = MIN_WORDS, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
     """doc_id, from_word, to_word, ref_id, ref_from, ref_to, n_words and similarity of every repeated passage.
 
     Words are numbered from 0 by ASCII white space; the to-columns are exclusive. A passage's reference
-    is the earlier document. Passages of a document may overlap, most often where references differ.
+    is the earlier row, by doc_id. Passages of a document may overlap, most often where references differ.
     """
-    return _passages(_known(docs)[0], k, window, min_words, min_similarity)
+    docs = docs.select("doc_id", "text")
+    rows = _ranked(docs, "rank")
+    if rows is None:
+        return _passages(docs, k, window, min_words, min_similarity)
+    found = _passages(rows.select(F.col("rank").alias("doc_id"), "text"), k, window, min_words, min_similarity)
+    columns = found.columns
+    for side in ("doc_id", "ref_id"):
+        found = found.join(rows.select(F.col("rank").alias("_rank"), F.col("doc_id").alias("_id")), F.col(side) == F.col("_rank")).drop(side, "_rank").withColumnRenamed("_id", side)
+    return found.select(*columns)
 
 
 def _passages(known: DataFrame, k: int = K, window: int = WINDOW, min_words: int = MIN_WORDS, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
@@ -531,14 +541,11 @@ def cut_passages(docs: DataFrame, **settings) -> DataFrame:
 
     White space around what stays is kept. n_chars, where there is such a column, follows the text.
     """
-    known, repeats = _known(docs)
-    key, spans, of, cut = (free(n, docs) for n in ("passage_id", "passage_spans", "passage_text", "passage_cut"))
-    found = _passages(known, **settings).groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("from_word", "to_word")).alias(spans))
-    if repeats:  # spans hold for rows with the text that they were found in
-        found = found.join(known.select("doc_id", F.xxhash64("text").alias(of)), F.col(key) == F.col("doc_id")).drop("doc_id")
-    found = staged(found, "spans")
-    same = F.col("doc_id") == named(key)
-    rows = docs.join(found, same & (F.xxhash64("text") == named(of)) if repeats else same, "left")
+    key, spans, cut, rank = (free(n, docs) for n in ("passage_id", "passage_spans", "passage_cut", "passage_rank"))
+    ranked = _ranked(docs, rank)
+    known = docs.select("doc_id", "text") if ranked is None else ranked.select(named(rank).alias("doc_id"), "text")
+    found = staged(_passages(known, **settings).groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("from_word", "to_word")).alias(spans)), "spans")
+    rows = docs.join(found, F.col("doc_id") == named(key), "left") if ranked is None else ranked.join(found, named(rank) == named(key), "left")
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, cuts: pd.Series) -> pd.Series:

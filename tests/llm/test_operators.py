@@ -388,6 +388,15 @@ def test_passages_odd_rows(spark, odd):
     assert got == [(1, long), (2, "other text"), (3, "z ")]
 
 
+def test_passages_by_row_not_by_id(spark):
+    p = prose(62)
+    docs = spark.createDataFrame([(None, p + " y"), (2, p + " tail"), (1, p), (2, "zz " + p), (2, "other text")], "doc_id long, text string")
+    got = sorted(((r.doc_id or 99), r.text) for r in passages.cut_passages(docs).collect())
+    assert got == [(1, p), (2, "other text"), (2, "tail"), (2, "zz "), (99, "y")]
+    found = passages.find_passages(docs)
+    assert found.columns[0] == "doc_id" and sorted((str(r.doc_id), r.ref_id, r.n_words >= 62) for r in found.collect()) == [("2", 1, True), ("2", 1, True), ("None", 1, True)]
+
+
 # --- 1 decontamination -------------------------------------------------------------------------------
 
 
@@ -459,6 +468,19 @@ def test_leaks_odd_rows(spark, odd):
     assert decontamination.find_leaks(odd, bench.limit(0)).count() == 0 and decontamination.find_leaks(odd.limit(0), bench).count() == 0
 
 
+def test_leaks_by_row_not_by_id(spark):
+    a, b, clean = (" ".join(f"{c}{i}" for i in range(10)) for c in "abc")
+    half = spark.createDataFrame([(7, " ".join(a.split()[:7] + b.split()[-7:])), (8, a + " " + clean)], "doc_id long, text string")
+    for ids in ((5, 5), (None, None), (5, 6)):
+        bench = spark.createDataFrame([(ids[0], a), (ids[1], b)], "item_id long, text string")
+        assert [(r.doc_id, r.item_id, r.coverage) for r in decontamination.find_leaks(half, bench).collect()] == [(8, ids[0], 1.0)]
+        assert [r.doc_id for r in decontamination.drop_leaks(half, bench).collect()] == [7]
+    bench = spark.createDataFrame([(1, a)], "item_id long, text string")
+    docs = spark.createDataFrame([(2, a, "x"), (2, "a wholly clean text " + clean, "y"), (None, a, "z"), (None, clean, "u")], "doc_id long, text string, key string")
+    got = decontamination.drop_leaks(docs, bench)
+    assert got.columns == docs.columns and sorted(r.key for r in got.collect()) == ["u", "y"]
+
+
 # --- 2 WARC ------------------------------------------------------------------------------------------
 
 
@@ -505,7 +527,7 @@ def test_sites_shrink_to_what_is_above(spark):
 
 # --- 7, 8, 10: tokens --------------------------------------------------------------------------------
 
-TRICKY = ["", " ", "a", "a  b", " a\n b", "a\n\nb", "x\n", "\nx", "tab\tand nbsp 　 end ", "it's don't 3.14 km", "日本語 ☃☃ 🤗x", "<|endoftext|>", "a <|endoftext|> b", "x" * 300, "WORD!! %%% a|b", "é" * 50, "foo,bar. Baz;\nQux?"]
+TRICKY = ["", " ", "a", "x\n\u00a0\u00a0y", "x\r\n\u3000y\r\u00a0", "a  b", " a\n b", "a\n\nb", "x\n", "\nx", "tab\tand nbsp 　 end ", "it's don't 3.14 km", "日本語 ☃☃ 🤗x", "<|endoftext|>", "a <|endoftext|> b", "x" * 300, "WORD!! %%% a|b", "é" * 50, "foo,bar. Baz;\nQux?"]
 
 
 def library_ids(texts):
@@ -516,7 +538,8 @@ def library_ids(texts):
 
 
 def test_encoder_is_exact(monkeypatch):
-    texts = TRICKY + ["".join(rnd.choice(" \n\tab.,é☃'1!A") for _ in range(rnd.randint(0, 40))) for _ in range(400)] + [prose(200)] * 3
+    spaces = " \n\t\r\x0b\x1c\x85\u00a0\u2003\u3000"
+    texts = TRICKY + ["".join(rnd.choice(spaces + "ab.,é☃'1!A" * k) for _ in range(rnd.randint(0, 12 * k))) for k in (1, 3) for _ in range(3000)] + [prose(200)] * 3
     want = [x.tobytes() for x in library_ids(texts)]
     assert list(encoding.encoded(encoding.vocabulary_path(), texts)) == want
     monkeypatch.setattr(encoding, "MEMO_BYTES", 5)
