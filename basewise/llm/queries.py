@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, passages, quality_rules, sequences, sharding, simhash, site_quality, viterbi, warc
+from . import decontamination, embeddings, packing, passages, quality_rules, sequences, sharding, simhash, site_quality, viterbi, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,7 +65,12 @@ def op10_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viterbi.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_template_decontamination, op2_warc_captures, op3_site_quality, op4_minimax_shards, op5_passage_chains, op6_simhash_components, op7_arrow_sequences, op8_residual_packing, op9_llr_quality, op10_viterbi_counts)}
+def op11_cross_polytope_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embeddings.near_duplicate_embeddings(_table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", "component_id", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_template_decontamination, op2_warc_captures, op3_site_quality, op4_minimax_shards, op5_passage_chains, op6_simhash_components, op7_arrow_sequences, op8_residual_packing, op9_llr_quality, op10_viterbi_counts, op11_cross_polytope_components)}
 
 # Base32 of a SHA-1: each 5 hexadecimal digits are 4 characters.
 _BASE32 = " || ".join(
@@ -74,5 +79,12 @@ _BASE32 = " || ".join(
 
 ORACLES: dict[str, str] = {
     "op2_warc_captures": "WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages), m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM p) "
-    f"SELECT page_id, strlen(h) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < top THEN top END AS refers_to FROM m"
+    f"SELECT page_id, strlen(h) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < top THEN top END AS refers_to FROM m",
+    "op11_cross_polytope_components": """WITH RECURSIVE v AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(CAST(embedding AS DOUBLE[]), x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(CAST(embedding AS DOUBLE[]), x -> x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a), n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON vec_id = c.a LEFT JOIN n ON vec_id = n.a""",
 }

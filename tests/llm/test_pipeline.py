@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_names():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, len(QUERIES) + 1)]
     assert not set(ORACLES) - set(QUERIES) and 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
