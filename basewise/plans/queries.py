@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import alphabet as A
 from ..functions import hashing as H
 from ..operators import compare, counting, histogram, kmers, minimizers, sketches, solidity, stats
-from ..sources import banks, counts
+from ..sources import banks, counts, ranges
 from ..streaming import counts as streaming
 from .scratch import scratch
 
@@ -575,6 +576,38 @@ def fastq_roundtrip(spark, sf_dir):
     return banks.read_fastx(spark, *names).select("comment", "seq", "quality")
 
 
+@query(f"WITH {SEQ} SELECT CAST(doc_id AS VARCHAR) AS comment, seq, repeat(CASE doc_id % 3 WHEN 0 THEN '@' WHEN 1 THEN '+' ELSE 'I' END, length(seq)) AS quality FROM s")
+def fastq_ranges(spark, sf_dir):
+    """Plain FASTQ files, each cut anywhere and read by several tasks; qualities look like headers and like what stands between."""
+    path = scratch(spark, "fastq")
+    mark = F.when(F.col("doc_id") % 3 == 0, "@").when(F.col("doc_id") % 3 == 1, "+").otherwise("I")
+    counts.write_fastq(stripped(spark, sf_dir).withColumn("quality", F.repeat(mark, F.length("seq"))), path, comment="doc_id")
+    return banks.read_fastx(spark, path, range_bytes=1 << 18).select("comment", "seq", "quality")
+
+
+@query(_w(K) + " SELECT doc_id, pos, fwd AS kmer, least(fwd, rc) AS canonical FROM w")
+def long_record_positions(spark, sf_dir):
+    """K-mers of FASTA records with their places, from pieces that begin anywhere in a record."""
+    path = scratch(spark, "fasta")
+    counts.write_fasta(stripped(spark, sf_dir), path, comment="doc_id")
+    pieces = ranges.read_pieces(spark, path, K - 1, 1 << 18, 1 << 12).select(F.col("comment").cast("long").alias("doc_id"), "at", "seq")
+    return kmers.kmers(pieces, K).select("doc_id", (F.col("at") + F.col("pos")).alias("pos"), "kmer", "canonical")
+
+
+@query(_c(9) + " SELECT kmer, n FROM c")
+def long_record_counts(spark, sf_dir):
+    """All sequences of a part file are one record of many lines, an N between them, which several tasks read."""
+    lines = stripped(spark, sf_dir).select(F.concat(F.regexp_replace("seq", "(.{60})", "$1\n"), F.lit("\nN")).alias("value"))
+
+    def record(frames):
+        yield pd.DataFrame({"value": [">one record"]})
+        yield from frames
+
+    path = scratch(spark, "long-records")
+    lines.mapInPandas(record, "value string").write.text(path)
+    return counting.count_kmers(ranges.read_pieces(spark, path, 8, 1 << 18, 1 << 16), 9)
+
+
 @query(f"WITH {MAPPED}, p AS (SELECT doc_id, unnest(regexp_extract_all(seq, '[ACGT]+')) AS seq FROM s) SELECT doc_id, seq FROM p WHERE length(seq) >= 4")
 def packed_roundtrip(spark, sf_dir):
     path = scratch(spark, "packed")

@@ -1,15 +1,14 @@
 """Banks: FASTA, FASTQ, packed Parquet, albums, and generated ones.
 
 A bank is a DataFrame (seq_id, comment, seq, and quality where there is one). Plain and .gz FASTA are read by
-Spark's own text source, split by record. FASTQ, files without a telling name, and zlib streams go
-through the ``fastx`` data source, which reads each file as a stream in one task and tells gzip and
-zlib by their first bytes.
+Spark's own text source, split by record; ``ranges.read_pieces`` reads records too long for one row in pieces. FASTQ, files without a telling name, and zlib streams go
+through the ``fastx`` data source, which tells gzip and zlib by their first bytes and reads such files, and FASTA, as a stream in one task; plain FASTQ files
+of four lines a record are read by byte range, by several tasks each.
 """
 
 from __future__ import annotations
 
 import posixpath
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import BinaryType, StringType
 
+from . import ranges
+
 FASTX_SCHEMA = "seq_id long, comment string, seq string, quality string"
 
 
@@ -38,20 +39,13 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 def _lines(uri: str) -> Iterator[str]:
     """Lines of a plain, gzip or zlib file, told apart by its first bytes."""
-    from pyarrow import fs
-
-    files, path = fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-    rest, unzip, zipped = b"", None, None
-    with files.open_input_stream(path, compression=None) as stream:
-        while chunk := stream.read(1 << 20):
-            if zipped is None:
-                zipped = chunk[:2] == b"\x1f\x8b" or (chunk[:1] == b"\x78" and len(chunk) > 1 and (chunk[0] * 256 + chunk[1]) % 31 == 0)
-            if zipped:
-                raw, chunk = chunk, b""
-                while raw:
-                    unzip = unzip or zlib.decompressobj(47)  # gzip or zlib
-                    chunk += unzip.decompress(raw)
-                    raw, unzip = (unzip.unused_data, None) if unzip.eof else (b"", unzip)
+    source, _ = ranges.open_file(uri)
+    rest = b""
+    with source:
+        chunks = ranges.chunks_of(source, 0)
+        if ranges.is_zipped(source.read(2)):
+            chunks = ranges.unzipped(chunks)
+        for chunk in chunks:
             parts = (rest + chunk).split(b"\n")
             rest = parts.pop()
             yield from (p.rstrip(b"\r").decode("utf-8", "replace") for p in parts)
@@ -91,27 +85,55 @@ def looks_like_fastx(uri: str) -> bool:
     return text[:1] in (">", "@") and len(text) > 1 and text[1].isprintable()
 
 
-class _Files(InputPartition):
-    def __init__(self, number: int, uri: str) -> None:
-        self.number, self.uri = number, uri
+class _Range(InputPartition):
+    """A file (end None), or the records of four lines that begin in a range of it."""
+
+    def __init__(self, number: int, uri: str, start: int = 0, end: int | None = None) -> None:
+        self.number, self.uri, self.start, self.end = number, uri, start, end
 
 
 class _FastxReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.paths = [p for p in (options.get("paths") or options.get("path") or "").split(",") if p]
+        self.size = int(options.get("rangebytes") or options.get("rangeBytes") or ranges.RANGE)
+        self.multiline = str(options.get("multiline", "false")).lower() == "true"
         if not self.paths:
             raise ValueError("fastx needs a path")
 
     def partitions(self):
-        return [_Files(i, p) for i, p in enumerate(self.paths)]
+        found = []
+        for i, (uri, size) in enumerate(x for p in self.paths for x in ranges.files_below(p)):
+            # only a file of several ranges is looked into
+            cuts = range(0, size, self.size) if size > self.size and not self.multiline and _plain_fastq(uri) else ()
+            found += [_Range(i, uri, at, min(at + self.size, size)) for at in cuts] or [_Range(i, uri)]
+        return found
 
     def read(self, partition):
-        for i, (comment, seq, quality) in enumerate(parse_fastx(_lines(partition.uri))):
-            yield (partition.number << 40) + i, comment, seq, quality
+        if partition.end is None:
+            for i, (comment, seq, quality) in enumerate(parse_fastx(_lines(partition.uri))):
+                yield (partition.number << 42) + i, comment, seq, quality
+            return
+        with ranges.open_file(partition.uri)[0] as source:
+            for at, comment, seq, quality in ranges.fastq_records(source, partition.start, partition.end):
+                yield (partition.number << 42) + at, comment, seq, quality
+
+
+def _plain_fastq(uri: str) -> bool:
+    """Whether a file is not compressed and begins with a record of four lines."""
+    with ranges.open_file(uri)[0] as source:
+        if ranges.is_zipped(source.read(2)):
+            return False
+        lines = (x for _, x in ranges.lines_from(source, 0))
+        first = next((x for x in lines if x.strip()), b"")
+        return first[:1] == b"@" and next(lines, None) is not None and (next(lines, None) or b"")[:1] == b"+"
 
 
 class FastxDataSource(DataSource):
-    """``spark.read.format("fastx")``: FASTA and FASTQ files, plain or compressed; option paths takes a comma-separated list."""
+    """``spark.read.format("fastx")``: FASTA and FASTQ files, plain or compressed.
+
+    Options: paths, files or folders with commas between; rangeBytes, of which larger plain FASTQ files are read in several tasks; multiline, for
+    FASTQ files whose records have more than four lines, each then read by one task. seq_id rises within a file, but is not a row number.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -124,9 +146,9 @@ class FastxDataSource(DataSource):
         return _FastxReader(self.options)
 
 
-def read_fastx(spark: SparkSession, *paths: str) -> DataFrame:
+def read_fastx(spark: SparkSession, *paths: str, range_bytes: int = ranges.RANGE, multiline: bool = False) -> DataFrame:
     spark.dataSource.register(FastxDataSource)
-    return spark.read.format("fastx").option("paths", ",".join(paths)).load()
+    return spark.read.format("fastx").option("paths", ",".join(paths)).option("rangeBytes", range_bytes).option("multiline", multiline).load()
 
 
 def from_strings(spark: SparkSession, seqs: list[str]) -> DataFrame:
