@@ -717,10 +717,14 @@ def cascade_passed(spark, sf_dir):
 # --- streaming ------------------------------------------------------------------------------------
 
 
-def _stream(spark, sf_dir) -> DataFrame:
+def _stream(spark, sf_dir, files: int = 0) -> DataFrame:
+    """Documents as a stream; files: written anew in so many files first, two of which make a batch."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     path = f"{sf_dir}/documents.parquet*"
-    arriving = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 8).parquet(path)
+    if files:
+        path = scratch(spark, "arriving")
+        docs.repartition(files, "doc_id").write.parquet(path)
+    arriving = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2 if files else 8).parquet(path)
     return arriving.select("doc_id", F.regexp_replace(F.translate("text", "acgt", "ACGT"), "[^ACGT]", "").alias("seq"))
 
 
@@ -732,3 +736,16 @@ def streaming_counts(spark, sf_dir):
 @query(_c(7) + " SELECT kmer, n FROM c WHERE n >= 4")
 def streaming_admitted(spark, sf_dir):
     return streaming.run_to_table(streaming.admitted(_stream(spark, sf_dir), 7), scratch(spark, "stream"), scratch(spark, "stream-state"))
+
+
+@query(_c(7) + " SELECT kmer, 1 AS times FROM c WHERE n >= 4")
+def streaming_admitted_once(spark, sf_dir):
+    """Over several batches each k-mer is emitted once, when it is seen for the fourth time."""
+    found = streaming.append_to_table(streaming.admitted_once(_stream(spark, sf_dir, 6), 7), scratch(spark, "stream"), scratch(spark, "stream-state"))
+    return found.groupBy("kmer").agg(F.count("*").cast("int").alias("times"))
+
+
+@query(_c(9) + " SELECT kmer, n FROM c")
+def streaming_merged_counts(spark, sf_dir):
+    """Over several batches each writes its own counts; runs of them are merged."""
+    return streaming.merge_to_table(_stream(spark, sf_dir, 12), scratch(spark, "runs"), scratch(spark, "stream-state"), 9)
