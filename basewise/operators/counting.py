@@ -18,18 +18,16 @@ def count_kmers(seqs: DataFrame, k: int, policy: str = "skip", order: str | None
     return counts.select(packed.spelled("code", k, order).alias("kmer"), "n")
 
 
-#: Parts into which the super-k-mers of one minimizer are dealt.
-SALT = 8
-
-
 def count_through_super_kmers(seqs: DataFrame, k: int, m: int, order: str = "ACGT", policy: str = "skip") -> DataFrame:
-    """The same counts, with super-k-mers shuffled by minimizer and cut into k-mers behind the shuffle.
+    """The same counts, with super-k-mers shuffled and cut into k-mers behind the shuffle.
 
-    This ships about (k + run - 1) bases per run instead of a number per k-mer. Super-k-mers of one minimizer go to up to ``SALT`` tasks,
-    so that a frequent one is no task of its own; partial counts are summed once more.
+    Tasks first sum equal super-k-mers, so a repeat that makes up much of the input leaves a task as one row with its number. Rows are then dealt by minimizer and
+    bases, so that a frequent minimizer is spread over tasks; their k-mers count as often as they stand there, and partial counts are summed once more.
     """
-    runs = super_kmers(seqs.select("seq"), k, m, policy=policy).select("minimizer", "seq")
-    return count_kmers(runs.repartition("minimizer", F.pmod(F.xxhash64("seq"), F.lit(SALT))).select("seq"), k, order=order)
+    packed.check_k(k)
+    runs = super_kmers(seqs.select("seq"), k, m, policy=policy).groupBy("minimizer", "seq").agg(F.count("*").alias("times"))
+    counts = packed.code_counts(runs.select("seq", "times"), k, order=order, by=["times"])
+    return counts.groupBy("code").agg(F.sum(F.col("n") * F.col("times")).alias("n")).select(packed.spelled("code", k, order).alias("kmer"), "n")
 
 
 def wrap_uint8(n: Column | str) -> Column:
@@ -48,9 +46,30 @@ def heavy_hitters(seqs: DataFrame, k: int, at_least: int = 4, most: int | None =
     return found.orderBy(F.col("n").desc(), "kmer").limit(capacity) if capacity else found
 
 
+#: Admitted k-mers up to which their list is broadcast; a shuffle join beyond.
+BROADCAST_KMERS = 1 << 22
+
+
 def count_admitted(seqs: DataFrame, admitted: DataFrame, k: int, most: int | None = 255, policy: str = "skip") -> DataFrame:
-    """kmer and n of only those k-mers that ``admitted`` lists. Counts are joined, not occurrences; Spark broadcasts the list or not by its size."""
-    counts = count_kmers(seqs, k, policy).join(admitted.select("kmer"), "kmer", "left_semi")
+    """kmer and n of only those k-mers that ``admitted`` lists.
+
+    Up to k = 31 the list is written once as numbers. While it may be broadcast, tasks drop other k-mers before the shuffle; beyond, sums are joined with it by number.
+    """
+    if k > packed.MOST_K:
+        counts = count_kmers(seqs, k, policy).join(admitted.select("kmer"), "kmer", "left_semi")
+    else:
+        from ..functions.alphabet import encode
+        from ..plans.scratch import scratch
+
+        path = scratch(seqs.sparkSession, "admitted")
+        admitted.select(encode(F.col("kmer"), "ACGT").alias("code")).distinct().write.parquet(path)
+        listed = seqs.sparkSession.read.parquet(path)
+        parts = packed.code_counts(seqs, k, policy)
+        if listed.count() <= BROADCAST_KMERS:
+            parts = parts.join(F.broadcast(listed), "code", "left_semi").groupBy("code").agg(F.sum("n").alias("n"))
+        else:
+            parts = parts.groupBy("code").agg(F.sum("n").alias("n")).join(listed, "code", "left_semi")
+        counts = parts.select(packed.spelled("code", k, "ACGT").alias("kmer"), "n")
     return counts.withColumn("n", saturate("n", most).cast("long")) if most else counts
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,10 +70,18 @@ def cutoff_of(bins: dict[int, int], length: int = LENGTH, floor: int = 2) -> Cut
     return Cutoff(cutoff, peak, sum(h[cutoff : length + 1]), weak)
 
 
-def bank_cutoffs(long_counts: DataFrame, banks: list[str], length: int = LENGTH, floor: int = 3) -> dict[str, int]:
-    """The automatic cutoff of each bank, as thresholds for solidity rules. One job; banks x length rows at most."""
+def bank_cutoff_table(long_counts: DataFrame, length: int = LENGTH, floor: int = 3) -> DataFrame:
+    """bank and cutoff: the automatic cutoff of each bank, fitted bank by bank from at most ``length`` bins each."""
     bins = long_counts.groupBy("bank", F.least("n", F.lit(length)).alias("count")).agg(F.count("*").alias("n_kmers"))
-    found: dict[str, dict[int, int]] = {b: {} for b in banks}
-    for r in bins.where(F.col("bank").isin(banks)).collect():
-        found[r["bank"]][int(r["count"])] = r["n_kmers"]
-    return {b: cutoff_of(h, length, floor).cutoff for b, h in found.items()}
+
+    def fit(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        h = dict(zip(frame["count"].astype(int).tolist(), frame["n_kmers"].tolist(), strict=True))
+        return pd.DataFrame({"bank": [key[0]], "cutoff": [cutoff_of(h, length, floor).cutoff]})
+
+    return bins.groupBy("bank").applyInPandas(fit, f"bank {long_counts.schema['bank'].dataType.simpleString()}, cutoff long")
+
+
+def bank_cutoffs(long_counts: DataFrame, banks: list[str], length: int = LENGTH, floor: int = 3) -> dict[str, int]:
+    """The automatic cutoff of each of the banks, as thresholds for solidity rules: one row a bank reaches the driver."""
+    found = {r["bank"]: r["cutoff"] for r in bank_cutoff_table(long_counts.where(F.col("bank").isin(banks)), length, floor).collect()}
+    return {b: found[b] if b in found else cutoff_of({}, length, floor).cutoff for b in banks}

@@ -61,26 +61,27 @@ def _mapped(seqs: DataFrame, others: list[str], added: str, rows_of) -> DataFram
     return seqs.select(*others, "seq").mapInArrow(cut, ", ".join([*kinds, added]))
 
 
-def minimizers(seqs: DataFrame, k: int, m: int, order: str = "ACTG", policy: str = "skip", ban_aa: bool = False, ranks: DataFrame | None = None, hashed: bool = False) -> DataFrame:
+def minimizers(seqs: DataFrame, k: int, m: int, order: str = "ACTG", policy: str = "skip", ban_aa: bool = False, ranks: DataFrame | None = None, hashed: bool = False, flags: bool = False) -> DataFrame:
     """One row per valid k-mer: the columns of ``seqs`` but seq, pos, kmer, minimizer and minimizer_at (both from 0).
 
     The smallest canonical m-mer by ``order``, by ``ranks`` and then ``order``, or, with ``hashed``, by the 64-bit mix of its number (unsigned);
-    of equal ones the rightmost. With ban_aa, m-mers that ``allowed`` refuses count as the largest of all.
+    of equal ones the rightmost. With ban_aa, m-mers that ``allowed`` refuses count as the largest of all, hashed or not; with ``ranks`` they have the rank that the table gives them.
+    flags adds minimizer_reversed (the sequence has its reverse complement there) and minimizer_tied (another m-mer of the k-mer compares equal).
     """
     of = _minimizing(seqs, k, m, order, policy, ban_aa, ranks, hashed)
 
     def rows(text: str | None):
         codes = of.codes(text)
         spelt = of.upper[codes]
-        for first, mini, place, ok in of.pieces(codes):
+        for first, mini, place, ok, turned, tied in of.flagged(codes):
             for at in range(0, len(ok), 1 << 15):  # spelled out some at a time
                 x = np.flatnonzero(ok[at : at + (1 << 15)]) + at
                 if len(x):
                     words = np.lib.stride_tricks.sliding_window_view(spelt, k)[x + first]
-                    yield pa.array((x + first).astype(np.int32)), strings(words, np.full(len(x), k)), strings(letters_of(mini[x], m, order), np.full(len(x), m)), pa.array(place[x].astype(np.int32))
+                    yield pa.array((x + first).astype(np.int32)), strings(words, np.full(len(x), k)), strings(letters_of(mini[x], m, order), np.full(len(x), m)), pa.array(place[x].astype(np.int32)), *((pa.array(turned[x]), pa.array(tied[x])) if flags else ())
 
     others = [c for c in seqs.columns if c != "seq"]
-    return _mapped(seqs, others, "pos int, kmer string, minimizer string, minimizer_at int", rows)
+    return _mapped(seqs, others, "pos int, kmer string, minimizer string, minimizer_at int" + (", minimizer_reversed boolean, minimizer_tied boolean" if flags else ""), rows)
 
 
 def super_kmers(seqs: DataFrame, k: int, m: int, order: str = "ACTG", policy: str = "skip", max_kmers: int | None = None, ban_aa: bool = False, ranks: DataFrame | None = None, hashed: bool = False) -> DataFrame:
@@ -197,20 +198,63 @@ def greedy_partitions(bins: DataFrame, n: int, most: int = 1 << 20) -> DataFrame
     return bins.sparkSession.createDataFrame(out, bins.select("bin", "size").schema.add("part", IntegerType()))
 
 
-def grouped_partitions(bins: DataFrame, n: int, by: list[Column | str]) -> DataFrame:
-    """bin, size and part: bins in the order ``by`` fill one part after another up to the mean size.
+def grouped_partitions(bins: DataFrame, n: int, by: list[Column | str], rule: str = "share", most: int = 1 << 20) -> DataFrame:
+    """bin, size and part: bins in the order ``by`` fill one part after another.
 
-    The window runs over one row per minimizer, 4**m at most.
+    Rule ``share`` cuts at shares of the total, by a window over one row per minimizer, 4**m at most. Rule ``refill`` fills a part until it has more than the
+    mean and begins the next from nothing, the last one taking the rest; each cut depends on the one before, so bins are collected, at most ``most`` of them.
     """
-    before = F.sum("size").over(Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1))
-    total = F.sum("size").over(Window.partitionBy())
-    part = F.floor(F.coalesce(before, F.lit(0)) * n / total)
-    return bins.select("bin", "size", F.least(part, F.lit(n - 1)).cast("int").alias("part"))
+    if rule == "share":
+        before = F.sum("size").over(Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1))
+        total = F.sum("size").over(Window.partitionBy())
+        part = F.floor(F.coalesce(before, F.lit(0)) * n / total)
+        return bins.select("bin", "size", F.least(part, F.lit(n - 1)).cast("int").alias("part"))
+    if rule != "refill":
+        raise ValueError(f"rule must be share or refill, not {rule!r}")
+    rows = bins.orderBy(*by).select("bin", "size").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} bins")
+    mean, held, part, out = sum(r["size"] for r in rows) // n, 0, 0, []
+    for r in rows:
+        out.append((r["bin"], r["size"], part))
+        held += r["size"]
+        if held > mean:
+            held, part = 0, min(part + 1, n - 1)
+    return bins.sparkSession.createDataFrame(out, bins.select("bin", "size").schema.add("part", IntegerType()))
 
 
-def route(supers: DataFrame, table: DataFrame) -> DataFrame:
-    """Super-k-mers with the part of their minimizer, dealt by it. table: one row per minimizer, 4**m at most."""
-    return supers.join(F.broadcast(table.select(F.col("bin").alias("minimizer"), "part")), "minimizer").repartition("part")
+def sampled_bins(seqs: DataFrame, k: int, m: int, enough: int, key: str, by: str = "n_kmers", order: str = "ACTG", policy: str = "skip", first: float = 1 / 64) -> tuple[DataFrame, float]:
+    """(bin and size, share): k-mers per minimizer, scaled up from a sample that grows until it has ``enough`` super-k-mers or is all there is.
+
+    The sample is a share of the values of the column ``key`` by hash, so a larger one holds the smaller ones and a second attempt draws the same rows. It grows by four, so
+    all attempts together read a third more sequences than the last. Minimizers that were not seen are not in the table: ``route`` sends them to a part of their own choice.
+    """
+    from ..plans.scratch import scratch
+
+    spark, share = seqs.sparkSession, first
+    while True:
+        some = seqs if share >= 1 else seqs.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(share * (1 << 20)))
+        path = scratch(spark, "sampled-bins")
+        runs = super_kmers(some.select("seq"), k, m, order, policy)
+        runs.groupBy(F.col("minimizer").alias("bin")).agg(F.count("*").alias("n_super_kmers"), F.sum("n_kmers").cast("long").alias("n_kmers")).write.parquet(path)
+        bins = spark.read.parquet(path)
+        seen = bins.agg(F.sum("n_super_kmers")).first()[0] or 0
+        if seen >= enough or share >= 1:
+            return bins.select("bin", F.greatest(F.round(F.col(by) / share), F.lit(1)).cast("long").alias("size")), min(share, 1.0)
+        share *= 4
+
+
+#: Minimizers up to which a table of parts is broadcast; a shuffle join beyond.
+BROADCAST_BINS = 1 << 20
+
+
+def route(supers: DataFrame, table: DataFrame, unseen: int | None = None) -> DataFrame:
+    """Super-k-mers with the part of their minimizer, dealt by it; those whose minimizer the table does not have go to part ``unseen``, or out if that is None."""
+    parts = table.select(F.col("bin").alias("minimizer"), "part")
+    parts = F.broadcast(parts) if table.limit(BROADCAST_BINS + 1).count() <= BROADCAST_BINS else parts
+    if unseen is None:
+        return supers.join(parts, "minimizer").repartition("part")
+    return supers.join(parts, "minimizer", "left").withColumn("part", F.coalesce("part", F.lit(unseen))).repartition("part")
 
 
 def partition_stats(routed: DataFrame) -> DataFrame:

@@ -158,38 +158,46 @@ class Minimizing:
     def codes(self, text: str | None) -> np.ndarray:
         return self.table[np.frombuffer(as_bytes(text), np.uint8)]
 
-    def _values(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """What m-mers are compared by, and the number that is reported for each."""
+    def _values(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What m-mers are compared by, the number that is reported for each, and whether that is the reverse complement's."""
         from ..functions.hashing import mix64
 
         forward, back, _ = both_strands(codes, self.m, self.order)
         own = np.minimum(forward, back)
-        value = own
+        shown = own
+        banned = None
         if self.ban_aa:  # an m-mer with AA but at its start counts as the largest of all
             a = U(self.order.index("A"))
             digit = lambda j: own >> U(2 * (self.m - 1 - j)) & U(3)
             banned = np.zeros(len(own), bool)
             for j in range(1, self.m - 1):
                 banned |= (digit(j) == a) & (digit(j + 1) == a)
-            value = np.where(banned, U((1 << 2 * self.m) - 1), own)
-        shown = value
+            shown = np.where(banned, U((1 << 2 * self.m) - 1), own)
+        value = shown
         if self.ranks is not None:
-            value = self.ranks[own.astype(np.int64)].astype(U) << U(2 * self.m) | value
+            value = self.ranks[own.astype(np.int64)].astype(U) << U(2 * self.m) | shown
         elif self.hashed:
-            value = mix64(value)
-        return value, shown
+            value = mix64(own) if banned is None else np.where(banned, ~U(0), mix64(own))
+        return value, shown, back < forward
 
     def pieces(self, codes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """First place, reported m-mer, its place and validity of all k-mers, a piece of the sequence at a time."""
+        for first, mini, place, ok, _, _ in self.flagged(codes):
+            yield first, mini, place, ok
+
+    def flagged(self, codes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """``pieces``, with whether the m-mer is the reverse complement of what stands there, and whether another m-mer of the k-mer compares equal."""
         width = self.k - self.m + 1
         for first in range(0, max(0, len(codes) - self.k + 1), CHUNK):
             part = codes[first : first + CHUNK + self.k - 1]
-            value, shown = self._values(part)
+            value, shown, turned = self._values(part)
             n = len(part) - self.k + 1
-            best, at = value[width - 1 : width - 1 + n], np.full(n, width - 1)
+            best, at, tied = value[width - 1 : width - 1 + n], np.full(n, width - 1), np.zeros(n, bool)
             for j in range(width - 2, -1, -1):
-                less = value[j : j + n] < best
-                best, at = np.where(less, value[j : j + n], best), np.where(less, j, at)
+                here = value[j : j + n]
+                less = here < best
+                tied = np.where(less, False, tied | (here == best))
+                best, at = np.where(less, here, best), np.where(less, j, at)
             bad = np.concatenate([[0], np.cumsum(part == INVALID)])
             place = at + np.arange(n)
-            yield first, shown[place], place + first, bad[self.k :] == bad[: -self.k]
+            yield first, shown[place], place + first, bad[self.k :] == bad[: -self.k], turned[place], tied

@@ -42,6 +42,32 @@ def bloom_contains(rows: DataFrame, col: str, table: DataFrame, bits: int, hashe
     return hit.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") == hashes).select(F.col("key").alias(col))
 
 
+def bloom_group_table(keys: DataFrame, col: str, group: str, groups: list[str], bits: int, hashes: int) -> DataFrame:
+    """(place, groups): filters of several groups, such as banks, in one: each place has a bit for each group, in words of 64.
+
+    One aggregate builds it; its rows are ``bits`` at most, whatever the groups hold.
+    """
+    words = -(-len(groups) // 64)
+    number = F.element_at(F.create_map(*(x for i, g in enumerate(groups) for x in (F.lit(g), F.lit(i)))), F.col(group))
+    rows = keys.where(F.col(group).isin(groups)).select(number.alias("g"), F.explode(F.array_distinct(_places(F.col(col), hashes, bits))).alias("place"))
+    bit = F.expr("shiftleft(1L, g & 63)")
+    masks = [F.bit_or(F.when(F.shiftright("g", 6) == w, bit).otherwise(F.lit(0).cast("long"))) for w in range(words)]
+    return rows.groupBy("place").agg(F.array(*masks).alias("groups"))
+
+
+def bloom_groups_of(rows: DataFrame, col: str, table: DataFrame, groups: list[str], bits: int, hashes: int) -> DataFrame:
+    """key and groups: for each distinct key of ``rows`` the groups that may hold it, from one probe of all filters; none that holds it is missing, and keys without one are left out."""
+    words = -(-len(groups) // 64)
+    probes = rows.select(F.col(col).alias("key")).distinct().select("key", F.array_distinct(_places(F.col("key"), hashes, bits)).alias("places"))
+    probes = probes.select("key", F.size("places").alias("many"), F.explode("places").alias("place"))
+    held = table.select(F.col("place"), F.col("groups").alias("masks"))
+    held = F.broadcast(held) if bits * words <= 16 * BROADCAST_WORDS else held
+    # the groups of a key are those that all its places have
+    both = probes.join(held, "place").groupBy("key").agg(F.count("*").alias("hits"), F.max("many").alias("many"), *(F.bit_and(F.get("masks", F.lit(w))).alias(f"mask_{w}") for w in range(words))).where("hits = many")
+    named = F.array_compact(F.array(*(F.when(F.col(f"mask_{i // 64}").bitwiseAND(F.lit((1 << i % 64) - (1 << 64 if i % 64 == 63 else 0))) != 0, F.lit(g)) for i, g in enumerate(groups))))
+    return both.select(F.col("key").alias(col), named.alias("groups")).where(F.size("groups") > 0)
+
+
 def passed(counts: DataFrame, levels: int) -> DataFrame:
     """What a cascade of ``levels`` filters without errors lets pass, as counts: each occurrence after the first ``levels``."""
     return counts.where(F.col("n") > levels).withColumn("n", F.col("n") - levels)

@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import clean
-from .kmers import kmer_array
 
 
 def bank_stats(seqs: DataFrame, k: int, by: list[str], policy: str = "skip") -> DataFrame:
     """Per bank: sequences, their min, max, sum, mean and standard deviation of length, valid and invalid k-mers."""
     s = seqs.select(*by, clean(F.col("seq"), policy).alias("_s"))
     n = F.length("_s")
-    rows = s.select(*by, n.cast("long").alias("n"), F.greatest(n - (k - 1), F.lit(0)).cast("long").alias("all"), F.size(kmer_array(F.col("_s"), k, valid_only=True)).cast("long").alias("valid"))
+    # a run of n valid bases has n - k + 1 k-mers; no k-mer is spelled out
+    runs = F.regexp_extract_all("_s", F.lit(f"[ACGT]{{{k},}}"), F.lit(0))
+    valid = F.coalesce(F.aggregate(runs, F.lit(0).cast("long"), lambda total, x: total + F.length(x) - (k - 1)), F.lit(0).cast("long"))
+    rows = s.select(*by, n.cast("long").alias("n"), F.greatest(n - (k - 1), F.lit(0)).cast("long").alias("all"), valid.alias("valid"))
     return rows.groupBy(*by).agg(
         F.count("*").alias("n_seqs"), F.min("n").alias("shortest"), F.max("n").alias("longest"), F.sum("n").alias("bases"), F.floor(F.avg("n") * 1000).cast("long").alias("mean_x1000"),
         F.floor(F.stddev_pop("n") + 1e-6).cast("long").alias("deviation"), F.sum("valid").alias("valid_kmers"), (F.sum("all") - F.sum("valid")).alias("invalid_kmers"),

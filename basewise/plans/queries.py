@@ -204,17 +204,21 @@ def palindromes(spark, sf_dir):
 _M = "18446744073709551616::UHUGEINT"
 
 
-def _mix_sql() -> str:
-    """The 64-bit mix in arithmetic of 128 bits, step by step."""
+def _mix_sql() -> tuple[str, str]:
+    """The 64-bit mix of e(code) in arithmetic of 128 bits, step by step, and the name of the last table, of code and x."""
     steps = [f"((18446744073709551615::UHUGEINT - x) + x * 2097152) % {_M}", "xor(x, x // 16777216)", f"(x * 265) % {_M}", "xor(x, x // 16384)", f"(x * 21) % {_M}", "xor(x, x // 268435456)", f"(x * 2147483649) % {_M}"]
     sql, name = "h0 AS (SELECT code, code::UHUGEINT AS x FROM e)", "h0"
     for i, s in enumerate(steps, 1):
         sql += f", h{i} AS (SELECT code, {s} AS x FROM {name})"
         name = f"h{i}"
+    return sql, name
+
+
+def _signed_sql(sql: str, name: str) -> str:
     return sql + f" SELECT code, CAST(CASE WHEN x >= 9223372036854775808::UHUGEINT THEN CAST(x AS HUGEINT) - 18446744073709551616::HUGEINT ELSE CAST(x AS HUGEINT) END AS BIGINT) AS hash FROM {name}"
 
 
-@query("WITH e AS (SELECT range AS code FROM range(1024)), " + _mix_sql())
+@query("WITH e AS (SELECT range AS code FROM range(1024)), " + _signed_sql(*_mix_sql()))
 def hash_mix(spark, sf_dir):
     return spark.range(1024).select(F.col("id").alias("code"), H.mix64_column("id").alias("hash"))
 
@@ -480,6 +484,50 @@ def compacted_kmers(spark, sf_dir):
     return found.select(A.compacted("kmer", F.col("minimizer_at") - F.col("pos"), MM).alias("compacted")).groupBy("compacted").agg(F.count("*").alias("n"))
 
 
+def _hashed_sql() -> str:
+    """m(doc_id, pos, minimizer, minimizer_at, minimizer_reversed, minimizer_tied) by the mix of the m-mers' numbers."""
+    mix, last = _mix_sql()
+    number = " + ".join(f"(ascii(substr(own, {i + 1}, 1)) - 48) * {4 ** (MM - 1 - i)}" for i in range(MM))
+    return (
+        f"WITH {SEQ}, e AS (SELECT range AS code FROM range({4**MM})), {mix}, i AS (SELECT *, unnest(range(1, length(seq) - {MM} + 2)) AS i FROM s WHERE length(seq) >= {MK}), "
+        f"f AS (SELECT doc_id, length(seq) AS len, i - 1 AS pos, translate(substr(seq, i, {MM}), 'ACTG', '0123') AS f, translate(reverse(translate(substr(seq, i, {MM}), 'ACGT', 'TGCA')), 'ACTG', '0123') AS r FROM i), "
+        f"o AS (SELECT doc_id, len, pos, least(f, r) AS own, r < f AS turned FROM f), "
+        f"g AS (SELECT doc_id, len, pos, own, turned, lpad(CAST(x AS VARCHAR), 20, '0') AS value FROM o JOIN {last} ON code = {number}), "
+        f"b AS (SELECT doc_id, len, pos, min(value || lpad(CAST(1000000 - pos AS VARCHAR), 7, '0')) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {MK - MM} FOLLOWING) AS best FROM g), "
+        f"t AS (SELECT doc_id, pos, substr(best, 1, 20) AS value, 1000000 - CAST(substr(best, 21) AS BIGINT) AS place FROM b WHERE pos <= len - {MK}), "
+        f"n AS (SELECT t.doc_id, t.pos, count(*) AS equal FROM t JOIN g ON g.doc_id = t.doc_id AND g.pos BETWEEN t.pos AND t.pos + {MK - MM} AND g.value = t.value GROUP BY 1, 2), "
+        "m AS (SELECT t.doc_id, t.pos, translate(g.own, '0123', 'ACTG') AS minimizer, t.place AS minimizer_at, g.turned AS minimizer_reversed, n.equal > 1 AS minimizer_tied FROM t JOIN g ON g.doc_id = t.doc_id AND g.pos = t.place JOIN n ON n.doc_id = t.doc_id AND n.pos = t.pos)"
+    )
+
+
+@query(_hashed_sql() + " SELECT * FROM m")
+def minimizers_hashed(spark, sf_dir):
+    found = minimizers.minimizers(stripped(spark, sf_dir), MK, MM, hashed=True, flags=True)
+    return found.select("doc_id", F.col("pos").cast("long").alias("pos"), "minimizer", F.col("minimizer_at").cast("long").alias("minimizer_at"), "minimizer_reversed", "minimizer_tied")
+
+
+@query(
+    _minis().replace("WITH ", "WITH RECURSIVE ", 1) + _RUNS + ", od AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY bin) AS r, sum(size) OVER () // 16 AS mean FROM (SELECT minimizer AS bin, CAST(sum(n_kmers) AS BIGINT) AS size FROM u GROUP BY 1)), "
+    "gr(r, held, part) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS HUGEINT), CAST(0 AS INTEGER) UNION ALL "
+    "SELECT od.r, CASE WHEN held > mean THEN CAST(0 AS HUGEINT) ELSE held END + od.size, CASE WHEN held > mean THEN least(part + 1, 15) ELSE part END FROM gr JOIN od ON od.r = gr.r + 1) "
+    "SELECT bin, size, part FROM gr JOIN od USING (r)"
+)
+def refilled_repartition(spark, sf_dir):
+    """Parts that begin from nothing each time they hold more than the mean."""
+    return minimizers.grouped_partitions(_bins(spark, sf_dir), 16, ["bin"], rule="refill")
+
+
+@query(_minis() + " SELECT count(*) AS n_kmers, 16 AS n_parts, true AS even FROM m")
+def sampled_repartition(spark, sf_dir):
+    """Parts made from a sample of super-k-mers hold all k-mers; the largest is at most a quarter larger than the largest made from all of them."""
+    seqs = stripped(spark, sf_dir)
+    bins, _ = minimizers.sampled_bins(seqs.select("doc_id", "seq"), MK, MM, 5_000, "doc_id")
+    routed = minimizers.route(minimizers.super_kmers(seqs, MK, MM), minimizers.greedy_partitions(bins, 16), unseen=15)
+    parts = minimizers.partition_stats(routed).agg(F.sum("n_kmers").alias("n_kmers"), F.count("*").cast("int").alias("n_parts"), F.max("n_kmers").alias("largest"))
+    whole = minimizers.greedy_partitions(_bins(spark, sf_dir), 16).groupBy("part").agg(F.sum("size").alias("size")).agg(F.max("size").alias("best"))
+    return parts.join(whole).select("n_kmers", "n_parts", (F.col("largest") <= 1.25 * F.col("best")).alias("even"))  # one row each
+
+
 # --- comparing ------------------------------------------------------------------------------------
 
 _TWO = _w(K) + ", a AS (SELECT least(fwd, rc) AS kmer, count(*) AS n FROM w WHERE bank = 'de' GROUP BY 1), b AS (SELECT least(fwd, rc) AS kmer, count(*) AS n FROM w WHERE bank = 'es' GROUP BY 1)"
@@ -668,6 +716,23 @@ def bloom_files(spark, sf_dir):
     return one.select("n_held", "n_found", "n_others", (F.col("n_false") * 50 <= F.col("n_others")).alias("few_false"))
 
 
+_BANK_SETS = _w(9) + ", p AS (SELECT DISTINCT least(fwd, rc) AS kmer, bank FROM w)"
+
+
+@query(_BANK_SETS + " SELECT count(*) AS n_pairs, count(*) AS n_found, true AS few_false FROM p")
+def bloom_groups(spark, sf_dir):
+    """One probe of the joined filters of all banks gives each k-mer every bank that has it, and at most one in fifty of those that do not."""
+    pairs = counting.count_banks(stripped(spark, sf_dir), 9, "bank").select("kmer", "bank")
+    bits, hashes = sketches.bloom_size(pairs.groupBy("bank").count().agg(F.max("count")).first()[0] or 0, 12)
+    table = sketches.bloom_group_table(pairs, "kmer", "bank", BANKS, bits, hashes)
+    found = sketches.bloom_groups_of(pairs, "kmer", table, BANKS, bits, hashes).select(F.col("kmer").alias("_kmer"), F.explode("groups").alias("_bank"))
+    both = pairs.join(found, (F.col("kmer") == F.col("_kmer")) & (F.col("bank") == F.col("_bank")), "full")
+    n = lambda c: F.count(F.when(c, 1))
+    held, right, wrong = F.col("kmer").isNotNull(), F.col("kmer").isNotNull() & F.col("_kmer").isNotNull(), F.col("kmer").isNull()
+    possible = F.count_distinct(F.coalesce("kmer", "_kmer")) * len(BANKS) - n(held)
+    return both.agg(n(held).alias("n_pairs"), n(right).alias("n_found"), (n(wrong) * 50 <= possible).alias("few_false"))
+
+
 @query(_c(7) + " SELECT count(*) AS n_kmers, 0 AS n_under FROM c")
 def cms_estimate(spark, sf_dir):
     """No estimate is below the count."""

@@ -320,3 +320,87 @@ def test_whole_run(spark, reads):
     assert run(seqs, 4).properties["thresholds"][0] >= 3
     cut = histogram.bank_cutoffs(counting.count_banks(seqs, 4, "sample"), ["x", "y"])
     assert set(cut) == {"x", "y"} and min(cut.values()) >= 3
+
+
+def test_refilled_parts(spark):
+    bins = spark.createDataFrame([(f"b{i}", 3) for i in range(4)], "bin string, size long")
+    parts = lambda **x: [r.part for r in minimizers.grouped_partitions(bins, 2, ["bin"], **x).orderBy("bin").collect()]
+    assert parts(rule="refill") == [0, 0, 0, 1] and parts() == [0, 0, 1, 1]
+    many = spark.createDataFrame([(f"b{i:02}", s) for i, s in enumerate([9, 1, 9, 1, 1, 9, 9, 5])], "bin string, size long")
+    assert [r.part for r in minimizers.grouped_partitions(many, 3, ["bin"], "refill").orderBy("bin").collect()] == [0, 0, 0, 1, 1, 1, 1, 2]
+    with pytest.raises(ValueError):
+        minimizers.grouped_partitions(bins, 2, ["bin"], rule="refill", most=3)
+
+
+def test_samples_grow_until_they_are_enough(spark):
+    import random
+
+    rnd = random.Random(2)
+    seqs = spark.createDataFrame([(i, "".join(rnd.choice("ACGT") for _ in range(120))) for i in range(800)], "id long, seq string")
+    shares = []
+    for enough in (1, 300, 10**9):
+        bins, share = minimizers.sampled_bins(seqs, 9, 3, enough, "id")
+        shares.append(share)
+        assert bins.agg(F.sum("size")).first()[0] == pytest.approx(800 * 112, rel=0.35)
+    assert shares[0] < shares[1] < shares[2] == 1.0
+    supers = minimizers.super_kmers(seqs, 9, 3)
+    few = spark.createDataFrame([("AAC", 10)], "bin string, size long").withColumn("part", F.lit(0))
+    assert minimizers.route(supers, few, unseen=7).count() == supers.count() > minimizers.route(supers, few).count() > 0
+
+
+def test_equal_super_kmers_are_spread(spark):
+    hot = spark.createDataFrame([("A" * 60,)] * 3000 + [("ACGTTGCAAC",)] * 5, "seq string").repartition(6)
+    got = {r.kmer: r.n for r in counting.count_through_super_kmers(hot, 5, 3).collect()}
+    assert got == {r.kmer: r.n for r in counting.count_kmers(hot, 5).collect()} and got["AAAAA"] == 3000 * 56
+    runs = minimizers.super_kmers(hot, 5, 3).groupBy("minimizer", "seq").count()
+    assert runs.count() <= 10
+
+
+def test_banned_minimizers_under_a_hash(spark):
+    seqs = spark.createDataFrame([("".join("ACGT"[(i * i + i // 3) % 4] for i in range(200)),)], "seq string")
+    rows = minimizers.minimizers(seqs, 9, 4, ban_aa=True, hashed=True, flags=True).collect()
+    bad = lambda m: "AA" in m[1:]
+    rc = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    digits = lambda s: s.translate(str.maketrans("ACTG", "0123"))
+    code = lambda s: int(digits(s), 4)
+    from basewise.functions.hashing import mix64
+    import numpy as np
+
+    for r in rows:
+        found = []
+        for j in range(6):
+            w = r.kmer[j : j + 4]
+            c = min(w, rc(w), key=digits)
+            found.append(((1 << 64) - 1 if bad(c) else int(mix64(np.array([code(c)], np.uint64))[0]), -j, "GGGG" if bad(c) else c, c != w))
+        best = min(found)
+        assert (r.minimizer, r.minimizer_at, r.minimizer_reversed, r.minimizer_tied) == (best[2], r.pos - best[1], best[3], sum(x[0] == best[0] for x in found) > 1)
+
+
+def test_admitted_beyond_the_broadcast(spark, monkeypatch):
+    seqs = spark.createDataFrame([("ACGTACGTTTACG",), ("ACGTN",)], "seq string")
+    listed = counting.count_kmers(seqs, 4).where("n > 1").select("kmer")
+    want = sorted(map(tuple, counting.count_kmers(seqs, 4).where("n > 1").collect()))
+    for limit in (10**6, 0):
+        monkeypatch.setattr(counting, "BROADCAST_KMERS", limit)
+        assert sorted(map(tuple, counting.count_admitted(seqs, listed, 4).collect())) == want and want
+
+
+def test_one_filter_for_many_groups(spark):
+    names = [f"g{i}" for i in range(130)]
+    rows = spark.createDataFrame([(f"k{i * 7 % 50}", names[i % 130]) for i in range(900)] + [("odd", "no group"), (None, "g1")], "key string, bank string")
+    bits, hashes = sketches.bloom_size(900, 16)
+    table = sketches.bloom_group_table(rows, "key", "bank", names, bits, hashes)
+    found = {r.key: set(r.groups) for r in sketches.bloom_groups_of(rows, "key", table, names, bits, hashes).collect()}
+    held = {}
+    for r in rows.where("key is not null and bank != 'no group'").collect():
+        held.setdefault(r.key, set()).add(r.bank)
+    assert all(found[k] >= g for k, g in held.items())
+    assert sum(len(found[k] - held.get(k, set())) for k in found) < 30
+
+
+def test_cutoffs_of_banks(spark):
+    rows = [("a", f"k{i}", 1) for i in range(90)] + [("a", f"m{i}", 8 + i % 3) for i in range(60)] + [("b", f"k{i}", 2) for i in range(9)]
+    table = spark.createDataFrame(rows, "bank string, kmer string, n long")
+    each = histogram.bank_cutoffs(table, ["a", "b", "none"])
+    assert each["a"] == histogram.auto_cutoff(histogram.histogram(table.where("bank = 'a'")), floor=3).cutoff and each["none"] == 3 and list(each) == ["a", "b", "none"]
+    assert {r.bank: r.cutoff for r in histogram.bank_cutoff_table(table).collect()} == {b: each[b] for b in "ab"}
