@@ -26,6 +26,37 @@ def mix64(key: np.ndarray) -> np.ndarray:
     return key + (key << U(31))
 
 
+def seeded64(key: np.ndarray, seed: int = 0) -> np.ndarray:
+    """The mix of a seed that the key has stirred first."""
+    key, seed = key.astype(U), U(seed)
+    stirred = (seed << U(7)) ^ key * (seed >> U(3)) ^ ~((seed << U(11)) + (key ^ (seed >> U(5))))
+    return mix64(seed ^ stirred)
+
+
+# Fixed values: (operation, shift or factor) of the steps of the mix for hash tables.
+TABLE_STEPS = (("shift", 14), ("spread", 18), ("shift", 31), ("times", 21), ("shift", 11), ("times", 65), ("shift", 22))
+
+
+def table64(key: np.ndarray) -> np.ndarray:
+    """The mix that open tables place keys by."""
+    key = key.astype(U)
+    for what, n in TABLE_STEPS:
+        if what == "shift":
+            key = key ^ (key >> U(n))
+        elif what == "times":
+            key = key * U(n)
+        else:
+            key = ~key + (key << U(n))
+    return key
+
+
+def bytes16(key: np.ndarray, shift: int, table: np.ndarray) -> np.ndarray:
+    """A hash of two bytes of the key, ``shift`` bits up, and its lowest: the xor of their values in ``table``, of 256 numbers that the caller draws."""
+    key, table = key.astype(U), table.astype(U)
+    byte = lambda at: table[(key >> U(at) & U(255)).astype(np.int64)]
+    return byte(shift) ^ byte(shift + 8) ^ byte(0)
+
+
 # Fixed values: (shift, multiplier) of the rounds of the invertible mixes, and their last shifts.
 ROUNDS_32 = ((16, 0x2C1B3C6D), (16, 0x297A2D39))
 LAST_32 = 16
@@ -82,10 +113,16 @@ def _column(fn, name: str):
 
 
 mix64_column = _column(mix64, "mix64_column")
+table64_column = _column(table64, "table64_column")
 invertible64_column = _column(invertible64, "invertible64_column")
 inverse64_column = _column(inverse64, "inverse64_column")
 
 
+def seeded64_column(col: Column | str, seed: int) -> Column:
+    """seeded64 of a long column; the unsigned result is returned as the long with the same bits."""
+    return _column(lambda x: seeded64(x, seed), "seeded64_column")(col)
+
+
 def unsigned_key(col: Column | str) -> Column:
     """A long whose signed order is the unsigned order of its argument."""
     c = F.col(col) if isinstance(col, str) else col

@@ -43,9 +43,9 @@ def disagreements(counted: DataFrame, exact: DataFrame) -> DataFrame:
 
 
 def zip_rows(left: DataFrame, right: DataFrame, left_order: str, right_order: str) -> DataFrame:
-    """Rows of two small tables paired by rank; ranks are taken in one partition, so both must be small."""
-    from pyspark.sql import Window
+    """Rows of two tables paired by their rank in an order each; what one has more than the other is left out."""
+    from .ranks import numbered
 
-    a = left.withColumn("_rank", F.row_number().over(Window.orderBy(left_order)))
-    b = right.withColumn("_rank", F.row_number().over(Window.orderBy(right_order)))
+    a = numbered(left, left_order, name="_rank")
+    b = numbered(right, right_order, name="_rank")
     return a.join(b, "_rank").drop("_rank")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_WORDS = 1 << 20
@@ -120,19 +120,7 @@ def abundance_of(code: Column) -> Column:
 
 
 def dense_ids(keys: DataFrame, col: str) -> DataFrame:
-    """key and id: distinct keys numbered from 0 in order, range by range without a global window.
+    """key and id: distinct keys numbered from 0 in order, range by range without a global window."""
+    from .ranks import numbered
 
-    The ranges are written once, with their numbers, so that counts and ids come from the same rows.
-    """
-    from ..plans.scratch import scratch
-
-    ordered = keys.select(col).distinct().repartitionByRange(col).sortWithinPartitions(col)
-    inside = ordered.withColumn("_row", F.monotonically_increasing_id())
-    path = scratch(keys.sparkSession, "dense-ids")
-    inside.write.parquet(path)
-    rows = keys.sparkSession.read.schema(inside.schema).parquet(path)
-    part = F.shiftright("_row", 33)  # a row number holds its range above 33 bits, and its rank in the range below
-    starts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # one row per range
-    before = starts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    rank = F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
-    return rows.withColumn("_part", part).join(F.broadcast(before), "_part").select(col, (F.col("_before") + rank).cast("long").alias("id"))
+    return numbered(keys.select(col).distinct(), col, name="id")

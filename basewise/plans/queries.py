@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from ..functions import alphabet as A
 from ..functions import hashing as H
-from ..operators import compare, counting, histogram, kmers, minimizers, sketches, solidity, stats
-from ..sources import banks, counts, ranges
+from ..operators import compare, counting, histogram, kmers, minimizers, ranks, sketches, solidity, stats
+from ..sources import banks, blocks, counts, ranges
 from ..streaming import counts as streaming
+from . import processors
+from . import run as runs
 from .scratch import scratch
 
 K = 5
@@ -271,6 +273,24 @@ def kmer_histogram(spark, sf_dir):
     return histogram.histogram(counting.count_kmers(stripped(spark, sf_dir), 9))
 
 
+@query(_banks() + " SELECT * FROM v WHERE total BETWEEN 3 AND 500 AND n_fr > 0")
+def run_with_steps(spark, sf_dir):
+    """A whole run: counts of each bank, a rule, and further steps over what it keeps."""
+    steps = (lambda v: v.where("total <= 500"), lambda v: v.where(F.get("counts", F.lit(3)) > 0))
+    return _spread(runs.run(stripped(spark, sf_dir), K, "bank", BANKS, "sum", [3], processors=steps).solid)
+
+
+@query(_c(7) + ", k AS (SELECT * FROM c WHERE n BETWEEN 2 AND 200) SELECT 'histogram' AS part, '' AS kmer, n AS count, count(*) AS n FROM k GROUP BY n UNION ALL SELECT 'dump', kmer, 0, n FROM k UNION ALL SELECT 'left out', '', 0, count(*) FROM c WHERE n NOT BETWEEN 2 AND 200")
+def count_processors(spark, sf_dir):
+    """A chain of a range, a histogram and a dump, in one pass over the counts."""
+    vectors = counting.count_vectors(counting.count_banks(stripped(spark, sf_dir), 7, "bank"), BANKS)
+    out, bins, dump = processors.process_counts(vectors, [processors.RangeProcessor(2, 200), processors.HistogramProcessor(), processors.DumpProcessor()])
+    rows = lambda df, part, kmer, count, n: df.select(F.lit(part).alias("part"), kmer.alias("kmer"), count.cast("long").alias("count"), n.alias("n"))
+    none, zero = F.lit(""), F.lit(0)
+    every = rows(bins, "histogram", none, F.col("count"), F.col("n_kmers")).unionByName(rows(dump, "dump", F.col("kmer"), zero, F.col("n")))
+    return every.unionByName(rows(out, "left out", none, zero, F.col("n_left_out")))
+
+
 @query(_banks() + " SELECT least(total - n_de, 10000) AS count_reads, least(n_de, 10) AS count_genome, count(*) AS n_kmers FROM v GROUP BY 1, 2")
 def kmer_histogram_2d(spark, sf_dir):
     return histogram.histogram_2d(_vectors(spark, sf_dir))
@@ -683,6 +703,96 @@ def composite_bank(spark, sf_dir):
     return banks.combine([seqs.where("bank = 'de'"), seqs.where("bank = 'fr'")], ["de", "fr"]).groupBy("bank_id").agg(F.count("*").alias("n_seqs"))
 
 
+@query(f"WITH {MAPPED}, p AS (SELECT unnest(regexp_extract_all(seq, '[ACGT]+')) AS seq FROM s) SELECT seq FROM p WHERE length(seq) >= 4")
+def packed_files(spark, sf_dir):
+    """Sequences cut at other letters, in packed files and back, block by block."""
+    path = scratch(spark, "packed-files")
+    blocks.write_blocks(mapped(spark, sf_dir), path, 4, 1 << 16)
+    return banks.read_bank(spark, path).select("seq")
+
+
+@query(f"WITH {SEQ} SELECT bank, CAST(doc_id AS VARCHAR) AS comment, seq FROM s WHERE bank IN ('de', 'es')")
+def album_bank(spark, sf_dir):
+    """An album of FASTA files without telling names, plain and compressed, told by their contents."""
+    path, names = scratch(spark, "album"), []
+    for bank, zipped in (("de", True), ("es", False)):
+        counts.write_fasta(stripped(spark, sf_dir).where(F.col("bank") == bank), f"{path}/{bank}", gzip=zipped, comment="doc_id")
+        names += [uri for uri, _ in ranges.files_below(f"{path}/{bank}")]
+    spark.createDataFrame([(n,) for n in names], "value string").coalesce(1).write.text(f"{path}/list")
+    every = banks.read_bank(spark, ranges.files_below(f"{path}/list")[0][0])
+    return every.select(F.regexp_extract("bank_id", "/(de|es)/[^/]*$", 1).alias("bank"), "comment", "seq")
+
+
+@query(f"WITH {SEQ} SELECT true AS near_seqs, true AS near_bases, true AS bounded FROM (SELECT count(*) FROM s)")
+def bank_estimate_from_heads(spark, sf_dir):
+    """The numbers of a bank from the first 64 KB of each of its files, each within a fifth."""
+    path = scratch(spark, "fasta")
+    seqs = stripped(spark, sf_dir)
+    counts.write_fasta(seqs.repartition(4, "doc_id"), path, comment="doc_id")
+    guess = banks.estimate_files(spark, path, 1 << 16)
+    both = guess.join(seqs.agg(F.count("*").alias("n"), F.sum(F.length("seq").cast("long")).alias("b")))  # one row each
+    near = lambda x, y: F.abs(F.col(x) - F.col(y)) * 5 <= F.col(y)
+    return both.select(near("n_seqs", "n").alias("near_seqs"), near("bases", "b").alias("near_bases"), (F.col("bytes_read") <= 4 << 16).alias("bounded"))
+
+
+@query(_c() + " SELECT kmer, n, row_number() OVER (ORDER BY kmer) - 1 AS place FROM c")
+def sorted_dump(spark, sf_dir):
+    """A dump written in order; place is a line's number in the files as they follow each other."""
+    path = scratch(spark, "dump")
+    counts.write_counts(counting.count_kmers(stripped(spark, sf_dir), K), path, ordered=True)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line"))
+    parts = F.split("value", "\t")
+    return ranks.numbered(lines, "file", "line", name="place").select(parts[0].alias("kmer"), parts[1].cast("long").alias("n"), "place")
+
+
+_INFO = (
+    _minis() + _RUNS + ", b AS (SELECT minimizer AS bin, CAST(sum(n_kmers) AS BIGINT) AS size FROM u GROUP BY 1), "
+    "y AS (SELECT bin, CAST(least(floor((sum(size) OVER (ORDER BY bin) - size) * 16 / (sum(size) OVER ())), 15) AS INTEGER) AS part FROM b), r AS (SELECT part, minimizer, n_kmers FROM u JOIN y ON minimizer = bin)"
+)
+
+
+@query(
+    _INFO + " SELECT 'total' AS what, '' AS key, count(*) AS n_super_kmers, CAST(sum(n_kmers) AS BIGINT) AS n_kmers FROM r UNION ALL SELECT 'part', CAST(part AS VARCHAR), count(*), CAST(sum(n_kmers) AS BIGINT) FROM r GROUP BY part "
+    "UNION ALL SELECT 'minimizer', minimizer, count(*), CAST(sum(n_kmers) AS BIGINT) FROM r GROUP BY minimizer"
+)
+def partition_info_file(spark, sf_dir):
+    path = scratch(spark, "partition-info")
+    runs = minimizers.super_kmers(stripped(spark, sf_dir), MK, MM)
+    counts.write_partition_info(minimizers.route(runs, minimizers.grouped_partitions(_bins(spark, sf_dir), 16, ["bin"])), path)
+    return counts.read_partition_info(spark, path)
+
+
+def _cutoff_of(bank: str) -> str:
+    sql = _CUTOFF.replace("FROM w GROUP BY 1)", f"FROM w WHERE bank = '{bank}' GROUP BY 1)", 1).replace("THEN 2 ELSE", "THEN 3 ELSE").replace("most), 2) END", "most), 3) END")
+    return f"SELECT '{bank}' AS bank, cutoff FROM ({sql})"
+
+
+@query(" UNION ALL ".join(_cutoff_of(b) for b in BANKS))
+def bank_cutoffs(spark, sf_dir):
+    return histogram.bank_cutoff_table(counting.count_banks(stripped(spark, sf_dir), 9, "bank"))
+
+
+@query(_TWO + ", x AS (SELECT kmer AS left_kmer, row_number() OVER (ORDER BY kmer) AS r FROM a), y AS (SELECT kmer AS right_kmer, row_number() OVER (ORDER BY kmer DESC) AS r FROM b) SELECT left_kmer, right_kmer FROM x JOIN y USING (r)")
+def paired_rows(spark, sf_dir):
+    """The k-mers of two banks paired by rank, one in rising and one in falling order."""
+    left, right = _two(spark, sf_dir)
+    right = right.select(F.col("kmer").alias("right_kmer"), F.translate("kmer", "ACGT", "3210").alias("falling"))
+    return compare.zip_rows(left.select(F.col("kmer").alias("left_kmer")), right, "left_kmer", "falling").select("left_kmer", "right_kmer")
+
+
+_U64 = "18446744073709551616::UHUGEINT"
+_TABLE = ["xor(x, x // 16384)", f"((18446744073709551615::UHUGEINT - x) + x * 262144) % {_U64}", "xor(x, x // 2147483648)", f"(x * 21) % {_U64}", "xor(x, x // 2048)", f"(x * 65) % {_U64}", "xor(x, x // 4194304)"]
+_TABLE_SQL = ", t0 AS (SELECT code, code::UHUGEINT AS x FROM e)" + "".join(f", t{i} AS (SELECT code, {s} AS x FROM t{i - 1})" for i, s in enumerate(_TABLE, 1))
+_CODE9 = " + ".join(f"(instr('ACTG', substr(kmer, {i + 1}, 1)) - 1) * {4 ** (8 - i)}" for i in range(9))
+
+
+@query(_c(9) + f", e AS (SELECT CAST({_CODE9} AS BIGINT) AS code FROM c)" + _TABLE_SQL + " SELECT CAST(x % 64 AS BIGINT) AS slot, count(*) AS n_kmers FROM t7 GROUP BY 1")
+def table_slots(spark, sf_dir):
+    """How many k-mers the hash of open tables sends to each of 64 slots."""
+    held = counting.count_kmers(stripped(spark, sf_dir), 9)
+    return held.select(H.table64_column(A.encode("kmer")).bitwiseAND(F.lit(63)).alias("slot")).groupBy("slot").agg(F.count("*").alias("n_kmers"))
+
+
 # --- sketches -------------------------------------------------------------------------------------
 
 

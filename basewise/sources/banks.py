@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import BinaryType, StringType
 
-from . import ranges
+from . import blocks, ranges
 
 FASTX_SCHEMA = "seq_id long, comment string, seq string, quality string"
 
@@ -199,26 +199,120 @@ def combine(banks: list[DataFrame], names: list[str] | None = None) -> DataFrame
     return out
 
 
+def _members(lines: Iterator[str], path: str) -> list[str]:
+    named = (x.strip() for x in lines)
+    return [x if x.startswith("/") or "://" in x else posixpath.join(posixpath.dirname(path), x) for x in named if x and not x.startswith("#")]
+
+
 def album_members(spark: SparkSession, path: str) -> list[str]:
     """The files that an album lists, one a line; relative names are beside the album."""
-    lines = [r.value.strip() for r in spark.read.text(path).collect()]
-    return [x if x.startswith("/") or "://" in x else posixpath.join(posixpath.dirname(path), x) for x in lines if x and not x.startswith("#")]
+    return _members((r.value for r in spark.read.text(path).collect()), path)
+
+
+#: Bytes within which a file must tell that it is an album: a list of files that exist.
+ALBUM_BYTES = 1 << 20
+
+
+def sniff(uri: str) -> str:
+    """What a file is by its contents: album, fasta, fastx (FASTQ, or FASTA that only ``fastx`` can open), packed or parquet, tried in this order. A folder is what its first file is."""
+    files = ranges.files_below(uri)
+    if not files:
+        raise ValueError(f"{uri} is empty")
+    first, size = files[0]
+    with ranges.open_file(first)[0] as source:
+        head = source.read(min(size, ALBUM_BYTES))
+    zipped = ranges.is_zipped(head)
+    if not zipped and size <= ALBUM_BYTES and b"\0" not in head and head.strip():
+        members = _members(iter(head.decode("utf-8", "replace").splitlines()), first)
+        if members and all(_exists(m) for m in members):
+            return "album"
+    if looks_like_fastx(first):
+        letter = next(x.lstrip() for x in _lines(first) if x.strip())[:1]
+        return "fasta" if letter == ">" and (not zipped or first.endswith(".gz")) else "fastx"
+    if head.startswith(blocks.MAGIC):
+        return "packed"
+    if head.startswith(b"PAR1"):
+        return "parquet"
+    raise ValueError(f"{uri} is no bank")
+
+
+def _exists(uri: str) -> bool:
+    try:
+        return bool(ranges.files_below(uri))
+    except (FileNotFoundError, ValueError, OSError):
+        return False
 
 
 def read_bank(spark: SparkSession, uri: str, kind: str | None = None) -> DataFrame:
-    """A bank by its name: comma-separated members, .album, .parquet (packed or not), FASTA, or anything ``fastx`` can read."""
-    if kind is None:
-        stem = uri.removesuffix(".gz")
-        ends = {".album": "album", ".parquet": "parquet", ".fa": "fasta", ".fasta": "fasta", ".fna": "fasta"}
-        kind = "list" if "," in uri else next((k for e, k in ends.items() if stem.endswith(e)), "fastx")
+    """A bank: comma-separated members, or what ``sniff`` tells from the contents; ``kind`` says it beforehand."""
+    kind = kind or ("list" if "," in uri else sniff(uri))
     if kind in ("list", "album"):
         members = uri.split(",") if kind == "list" else album_members(spark, uri)
         return combine([read_bank(spark, m) for m in members], members)
     if kind == "parquet":
         table = spark.read.parquet(uri)
         return from_packed(table) if "packed" in table.columns else table
+    if kind == "packed":
+        return blocks.read_blocks(spark, uri)
     return read_fasta(spark, uri) if kind == "fasta" else read_fastx(spark, uri)
 
 
+#: Bytes of each file that an estimate reads.
+HEAD = 1 << 20
+
+
+def estimate_files(spark: SparkSession, path: str, head: int = HEAD) -> DataFrame:
+    """n_seqs, bases, longest (of those read) and bytes_read of the FASTA and FASTQ files at ``path``, from the first ``head`` bytes of each.
+
+    What a head holds in whole records is carried on by the bytes that they take to the file's size, compressed or not. A file that is no longer than ``head`` is exact;
+    otherwise the error is that of taking a file's first records for all of them.
+    """
+    files = spark.createDataFrame([x for p in path.split(",") for x in ranges.files_below(p)], "file string, size long")
+    tasks = max(1, min(files.count(), 4 * spark.sparkContext.defaultParallelism))
+
+    def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for uri, size in zip(f["file"], f["size"].tolist(), strict=True):
+                yield pd.DataFrame([_estimate(uri, size, head)], columns=["n_seqs", "bases", "longest", "bytes_read"])
+
+    each = files.repartition(tasks).mapInPandas(look, "n_seqs double, bases double, longest long, bytes_read long")
+    return each.agg(F.round(F.sum("n_seqs")).cast("long").alias("n_seqs"), F.round(F.sum("bases")).cast("long").alias("bases"), F.max("longest").alias("longest"), F.sum("bytes_read").alias("bytes_read"))
+
+
+def _estimate(uri: str, size: int, head: int) -> tuple[float, float, int, int]:
+    with ranges.open_file(uri)[0] as source:
+        raw = source.read(min(size, head))
+    whole, data = len(raw) == size, raw
+    if ranges.is_zipped(raw):
+        data = b"".join(ranges.unzipped(iter([raw])))
+    lines = data.split(b"\n")
+    if not whole and (lines[0][:1] != b">" or lines[-1][:1] in (b"", b">")):
+        lines.pop()  # it may be cut; bases count as far as they go
+    starts = np.concatenate([[0], np.cumsum([len(x) + 1 for x in lines])])
+    seen, lengths, ends = 0, [], []
+
+    def counted() -> Iterator[str]:
+        nonlocal seen
+        for x in lines:
+            seen += 1
+            yield x.rstrip(b"\r").decode("utf-8", "replace")
+
+    try:
+        for _, seq, quality in parse_fastx(counted()):
+            lengths.append(len(seq))
+            ends.append(seen if quality is not None else seen - 1)  # a FASTA record ends where the next header is seen
+    except ValueError:  # a record whose qualities go on behind the head
+        if whole:
+            raise
+    scale = 1.0 if whole else size / len(raw)
+    if not whole and ends and seen < len(lines):
+        scale *= len(data) / starts[ends[-1]]
+    elif not whole and len(lengths) > 1:
+        lengths.pop()  # it may go on behind the head
+        ends.pop()
+        scale *= len(data) / starts[ends[-1]]
+    return len(lengths) * scale, sum(lengths) * scale, max(lengths, default=0), len(raw)
+
+
 def filter_bank(bank: DataFrame, condition) -> DataFrame:
     return bank.where(condition)

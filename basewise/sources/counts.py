@@ -55,6 +55,24 @@ def read_super_kmers(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_partition_info(routed: DataFrame, path: str) -> None:
+    """Lines of what, its key, n_super_kmers and n_kmers with tabs between: one of the total, one for each part and one for each minimizer."""
+    each = [routed.groupBy().agg, routed.groupBy("part").agg, routed.groupBy("minimizer").agg]
+    keys = [F.lit(""), F.col("part").cast("string"), F.col("minimizer")]
+    lines = None
+    for what, agg, key in zip(("total", "part", "minimizer"), each, keys, strict=True):
+        rows = agg(F.count("*").alias("s"), F.coalesce(F.sum("n_kmers"), F.lit(0)).cast("long").alias("k")).select(F.concat_ws("\t", F.lit(what), key, F.col("s").cast("string"), F.col("k").cast("string")).alias("value"))
+        lines = rows if lines is None else lines.unionByName(rows)
+    lines.write.text(path)
+
+
+def read_partition_info(spark: SparkSession, path: str) -> DataFrame:
+    """what, key, n_super_kmers and n_kmers, as ``write_partition_info`` wrote them."""
+    parts = F.split("value", "\t")
+    columns = [parts[0].alias("what"), parts[1].alias("key"), parts[2].cast("long").alias("n_super_kmers"), parts[3].cast("long").alias("n_kmers")]
+    return spark.read.text(path).select(*columns)
+
+
 def write_bloom(table: DataFrame, path: str, bits: int, hashes: int) -> None:
     """A filter's words, which carry its size and its number of hashes."""
     table.withColumn("bits", F.col("bits").alias("bits", metadata={"bits": bits, "hashes": hashes})).write.parquet(path)
