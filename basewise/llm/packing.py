@@ -3,8 +3,7 @@
 Documents become token pieces of at most ``capacity`` ids; a longer document is cut into full pieces
 behind a first, shorter one. Full pieces are sequences of their own. All others are packed best-fit
 decreasing inside hash partitions; nearly full bins are final, underfull bins go on as items of the
-next round, in an eighth of the partitions, until one partition has packed what is left or no bins
-can be joined any more. Only sizes are packed, never token ids.
+next round, in an eighth of the partitions, or as many as ``TASK_ITEMS`` items a task ask for, until one partition has packed what is left or a round joins nothing. Only sizes are packed, never token ids.
 
 Each round is written to the shared folder, so bins keep their numbers whatever executors are lost.
 
@@ -31,8 +30,8 @@ CAPACITY = 1024
 #: Items that one task packs at most, about.
 TASK_ITEMS = 200_000
 FAN_IN = 8
-#: A bin with no more room than this is final.
-SLACK = 8
+#: A bin with no more room than this is final, as is one that not even the smallest item at hand fits into.
+SLACK = 0
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -126,8 +125,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK) -> Dat
             break
         # a bin that not even the smallest one fits into is final
         waiting = under.where(F.col("length") + least <= capacity)
-        n = waiting.count()
-        partitions = min(-(-partitions // FAN_IN), max(1, -(-n // TASK_ITEMS)))
+        before, n, last = n, waiting.count(), partitions
+        partitions = max(-(-partitions // FAN_IN), -(-n // TASK_ITEMS))
+        if left == before and partitions == last:  # nothing could be joined, and no other deal is at hand
+            break
     placed = pieces.select(*spare).join(rounds[0].select("item", "bin", "offset"), "item", "left") if rounds else pieces.select(*spare, F.lit(None).cast("long").alias("bin"), F.lit(0).cast("long").alias("offset"))
     for bins in rounds[1:]:
         moved = bins.select(F.col("item").alias("_from"), F.col("bin").alias("_to"), F.col("offset").alias("_by"))

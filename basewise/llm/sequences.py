@@ -5,7 +5,7 @@ into rows of ``length`` ids. A file is an Arrow IPC file of record batches with
 columns: ``ids`` (uint16 where the vocabulary allows, else uint32), ``mask`` (bool: a token, not
 padding) and ``ends`` (bool: the last id of a document). Nothing is compressed, so a memory map gives
 any row without a copy, by (row div rows per batch, row mod rows per batch). Only a file's last row is padded.
-Beside each file stands an index file with doc_id and n_tokens of its documents. A task rolls its files by their number of ids.
+Beside each file stands an index file with doc_id and n_tokens of its documents. A task rolls its files by their number of ids and of documents.
 
 Files are written by tasks under names of their own attempt; a file counts only if the manifest,
 committed by Spark's writer, names it. A retried or speculative task so leaves unnamed files at worst.
@@ -32,8 +32,8 @@ from .encoding import encoded, vocabulary_path
 LENGTH = 2048
 #: Rows of a record batch.
 ROWS = 128
-#: Ids after which a file ends, at the end of a document.
-FILE_TOKENS = 1 << 27
+#: Ids, and documents, after which a file ends, at the end of a document.
+FILE_TOKENS, FILE_DOCS = 1 << 27, 1 << 20
 
 
 def _schema(length: int, wide: bool) -> pa.Schema:
@@ -87,10 +87,10 @@ class _Writer:
         self.out.close()
 
 
-def write_sequences(docs: DataFrame, folder: str, length: int = LENGTH, vocabulary: str | None = None, file_tokens: int = FILE_TOKENS) -> DataFrame:
+def write_sequences(docs: DataFrame, folder: str, length: int = LENGTH, vocabulary: str | None = None, file_tokens: int = FILE_TOKENS, file_docs: int = FILE_DOCS) -> DataFrame:
     """Write the files and return their manifest: path, part, number, n_rows, n_docs, n_tokens (one row per file).
 
-    A task begins another file once one has ``file_tokens`` ids; the order of the files is that of (part, number).
+    A task begins another file once one has ``file_tokens`` ids or ``file_docs`` documents; the order of the files is that of (part, number).
     """
     vocabulary = vocabulary or vocabulary_path()
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
@@ -110,7 +110,7 @@ def write_sequences(docs: DataFrame, folder: str, length: int = LENGTH, vocabula
                 held += len(ids)
                 ids[-1] |= 1 << 31
                 current.out.add(ids)
-                if held >= file_tokens:
+                if held >= file_tokens or current.n_docs + len(counts) >= file_docs:
                     current.index(b.column("doc_id").slice(first, len(counts)), counts)
                     yield current.close(part, number)
                     current, number, first, counts, held = None, number + 1, k + 1, [], 0

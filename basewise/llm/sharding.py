@@ -126,13 +126,13 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     cuts = F.array(*[F.lit(e).cast("long") for e in ends])
     shard_of = totals.select(F.col("grp").alias("_grp"), F.size(F.filter(cuts, lambda e: F.col("upto") > e)).alias("shard"))
     # a hot text is one large key on the left of this join; adaptive execution splits it
-    placed = staged(rows.join(shard_of, F.col("grp") == F.col("_grp")).select("doc_id", "size", "text_crc32", "shard"), "placed")
+    placed = staged(rows.join(shard_of, F.col("grp") == F.col("_grp")).select("doc_id", "size", "text_crc32", "shard").withColumn("row", F.monotonically_increasing_id()), "placed")
     n = placed.count()
     blocks = max(1, min(MAX_BLOCKS, n // (BLOCK_ROWS * shards) + 1))
-    blocked = placed.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    blocked = placed.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
     sizes = blocked.groupBy("shard", "block").agg(F.count("*").alias("n"))
     starts = sizes.select("shard", "block", (F.sum("n").over(Window.partitionBy("shard").orderBy("block")) - F.col("n")).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "size", "text_crc32")) - 1
+    inside = F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "size", "text_crc32", "row")) - 1
     # at most shards * MAX_BLOCKS rows are broadcast
     return (
         blocked.withColumn("inside", inside)

@@ -3,8 +3,9 @@
 A document's fingerprint has, for each of 64 bits, the majority over the XXH64 values of its 3-word
 shingles. Distinct fingerprints are the leaves of a binary trie. Pairs of trie nodes are walked down
 together from (root, root), adding up the bits in which their prefixes differ; a pair goes as soon as
-more than ``max_bits`` differ. The upper levels are walked as DataFrames of node pairs, until a
-pair's two nodes hold no more leaves than a task takes at once; from there on a task walks the two
+more than ``max_bits`` differ. Of two halves of the bits one holds at most half of the differing ones, so two tries are walked, the second over fingerprints
+whose halves are exchanged, and in the upper half of each a pair goes as soon as more than ``max_bits`` // 2 differ: at depth d a node is in d + 1 pairs instead of some d**3 / 6.
+The upper levels are walked as DataFrames of node pairs, until a pair's two nodes hold no more leaves than a task takes at once; from there on a task walks the two
 subtries as intervals of sorted arrays. A task returns a spanning forest of the links it
 finds, so a dense cluster gives no more rows than it has members, and components lose no link.
 
@@ -21,13 +22,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import all_columns, free, named, released, staged
 from .components import connected_components
 
-BITS = 64
+BITS, HALF = 64, 32
 MAX_BITS = 3
 SHINGLE = 3
 SEED = 42
@@ -77,6 +78,16 @@ def _split(sorted_fps: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) ->
     return np.clip(np.searchsorted(sorted_fps, edge), lo, hi)
 
 
+def budget(depth: int, max_bits: int) -> int:
+    """How many of the first ``depth`` bits may differ: half of all that may, in the upper half."""
+    return max_bits // 2 if depth <= HALF else max_bits
+
+
+def _exchanged(fp: str) -> Column:
+    """A fingerprint with its halves exchanged."""
+    return F.shiftleft(fp, HALF).bitwiseOR(F.shiftrightunsigned(fp, HALF))
+
+
 class _Forest:
     """A spanning forest of the links offered so far."""
 
@@ -106,7 +117,7 @@ class _Forest:
 
 
 def trie_links(left: np.ndarray, right: np.ndarray | None, depth: int, differing: int, max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
-    """Links between two sorted uint64 arrays (right None: within left) whose prefixes of ``depth`` bits differ in ``differing``.
+    """Links between two sorted uint64 arrays (right None: within left) whose prefixes of ``depth`` bits differ in ``differing``, as far as the upper halves are within their budget.
 
     The links are positions, those of the right array behind the left's, and form a spanning forest.
     """
@@ -131,11 +142,12 @@ def trie_links(left: np.ndarray, right: np.ndarray | None, depth: int, differing
         if not len(alo):
             continue
         am, bm = _split(left, alo, ahi, bit), _split(right, blo, bhi, bit)
+        limit = budget(BITS - bit, max_bits)
         same = own & (alo == blo) & (ahi == bhi)
         children = [(alo, am, blo, bm, diff, None), (am, ahi, bm, bhi, diff, None), (alo, am, bm, bhi, diff + 1, None), (am, ahi, blo, bm, diff + 1, ~same)]
         kept = [[], [], [], [], []]
         for *parts, allowed in children:
-            ok = (parts[0] < parts[1]) & (parts[2] < parts[3]) & (parts[4] <= max_bits)
+            ok = (parts[0] < parts[1]) & (parts[2] < parts[3]) & (parts[4] <= limit)
             ok = ok if allowed is None else ok & allowed
             for to, x in zip(kept, parts, strict=True):
                 to.append(x[ok])
@@ -176,6 +188,13 @@ def _children(pairs: DataFrame, nodes: DataFrame, step: int, max_bits: int) -> D
 
 def linked_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS, leaves: int = LEAVES) -> DataFrame:
     """(a, b): a spanning set of the links between distinct fingerprints (column fp) at most ``max_bits`` apart."""
+    straight = _walk_trie(fps, max_bits, leaves)
+    turned = _walk_trie(fps.select(_exchanged("fp").alias("fp")), max_bits, leaves)
+    return straight.unionByName(turned.select(_exchanged("a").alias("a"), _exchanged("b").alias("b")))
+
+
+def _walk_trie(fps: DataFrame, max_bits: int, leaves: int) -> DataFrame:
+    """Links of fingerprints whose upper halves differ in no more than half of ``max_bits``."""
     spark = fps.sparkSession
     n = fps.count()
     schema = "a long, b long, differing int, na long, nb long"
@@ -187,10 +206,11 @@ def linked_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS, leaves: int =
         most = pairs.agg(F.max(F.greatest("na", "nb"))).first()[0]
         if not most:
             break
-        step = min(6, BITS - 1 - depth, max(1, (-(-most // leaves) - 1).bit_length()))
+        # a step stays in one half, whose budget holds for it
+        step = min(6, (HALF if depth < HALF else BITS - 1) - depth, max(1, (-(-most // leaves) - 1).bit_length()))
         depth += step
         nodes = fps.groupBy(_prefix(depth).alias("node")).agg(F.count("*").alias("n"))
-        pairs = staged(_children(pairs, nodes, step, max_bits), "node-pairs")
+        pairs = staged(_children(pairs, nodes, step, budget(depth, max_bits)), "node-pairs")
     links = found[0]
     for more in found[1:]:
         links = links.unionByName(more)
@@ -212,14 +232,15 @@ def _walk(fps: DataFrame, pairs: DataFrame, depth: int, max_bits: int) -> DataFr
         for batch in batches:
             for k in range(batch.num_rows):
                 a, b, differing = (batch.column(c)[k].as_py() for c in ("a", "b", "differing"))
-                left, right = (np.sort(batch.column(c)[k].values.to_numpy().view(np.uint64)) for c in ("left", "right"))
+                left = np.sort(batch.column("left")[k].values.to_numpy().view(np.uint64))
+                right = np.sort(batch.column("right")[k].values.to_numpy().view(np.uint64)) if a != b else left
                 links = np.array(trie_links(left, None if a == b else right, depth, differing, max_bits), np.int64).reshape(-1, 2)
                 if len(links):
                     every = (left if a == b else np.concatenate([left, right])).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(every[links[:, 0]]), pa.array(every[links[:, 1]])], ["a", "b"])
 
     # few, heavy rows: dealt out one by one rather than by the hash of a node
-    return both.select("a", "b", "differing", "left", "right").repartition(F.xxhash64("a", "b")).mapInArrow(released(walk), "a long, b long")
+    return both.select("a", "b", "differing", "left", F.when(F.col("a") != F.col("b"), F.col("right")).alias("right")).repartition(F.xxhash64("a", "b")).mapInArrow(released(walk), "a long, b long")
 
 
 def _named(rows: DataFrame, max_bits: int) -> DataFrame:

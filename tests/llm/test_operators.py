@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -203,6 +204,20 @@ def test_trie_join_finds_all_links(spark, leaves):
     assert root == want
 
 
+def test_a_node_is_in_few_pairs(spark):
+    """At depth d a full trie has d + 1 pairs to a node, itself included."""
+    fps = spark.range(1 << 8).select(F.shiftleft("id", 56).alias("fp"))
+    nodes = fps.groupBy(simhash._prefix(8).alias("node")).agg(F.count("*").alias("n"))
+    start = spark.createDataFrame([(0, 0, 0, 256, 256)], "a long, b long, differing int, na long, nb long")
+    pairs = simhash._children(simhash._children(start, fps.groupBy(simhash._prefix(4).alias("node")).agg(F.count("*").alias("n")), 4, simhash.budget(4, 3)), nodes, 4, simhash.budget(8, 3))
+    assert pairs.count() == 256 + 256 * 8 // 2 and simhash.budget(32, 3) == 1 and simhash.budget(33, 3) == 3
+    # three differing bits in either half, or one in one and two in the other
+    spread = [(1 << 40) | (1 << 50) | (1 << 60), 7, (1 << 40) | 3, (1 << 40) | (1 << 63) | 1]
+    for bits in spread:
+        both = spark.createDataFrame([(5,), (5 ^ (bits - (1 << 64) if bits >> 63 else bits),)], "fp long")
+        assert simhash.linked_fingerprints(both, leaves=1).distinct().count() >= 1
+
+
 def test_fingerprints_and_components(spark, odd):
     def fp(text):
         import xxhash
@@ -525,6 +540,79 @@ def test_sites_shrink_to_what_is_above(spark):
     assert tuple(spark.range(1).select(h, p).first()) == ("ab.example", "x")
 
 
+def by_hand(rows):
+    """host_mean, path_mean and log-odds of each (host, path, evidence), with shrinkage computed from the definitions."""
+    odds = lambda p: math.log(min(max(p, 1e-4), 1 - 1e-4) / (1 - min(max(p, 1e-4), 1 - 1e-4)))
+    p = [1 / (1 + math.exp(-e)) for _, _, e in rows]
+    n, mean = len(rows), sum(p) / len(p)
+    groups = lambda key: [[q for q, r in zip(p, rows) if key(r) == g] for g in {key(r) for r in rows}]
+    sq = lambda gs: sum(sum(g) ** 2 / len(g) for g in gs)
+    paths, hosts = groups(lambda r: r[:2]), groups(lambda r: r[0])
+    per_host = [groups_of for groups_of in ([[q for q, r in zip(p, rows) if r[0] == h and r[1] == path] for path in {r[1] for r in rows if r[0] == h}] for h in {r[0] for r in rows})]
+
+    def k(groups_here, above_sq, n_above, n_sq):
+        inside = max(0.0, sum(q * q for q in p) - sq(groups_here)) / max(1, n - len(groups_here))
+        between = (max(0.0, sq(groups_here) - above_sq) - (len(groups_here) - n_above) * inside) / (n - n_sq) if n > n_sq else 0.0
+        return min(1e9, inside / between) if between > 0 and inside > 0 else (1e9 if between <= 0 else 0.0)
+
+    k_path = k(paths, sq(hosts), len(hosts), sum(sum(len(x) ** 2 for x in h) / sum(map(len, h)) for h in per_host))
+    k_host = k(hosts, sum(p) ** 2 / n, 1, sum(len(h) ** 2 for h in hosts) / n)
+    out = []
+    for q, (host, path, e) in zip(p, rows):
+        of_host, of_path = [x for x, r in zip(p, rows) if r[0] == host], [x for x, r in zip(p, rows) if r[:2] == (host, path)]
+        host_mean = (sum(of_host) - q + k_host * mean) / (len(of_host) - 1 + k_host) if len(of_host) - 1 + k_host > 0 else mean
+        path_mean = (sum(of_path) - q + k_path * host_mean) / (len(of_path) - 1 + k_path) if len(of_path) - 1 + k_path > 0 else mean
+        out.append((host_mean, path_mean, e + odds(path_mean) - odds(mean)))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_posteriors_by_hand(spark, seed):
+    r = random.Random(seed)
+    kinds = [lambda: prose(60), lambda: "JUNK!! %%% " * 20, lambda: prose(20) + " JUNK!! %%% " * r.randint(1, 5)]
+    texts = [r.choice(kinds)() for _ in range(20)] + [kinds[i % 2]() for i in range(40)]
+    docs = spark.createDataFrame([(i, t, None if i % 11 == 0 else f"h{i % 4}", f"p{i % 7}") for i, t in enumerate(texts)], "doc_id long, text string, host string, path string")
+    labels = spark.createDataFrame([(20 + i, 1 - i % 2) for i in range(40)], "doc_id long, quality int")
+    got = site_quality.score_sites(docs, labels, F.col("host"), F.col("path")).orderBy("doc_id").collect()
+    want = by_hand([(g.host, g.path, g.evidence) for g in got])
+    for g, (host_mean, path_mean, final) in zip(got, want):
+        assert g.host_mean == pytest.approx(host_mean, abs=1e-4) and g.path_mean == pytest.approx(path_mean, abs=1e-4)
+        assert g.probability == pytest.approx(1 / (1 + math.exp(-final)), abs=1e-3)
+
+
+def test_sparse_sites_are_decided_by_their_host(spark):
+    """A doubtful text on a path with no other document is kept on a host of good ones and rejected on a host of bad ones; alone on its host, its own evidence decides."""
+    mixed = lambda: prose(rnd.randint(15, 25)) + " JUNK!! %%%" * rnd.randint(2, 4)
+    good = [mixed() if i % 4 == 0 else prose(80) for i in range(300)]
+    bad = [mixed() if i % 4 == 0 else "JUNK!! %%% " * 30 + f"w{i}" for i in range(300)]
+    rows = [(i, t, "good.example", f"p{i % 30}") for i, t in enumerate(good)] + [(1000 + i, t, "bad.example", f"p{i % 30}") for i, t in enumerate(bad)]
+    doubtful = [mixed() for _ in range(6)]
+    for j, t in enumerate(doubtful):
+        rows += [(5000 + 3 * j + i, t, h, f"only{j}") for i, h in enumerate(("good.example", "bad.example", f"lone{j}.example"))]
+    labels = spark.createDataFrame([(i, int(i < 1000)) for i, *_ in rows if i < 5000], "doc_id long, quality int")
+    got = {r.doc_id: r for r in site_quality.score_sites(spark.createDataFrame(rows, "doc_id long, text string, host string, path string"), labels, F.col("host"), F.col("path")).collect()}
+    turned = 0
+    for j in range(len(doubtful)):
+        on_good, on_bad, alone = (got[5000 + 3 * j + i] for i in range(3))
+        assert on_good.evidence == pytest.approx(on_bad.evidence) and on_bad.probability < alone.probability < on_good.probability
+        turned += on_good.kept and not on_bad.kept
+    assert turned >= 4
+    right = [got[i].kept == (i < 1000) for i in got if i < 5000]
+    alone = [(got[i].evidence >= 0) == (i < 1000) for i in got if i < 5000]
+    assert sum(right) > sum(alone) + 30 and sum(right) > 0.97 * len(right)
+
+
+def test_sites_odd_rows(spark, odd):
+    labels = spark.createDataFrame([(6, 1, 0), (7, 1, None), (8, 0, 0), (9, 0, 1), (2, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    clash = odd.withColumns({c: F.lit(None).cast("string") for c in ("host", "path", "_h", "evidence", "weights", "p", "s", "hn", "label", "_id", "half")})
+    got = site_quality.score_sites(clash, labels, F.col("source"), F.col("lang"))
+    assert got.columns == ["doc_id", "host", "path", "evidence", "host_mean", "path_mean", "probability", "kept"]
+    rows = got.collect()
+    assert len(rows) == 13 and all(0 <= r.probability <= 1 for r in rows) and len({r.probability for r in rows if r.doc_id == 8}) == 1
+    none = site_quality.score_sites(clash, labels.limit(0), F.col("source"), F.col("lang")).collect()
+    assert len(none) == 13 and all(r.kept and r.probability == pytest.approx(0.5) for r in none)
+
+
 # --- 7, 8, 10: tokens --------------------------------------------------------------------------------
 
 TRICKY = ["", " ", "a", "x\n\u00a0\u00a0y", "x\r\n\u3000y\r\u00a0", "a  b", " a\n b", "a\n\nb", "x\n", "\nx", "tab\tand nbsp 　 end ", "it's don't 3.14 km", "日本語 ☃☃ 🤗x", "<|endoftext|>", "a <|endoftext|> b", "x" * 300, "WORD!! %%% a|b", "é" * 50, "foo,bar. Baz;\nQux?"]
@@ -567,6 +655,8 @@ def test_sequences(spark, odd):
     rolled = sequences.write_sequences(docs, sequences.scratch(spark, "t"), length=64, file_tokens=500)
     assert rolled.count() > manifest.count() and rolled.agg(F.max("n_tokens")).first()[0] < 30_000
     assert sorted(sequences.read_documents(rolled).collect()) == sorted(got.values())
+    rolled = sequences.write_sequences(docs, sequences.scratch(spark, "t"), length=64, file_docs=7)
+    assert rolled.agg(F.max("n_docs")).first()[0] == 7 and sorted(sequences.read_documents(rolled).collect()) == sorted(got.values())
     for kind in ("int", "string"):
         named = sequences.arrow_sequences(table(spark, texts[:9]).withColumn("doc_id", F.col("doc_id").cast(kind)))
         assert named.schema["doc_id"].dataType.simpleString() == kind and named.count() == 9
