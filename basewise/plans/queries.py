@@ -16,6 +16,7 @@ from ..functions import alphabet as A
 from ..functions import hashing as H
 from ..operators import compare, counting, histogram, kmers, minimizers, ranks, sketches, solidity, stats
 from ..sources import banks, blocks, counts, ranges
+from ..sources.spread import spread
 from ..streaming import counts as streaming
 from . import processors
 from . import run as runs
@@ -42,13 +43,17 @@ def query(sql: str | None = None):
     return add
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
+
+
 def stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _documents(spark, sf_dir)
     return docs.select("doc_id", F.col("lang").alias("bank"), F.regexp_replace(F.translate("text", "acgt", "ACGT"), "[^ACGT]", "").alias("seq"))
 
 
 def mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _documents(spark, sf_dir)
     low = F.translate("text", LETTERS.upper(), LETTERS)
     return docs.select("doc_id", F.col("lang").alias("bank"), F.translate(F.regexp_replace(low, "[^a-z]", "#"), LETTERS, BASES).alias("seq"))
 
