@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.spread import spread
 from . import decontamination, divergence, embeddings, fill_in_middle, packing, passages, quality_rules, sequences, sharding, simhash, site_quality, viterbi, warc
 
 
@@ -42,7 +43,7 @@ def op5_passage_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    found = simhash.near_duplicates(spread(_table(spark, sf_dir, "documents").select("doc_id", "text")))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -51,12 +52,12 @@ def op7_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+    return packing.pack_documents(spread(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op9_llr_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = _table(spark, sf_dir, "labels").where("quality = 1")
-    scored = quality_rules.score_quality(_table(spark, sf_dir, "documents"), trusted)
+    scored = quality_rules.score_quality(spread(_table(spark, sf_dir, "documents").select("doc_id", "text")), trusted)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_grams", "llr")
     return scored.select("doc_id", *(f"quality.{c}" for c in names))
 
