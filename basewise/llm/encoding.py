@@ -18,8 +18,8 @@ import numpy as np
 
 from .common import kept
 
-#: Bytes that a worker's memo may hold, about, before it is emptied; longer pieces than LONGEST are not kept at all.
-MEMO_BYTES = 100_000_000
+#: Bytes that a worker's memo may hold, about; longer pieces than LONGEST are not kept at all.
+MEMO_BYTES = 200_000_000
 LONGEST = 64
 #: What an entry takes besides its characters and ids.
 ENTRY = 180
@@ -29,6 +29,8 @@ BESIDE_NEWLINE = re.compile(r"\n(?:\s|(?<=\s\n))")
 MARKS = ".,;:!?%$#&*|()-"
 #: How byte-level vocabularies spell the bytes that are no printable Latin-1 characters.
 BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
+#: How so many ids become bytes.
+PACKERS = [struct.Struct(f"<{n}I").pack for n in range(40)]
 #: Appended to each document.
 END_ID = 2
 
@@ -47,7 +49,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         #: Strings that are ids of their own wherever they stand.
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Pieces in use, and those of before: of two generations, the older goes when the younger is full.
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
         self.tails: dict[str, bytes] = {}
         self.newline = struct.pack("<I", self.tokenizer.token_to_id("Ċ"))
@@ -66,37 +70,47 @@ class Encoder:
 
     def learn(self, pieces: set[str]) -> dict[str, bytes]:
         """The ids of " " + piece (of pieces that begin with a newline: their own ids), by piece; those of short pieces are kept."""
-        memo = self.memo
-        if self.held > MEMO_BYTES:
-            memo.clear()
-            self.held = 0
+        if self.held > MEMO_BYTES // 2:
+            self.older, self.memo, self.held = self.memo, {}, 0
+        memo, older = self.memo, self.older
         fresh = pieces.difference(memo)
-        tokenize, pack, odd, found = self.tokenizer.model.tokenize, struct.pack, [], {}
-        words: dict[str, bytes] = {}
+        tokenize, odd, found = self.tokenizer.model.tokenize, [], {}
+
+        def letters(word: str, space: bool) -> bytes:
+            spelt = word if word.isascii() else word.encode().decode("latin-1").translate(BYTES)
+            own = [t.id for t in tokenize("Ġ" + spelt if space else spelt)]
+            return PACKERS[len(own)](*own) if len(own) < len(PACKERS) else np.array(own, "<u4").tobytes()
+
         for p in fresh:
+            if (ids := older.get(p)) is not None:
+                found[p] = ids
+                continue
+            if p.isalpha():  # letters are one pre-token, with the space before them
+                if p not in found:
+                    found[p] = letters(p, True)
+                continue
             head = p[:1] == "\n"
             core = p[1:] if head else p
             word = core.rstrip(MARKS)
             if not word.isalpha():
                 odd.append(p)
                 continue
-            # letters are one pre-token, with the space before them, and the marks behind are another
+            # the marks behind are another pre-token
             cut = len(core) - len(word)
             base = p[:-cut] if cut else p
-            ids = memo.get(base) or words.get(base)
+            ids = memo.get(base) or found.get(base) or older.get(base)
             if ids is None:
-                spelt = word if word.isascii() else word.encode().decode("latin-1").translate(BYTES)
-                own = [t.id for t in tokenize(spelt if head else "Ġ" + spelt)]
-                ids = pack(f"<{len(own)}I", *own)
-                ids = words[base] = self.newline + ids if head else ids
-            found[p] = ids + self.tail(core[-cut:]) if cut else ids
+                ids = found[base] = self.newline + letters(word, False) if head else letters(word, True)
+            if cut:
+                found[p] = ids + self.tail(core[-cut:])
         own = [p[1:] if p[:1] == "\n" else " " + p for p in odd]
         for p, ids in zip(odd, self.whole(own), strict=True):
             found[p] = self.newline + ids if p[:1] == "\n" else ids
-        for p, ids in (words | found).items():
-            if len(p) <= LONGEST:
-                memo[p] = ids
-                self.held += len(p) + len(ids) + ENTRY
+        memo.update(found)
+        self.held += sum(map(len, found)) + sum(map(len, found.values())) + ENTRY * len(found)
+        for p in [p for p in found if len(p) > LONGEST]:
+            del memo[p]
+            self.held -= len(p) + len(found[p]) + ENTRY
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
