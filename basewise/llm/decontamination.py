@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,8 +58,9 @@ PLAIN, IS_NUMBER, MAYBE_UNIT, CAPITAL = range(4)
 
 def _word(raw: bytes) -> tuple[int, int, bool, str]:
     """Kind, hash of the lower-case form, whether a sentence ends here, and the bare word."""
-    import xxhash
-
+    if raw.isalpha() and raw.islower():  # ASCII letters, the most frequent case
+        text = raw.decode()
+        return MAYBE_UNIT if text in UNITS else PLAIN, xxhash.xxh64_intdigest(raw), False, text
     text = raw.decode("utf-8", "replace")
     bare = text.strip(OUTER)
     low = bare.lower()
@@ -80,15 +82,13 @@ Template = tuple[np.ndarray, dict[int, str]]
 
 def templates(text: str | None) -> tuple[np.ndarray, Template, Template]:
     """The plain words' hashes, the template in which words that begin a sentence are no names, and that in which they are."""
-    import xxhash
-
     if not _FIXED:
         _FIXED.update({x: xxhash.xxh64_intdigest(x) for x in (NUM, UNIT, NAME)})
     hashes, changed, names, begins, number = [], {}, {}, True, False
     memo = kept("templates")
     of = memo.get
-    for raw in (text or "").encode().replace(b"\n", b" \x00 ").split():
-        w = of(raw)
+    words = (text or "").encode().replace(b"\n", b" \x00 ").split()
+    for raw, w in zip(words, map(of, words)):  # looked up one by one, so what is learned on the way is known
         if w is None:
             w = _word(raw)
             if len(raw) <= LONGEST:
