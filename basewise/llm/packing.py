@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import released, staged
 from .encoding import encoded, vocabulary_path
 
 CAPACITY = 1024
@@ -60,7 +60,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | No
             yield pa.RecordBatch.from_arrays(arrays, ["item", "doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text").mapInArrow(cut, f"item long, doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
+    out = docs.select("doc_id", "text").mapInArrow(released(cut), f"item long, doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
     return out if with_ids else out.drop("ids")
 
 
