@@ -6,6 +6,7 @@ letter as a base and leaves everything else invalid. A document's language is it
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import pandas as pd
@@ -848,15 +849,19 @@ def bloom_groups(spark, sf_dir):
     return both.agg(n(held).alias("n_pairs"), n(right).alias("n_found"), (n(wrong) * 50 <= possible).alias("few_false"))
 
 
-@query(_c(7) + " SELECT count(*) AS n_kmers, 0 AS n_under FROM c")
+@query(_c(7) + " SELECT count(*) AS n_kmers, 0 AS n_under, true AS few_over FROM c")
 def cms_estimate(spark, sf_dir):
-    """No estimate is below the count."""
+    """No estimate is below the count, and at most one in ten is above it by more than e / width of all occurrences (by the theory, one in twenty)."""
     seqs = stripped(spark, sf_dir)
     every = kmers.valid_kmers(seqs.select("seq"), 7)
     table = sketches.count_min_table(every, "kmer", 3, 1 << 14)
     guess = sketches.count_min_estimate(every, "kmer", table, 3, 1 << 14)
     both = counting.count_kmers(seqs, 7).join(guess, "kmer")
-    return both.agg(F.count("*").alias("n_kmers"), F.count(F.when(F.col("estimate") < F.col("n"), 1)).cast("int").alias("n_under"))
+    every = both.agg(F.sum("n").alias("every"))  # one row
+    both = both.join(F.broadcast(every))
+    n = lambda c: F.count(F.when(c, 1))
+    far = (F.col("estimate") - F.col("n")) * (1 << 14) > F.col("every") * math.e
+    return both.agg(F.count("*").alias("n_kmers"), n(F.col("estimate") < F.col("n")).cast("int").alias("n_under"), (n(far) * 10 <= F.count("*")).alias("few_over"))
 
 
 _BITS = 1 << 12
