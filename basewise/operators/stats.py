@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import clean
@@ -29,9 +29,9 @@ def estimate(seqs: DataFrame, share: float = 1.0, seed: int = 0) -> DataFrame:
     return some.agg(up(F.count("*")).alias("n_seqs"), up(F.sum(F.length("seq").cast("long"))).alias("bases"), F.max(F.length("seq").cast("long")).alias("longest"))
 
 
-def table_stats(counts: DataFrame, parts: int) -> DataFrame:
-    """How evenly k-mers fall into parts by a hash: parts, items, biggest, smallest and mean."""
-    each = counts.groupBy(F.pmod(F.xxhash64("kmer"), F.lit(parts)).alias("part")).agg(F.count("*").alias("n"))
+def table_stats(counts: DataFrame, parts: int, key: Column | None = None) -> DataFrame:
+    """How evenly k-mers fall into parts by a hash (``key``, or one of Spark's own): parts in use, items, biggest, smallest and mean."""
+    each = counts.groupBy(F.pmod(F.xxhash64("kmer") if key is None else key, F.lit(parts)).alias("part")).agg(F.count("*").alias("n"))
     return each.agg(F.count("*").alias("parts"), F.sum("n").alias("items"), F.max("n").alias("biggest"), F.min("n").alias("smallest"), F.floor(F.avg("n")).cast("long").alias("mean"))
 
 
@@ -44,3 +44,20 @@ def run_summary(supers: DataFrame, k: int) -> DataFrame:
 
 def approximate_distinct(kmers: DataFrame, error: float = 0.02) -> DataFrame:
     return kmers.agg(F.approx_count_distinct("kmer", error).alias("n_distinct"))
+
+
+def distinct_from_share(seqs: DataFrame, k: int, key: str, share: float, bits: int, policy: str = "skip", order: str = "ACGT") -> DataFrame:
+    """n_distinct, seen_distinct and seen_kmers: an upper estimate of the distinct k-mers, to size filters and tables by, from a share of the sequences.
+
+    The sample is a share of the values of ``key`` by hash. Its distinct k-mers are counted by a bit map of ``bits`` places, and carried on in proportion to the bases; as a k-mer may
+    occur in what was not read, too, the estimate is above the truth, by 1 / share at most. accurate says whether the bit map was large enough.
+    """
+    from . import packed
+    from .sketches import linear_count
+
+    drawn = F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(share * (1 << 20))
+    size = seqs.agg(F.sum(F.length("seq").cast("long")).alias("all_bases"), F.sum(F.when(drawn, F.length("seq")).otherwise(0).cast("long")).alias("seen_bases"))
+    codes = packed.code_counts(seqs.where(drawn).select("seq"), packed.check_k(k), policy, order).groupBy("code").agg(F.sum("n").alias("n"))
+    seen = linear_count(codes, F.pmod(F.xxhash64("code"), F.lit(bits)), bits).select(F.col("n_distinct").alias("seen_distinct"), "accurate")
+    up = F.ceil(F.col("seen_distinct") * (F.col("all_bases") / F.greatest("seen_bases", F.lit(1))))
+    return seen.join(size).join(codes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("seen_kmers"))).select(up.cast("long").alias("n_distinct"), "seen_distinct", "seen_kmers", "accurate")  # one row each

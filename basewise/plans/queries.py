@@ -799,6 +799,23 @@ def table_slots(spark, sf_dir):
     return held.select(H.table64_column(A.encode("kmer")).bitwiseAND(F.lit(63)).alias("slot")).groupBy("slot").agg(F.count("*").alias("n_kmers"))
 
 
+@query(
+    _c(9) + f", e AS (SELECT CAST({_CODE9} AS BIGINT) AS code FROM c)" + _TABLE_SQL + ", p AS (SELECT x % 64 AS slot, count(*) AS n FROM t7 GROUP BY 1) "
+    "SELECT count(*) AS parts, CAST(sum(n) AS BIGINT) AS items, max(n) AS biggest, min(n) AS smallest, CAST(floor(avg(n)) AS BIGINT) AS mean FROM p"
+)
+def table_evenness(spark, sf_dir):
+    return stats.table_stats(counting.count_kmers(stripped(spark, sf_dir), 9), 64, H.table64_column(A.encode("kmer")))
+
+
+@query(_c(9) + " SELECT count(*) AS n_kmers, true AS at_least, true AS at_most, true AS accurate FROM c")
+def distinct_from_share(spark, sf_dir):
+    """The distinct k-mers by a quarter of the sequences: no tenth less than there are, and no more than four times as many and a tenth."""
+    seqs = stripped(spark, sf_dir)
+    guess = stats.distinct_from_share(seqs, 9, "doc_id", 0.25, 1 << 20)
+    both = counting.count_kmers(seqs, 9).agg(F.count("*").alias("n_kmers")).join(guess)  # one row each
+    return both.select("n_kmers", (F.col("n_distinct") >= 0.9 * F.col("n_kmers")).alias("at_least"), (F.col("n_distinct") <= 4.4 * F.col("n_kmers")).alias("at_most"), "accurate")
+
+
 # --- sketches -------------------------------------------------------------------------------------
 
 

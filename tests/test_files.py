@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from basewise.__main__ import main
 from basewise.functions import hashing as H
-from basewise.operators import counting, histogram, ranks
+from basewise.operators import counting, histogram, ranks, stats
 from basewise.plans import processors
 from basewise.sources import banks, blocks, counts
 
@@ -99,6 +99,16 @@ def test_processors_equal_the_built_in_steps(spark):
     assert none[0].first()[0] == 0 and none[1].count() == 0
 
 
+def test_distinct_from_share(spark):
+    seqs = spark.createDataFrame([(i, bases(200)) for i in range(400)], "id long, seq string")
+    exact = counting.count_kmers(seqs, 6).count()
+    whole = stats.distinct_from_share(seqs, 6, "id", 1.0, 1 << 16).first()
+    assert abs(whole.n_distinct - exact) < 0.05 * exact and whole.seen_kmers == 400 * 195 and whole.accurate
+    part = stats.distinct_from_share(seqs, 6, "id", 0.25, 1 << 16).first()
+    assert exact * 0.9 <= part.n_distinct <= exact * 4.4 and part.seen_kmers < 0.4 * 400 * 195
+    assert not stats.distinct_from_share(seqs, 6, "id", 1.0, 64).first().accurate
+
+
 def test_seeded_hashes():
     mask = (1 << 64) - 1
 
