@@ -53,7 +53,8 @@ NUM, UNIT, NAME = "\x01num", "\x01unit", "\x01name"
 #: A mark for line ends, where sentences end.
 LINE = b"\x00"
 
-PLAIN, IS_NUMBER, MAYBE_UNIT, CAPITAL = range(4)
+#: Marks alone and line ends are no words; a sentence may begin behind them.
+PLAIN, IS_NUMBER, MAYBE_UNIT, CAPITAL, NO_WORD = range(5)
 
 
 def _word(raw: bytes) -> tuple[int, int, bool, str]:
@@ -65,13 +66,15 @@ def _word(raw: bytes) -> tuple[int, int, bool, str]:
     bare = text.strip(OUTER)
     low = bare.lower()
     kind = PLAIN
-    if NUMBER.match(bare):
+    if not bare or raw == LINE:
+        kind = NO_WORD
+    elif NUMBER.match(bare):
         kind = IS_NUMBER
     elif low in UNITS:
         kind = MAYBE_UNIT
     elif bare[:1].isupper() and bare[1:].islower():
         kind = CAPITAL
-    return kind, xxhash.xxh64_intdigest(low), text.rstrip("\"')]»")[-1:] in ".!?:…", bare
+    return kind, xxhash.xxh64_intdigest(low), text.rstrip("\"')]»")[-1:] in ".!?:…" or raw == LINE, bare
 
 
 _FIXED: dict[str, int] = {}
@@ -86,7 +89,7 @@ def templates(text: str | None) -> tuple[np.ndarray, Template, Template]:
         _FIXED.update({x: xxhash.xxh64_intdigest(x) for x in (NUM, UNIT, NAME)})
     hashes, changed, names, begins, number = [], {}, {}, True, False
     memo = kept("templates")
-    of = memo.get
+    of, append = memo.get, hashes.append
     words = (text or "").encode().replace(b"\n", b" \x00 ").split()
     for raw, w in zip(words, map(of, words)):  # looked up one by one, so what is learned on the way is known
         if w is None:
@@ -96,18 +99,20 @@ def templates(text: str | None) -> tuple[np.ndarray, Template, Template]:
                     memo.clear()
                 memo[raw] = w
         kind, h, stops, bare = w
-        if not bare or raw == LINE:
-            begins = begins or stops or raw == LINE
-            continue
         if kind:
+            if kind == NO_WORD:
+                begins = begins or stops
+                continue
             if kind == IS_NUMBER:
                 changed[len(hashes)] = NUM, bare
             elif kind == MAYBE_UNIT and number:
                 changed[len(hashes)] = UNIT, bare.lower()
             elif kind == CAPITAL:
                 (names if begins else changed)[len(hashes)] = NAME, bare
-        number = kind == IS_NUMBER
-        hashes.append(h)
+            number = kind == IS_NUMBER
+        else:
+            number = False
+        append(h)
         begins = stops
     plain = np.array(hashes, np.uint64)
 
