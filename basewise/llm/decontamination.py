@@ -47,8 +47,8 @@ UNITS = frozenset(
     "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years mph kmh km/h m/s hz khz mhz ghz v w kw kwh j kj cal kcal "
     "c f k °c °f degree degrees percent % dollar dollars euro euros cent cents usd eur gbp".split()
 )
-#: Templates of words that a task remembers, and bytes of the longest such word.
-MEMO, LONGEST = 300_000, 64
+#: Words that each of two generations of a task's memory holds, and bytes of the longest such word.
+MEMO, LONGEST = 250_000, 64
 NUM, UNIT, NAME = "\x01num", "\x01unit", "\x01name"
 #: A mark for line ends, where sentences end.
 LINE = b"\x00"
@@ -68,13 +68,14 @@ def _word(raw: bytes) -> tuple[int, int, bool, str]:
     kind = PLAIN
     if not bare or raw == LINE:
         kind = NO_WORD
-    elif NUMBER.match(bare):
+    elif not bare[0].isalpha() and NUMBER.match(bare):
         kind = IS_NUMBER
     elif low in UNITS:
         kind = MAYBE_UNIT
-    elif bare[:1].isupper() and bare[1:].islower():
+    elif low != bare and bare[:1].isupper() and bare[1:].islower():
         kind = CAPITAL
-    return kind, xxhash.xxh64_intdigest(low), text.rstrip("\"')]»")[-1:] in ".!?:…" or raw == LINE, bare
+    stops = not text[-1:].isalnum() and (text.rstrip("\"')]»")[-1:] in ".!?:…" or raw == LINE)
+    return kind, xxhash.xxh64_intdigest(low), stops, bare
 
 
 _FIXED: dict[str, int] = {}
@@ -88,16 +89,16 @@ def templates(text: str | None) -> tuple[np.ndarray, Template, Template]:
     if not _FIXED:
         _FIXED.update({x: xxhash.xxh64_intdigest(x) for x in (NUM, UNIT, NAME)})
     hashes, changed, names, begins, number = [], {}, {}, True, False
-    memo = kept("templates")
-    of, append = memo.get, hashes.append
+    memo = kept("templates", lambda: [{}, {}])
+    of, append = memo[0].get, hashes.append
     words = (text or "").encode().replace(b"\n", b" \x00 ").split()
     for raw, w in zip(words, map(of, words)):  # looked up one by one, so what is learned on the way is known
         if w is None:
-            w = _word(raw)
+            w = memo[0].get(raw) or memo[1].get(raw) or _word(raw)
             if len(raw) <= LONGEST:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                memo[raw] = w
+                if len(memo[0]) >= MEMO:
+                    memo[:] = {}, memo[0]
+                memo[0][raw] = w
         kind, h, stops, bare = w
         if kind:
             if kind == NO_WORD:
