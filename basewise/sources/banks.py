@@ -13,12 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import BinaryType, StringType
 
-from . import blocks, ranges
+from . import bits, blocks, ranges
 
 FASTX_SCHEMA = "seq_id long, comment string, seq string, quality string"
 
@@ -155,38 +156,34 @@ def from_strings(spark: SparkSession, seqs: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(seqs)), "seq_id long, seq string")
 
 
-@F.pandas_udf(BinaryType())
-def _pack(s: pd.Series) -> pd.Series:
-    def one(x: str) -> bytes:
-        codes = np.frombuffer(x.encode(), np.uint8) >> 1 & 3
-        codes = np.concatenate([codes, np.zeros(-len(codes) % 4, np.uint8)]).reshape(-1, 4)
-        return (codes << np.array([6, 4, 2, 0], np.uint8)).sum(axis=1).astype(np.uint8).tobytes()
-
-    return s.map(one, na_action="ignore")
-
-
-@F.pandas_udf(StringType())
-def _unpack(packed: pd.Series, n: pd.Series) -> pd.Series:
-    letters = np.frombuffer(b"ACTG", np.uint8)
-
-    def one(b: bytes | None, n: int) -> str | None:
-        if b is None:
-            return None
-        codes = np.frombuffer(b, np.uint8)[:, None] >> np.array([6, 4, 2, 0], np.uint8) & 3
-        return letters[codes.ravel()[: int(n)]].tobytes().decode()
-
-    return pd.Series([one(b, k) for b, k in zip(packed, n, strict=True)], dtype=object)
-
-
 def to_packed(seqs: DataFrame, min_length: int = 1) -> DataFrame:
     """A bank in two bits per base: pieces between other letters, those shorter than min_length dropped."""
     others = [c for c in seqs.columns if c != "seq"]
-    pieces = seqs.select(*others, F.posexplode(F.regexp_extract_all(F.translate("seq", "acgt", "ACGT"), F.lit("[ACGT]+"), F.lit(0))).alias("piece", "s"))
-    return pieces.where(F.length("s") >= min_length).select(*others, "piece", F.length("s").alias("n_bases"), _pack("s").alias("packed"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, number, size, data in bits.pieces(b.column("seq"), min_length):
+                rows = pa.array(row)
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(rows) for c in others), pa.array(number.astype(np.int32)), pa.array(size.astype(np.int32)), data], [*others, "piece", "n_bases", "packed"])
+
+    kinds = [f"`{c}` {seqs.schema[c].dataType.simpleString()}" for c in others]
+    return seqs.select(*others, "seq").mapInArrow(cut, ", ".join([*kinds, "piece int, n_bases int, packed binary"]))
 
 
 def from_packed(packed: DataFrame) -> DataFrame:
-    return packed.select(*[c for c in packed.columns if c not in ("n_bases", "packed")], _unpack("packed", "n_bases").alias("seq"))
+    others = [c for c in packed.columns if c not in ("n_bases", "packed")]
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, at = bits.binaries(b.column("packed"))
+            n = np.minimum(pc.fill_null(b.column("n_bases"), 0).to_numpy(zero_copy_only=False).astype(np.int64), 4 * np.diff(at))
+            for i, j in bits.slices(n):
+                here = b.slice(i, j - i)
+                seqs = pc.if_else(pc.is_valid(here.column("packed")), bits.unpacked(data, at[i:j], n[i:j]), pa.scalar(None, pa.string()))
+                yield pa.RecordBatch.from_arrays([*(here.column(c) for c in others), seqs], [*others, "seq"])
+
+    kinds = [f"`{c}` {packed.schema[c].dataType.simpleString()}" for c in others]
+    return packed.select(*others, "n_bases", "packed").mapInArrow(spell, ", ".join([*kinds, "seq string"]))
 
 
 def combine(banks: list[DataFrame], names: list[str] | None = None) -> DataFrame:

@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bits
 from .ranges import files_below, open_file
 
-# The number that a file begins with, in eight bytes, little-endian, and the letters of the codes 0 to 3.
+# Fixed value: the number that a file begins with, in eight bytes, little-endian.
 MAGIC = struct.pack("<Q", 0x12345678)
-LETTERS = "ACTG"
 #: Bytes from which on a block is written out.
 BLOCK = 4 << 20
 
@@ -55,7 +55,7 @@ def write_blocks(seqs: DataFrame, folder: str, min_length: int = 1, block: int =
     unfinished = f"{folder.rstrip('/')}/_unfinished"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, n, bases, held, size = None, 0, 0, [], 0
+        out, n, bases, held, size = None, 0, 0, [], 0  # held: parts of the block at hand
         fs_, base = _filesystem(unfinished)
         path = f"{base}/{uuid.uuid4().hex}"
 
@@ -64,16 +64,25 @@ def write_blocks(seqs: DataFrame, folder: str, min_length: int = 1, block: int =
             out.write(struct.pack("<I", len(data)) + data)
 
         for b in batches:
-            for length, packed in zip(b.column("n_bases").to_pylist(), b.column("packed").to_pylist(), strict=True):
-                if out is None:
-                    fs_.create_dir(base, recursive=True)
-                    out = fs_.open_output_stream(path)
-                    out.write(MAGIC)
-                held += [struct.pack("<i", length), packed]
-                n, bases, size = n + 1, bases + length, size + 4 + len(packed)
-                if size >= block:
-                    emit()
-                    held, size = [], 0
+            data, at = bits.binaries(b.column("packed"))
+            lengths = b.column("n_bases").to_numpy()
+            if out is None and len(lengths):
+                fs_.create_dir(base, recursive=True)
+                out = fs_.open_output_stream(path)
+                out.write(MAGIC)
+            n, bases = n + len(lengths), bases + int(lengths.sum(dtype=np.int64))
+            for i, j in bits.slices(lengths):
+                run, ends = _laid_out(data, at[i : j + 1], lengths[i:j])
+                done = 0
+                while len(run) > done:  # a block ends with the sequence that brings its bytes to ``block``
+                    last = int(np.searchsorted(ends, done + max(1, block - size)))
+                    to = int(ends[min(last, len(ends) - 1)])
+                    held.append(run[done:to])
+                    size += to - done
+                    if size >= block:
+                        emit()
+                        held, size = [], 0
+                    done = to
         if out is not None:
             if held:
                 emit()
@@ -107,17 +116,28 @@ def block_places(uri: str) -> Iterator[tuple[int, int]]:
             at += 4 + n
 
 
-def sequences_of(data: bytes) -> Iterator[str]:
-    """The sequences of a block."""
-    letters = np.frombuffer(LETTERS.encode(), np.uint8)
-    shifts = np.array([6, 4, 2, 0], np.uint8)
-    at = 0
+def _laid_out(data: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Sequences as they stand in a block, and where each ends there."""
+    wide = np.diff(at)
+    ends = np.cumsum(wide + 4)
+    out = np.empty(ends[-1], np.uint8)
+    first = ends - wide
+    out[first[:, None] + np.arange(-4, 0)] = lengths.astype("<i4").view(np.uint8).reshape(-1, 4)
+    out[bits.places(first, wide)] = data[at[0] : at[-1]]
+    return out.tobytes(), ends
+
+
+def sequences_of(data: bytes) -> Iterator[pa.Array]:
+    """The sequences of a block, some at a time."""
+    at, found, lengths = 0, [], []
     while at < len(data):
         (n,) = struct.unpack_from("<i", data, at)
-        size = -(-n // 4)
-        codes = np.frombuffer(data, np.uint8, size, at + 4)[:, None] >> shifts & 3
-        yield letters[codes.ravel()[:n]].tobytes().decode()
-        at += 4 + size
+        found.append(at + 4)
+        lengths.append(n)
+        at += 4 - (-n // 4)
+    start, n, codes = np.array(found, np.int64), np.array(lengths, np.int64), np.frombuffer(data, np.uint8)
+    for i, j in bits.slices(n):
+        yield bits.unpacked(codes, start[i:j], n[i:j])
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -133,13 +153,22 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([uri] * len(some), pa.string()), pa.array([x for x, _ in some], pa.int64()), pa.array([n for _, n in some], pa.int64())], ["file", "at", "size"])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for uri, at, size in zip(*(b.column(c).to_pylist() for c in ("file", "at", "size")), strict=True):
-                source, _ = open_file(uri)
-                with source:
+        last, source = None, None
+        try:
+            for b in batches:
+                for uri, at, size in zip(*(b.column(c).to_pylist() for c in ("file", "at", "size")), strict=True):
+                    if uri != last:  # blocks come file by file
+                        if source is not None:
+                            source.close()
+                        last, source = uri, open_file(uri)[0]
                     source.seek(at)
-                    seqs = list(sequences_of(source.read(size)))
-                yield pa.RecordBatch.from_arrays([pa.array([uri] * len(seqs), pa.string()), pa.array(range(at, at + len(seqs)), pa.int64()), pa.array(seqs, pa.string())], ["file", "seq_id", "seq"])
+                    number = at
+                    for seqs in sequences_of(source.read(size)):
+                        yield pa.RecordBatch.from_arrays([pa.array([uri] * len(seqs), pa.string()), pa.array(range(number, number + len(seqs)), pa.int64()), seqs], ["file", "seq_id", "seq"])
+                        number += len(seqs)
+        finally:
+            if source is not None:
+                source.close()
 
     listed = files.mapInArrow(places, "file string, at long, size long")
-    return listed.repartition(4 * spark.sparkContext.defaultParallelism, F.xxhash64("file", "at")).mapInArrow(decode, "file string, seq_id long, seq string")
+    return listed.repartition(4 * spark.sparkContext.defaultParallelism, F.xxhash64("file", "at")).sortWithinPartitions("file", "at").mapInArrow(decode, "file string, seq_id long, seq string")
