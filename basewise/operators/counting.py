@@ -18,6 +18,11 @@ def count_kmers(seqs: DataFrame, k: int, policy: str = "skip", order: str | None
     return counts.select(packed.spelled("code", k, order).alias("kmer"), "n")
 
 
+def task_counts(seqs: DataFrame, k: int, policy: str = "skip", order: str | None = "ACGT") -> DataFrame:
+    """kmer and n as tasks count them, a k-mer as often as tasks have it: what takes weighted k-mers, such as a sketch, needs no row for each occurrence."""
+    return packed.code_counts(seqs, k, policy, order).select(packed.spelled("code", k, order).alias("kmer"), "n")
+
+
 def count_through_super_kmers(seqs: DataFrame, k: int, m: int, order: str = "ACGT", policy: str = "skip") -> DataFrame:
     """The same counts, with super-k-mers shuffled and cut into k-mers behind the shuffle.
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from ..functions.alphabet import check_order, digits, encode
-from .packed import CHUNK, MOST_K, Minimizing, as_bytes, base_table, both_strands, check_k, code_counts, letters_of, spelled, strings
+from .packed import CHUNK, MOST_K, Minimizing, as_bytes, base_table, both_strands, check_k, code_counts, joined_texts, letters_of, spelled, strings
 
 
 def allowed(mmer: Column) -> Column:
@@ -38,24 +38,17 @@ def _minimizing(seqs: DataFrame, k: int, m: int, order: str, policy: str, ban_aa
 
 
 def _mapped(seqs: DataFrame, others: list[str], added: str, rows_of) -> DataFrame:
-    """Rows of the columns ``others`` and ``added`` (names and types), from what rows_of yields for each text: arrays of equal length."""
+    """Rows of the columns ``others`` and ``added`` (names and types). rows_of takes texts laid end to end, a separator between them, and where each begins; it yields the number of each row's text, and arrays."""
     names = [x.split()[0] for x in added.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts, held = [], 0
-            for i, text in enumerate(b.column("seq").to_pylist()):
-                for arrays in rows_of(text):
-                    n = len(arrays[0])
-                    if n:
-                        own = pa.array(np.full(n, i))
-                        parts.append(pa.RecordBatch.from_arrays([*(b.column(c).take(own) for c in others), *arrays], [*others, *names]))
-                        held += n
-                    if held > 50_000:
-                        yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
-                        parts, held = [], 0
-            if parts:
-                yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
+            for first, texts in joined_texts(b.column("seq")):
+                begins = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+                for text, *arrays in rows_of(b"\0".join(texts), begins):
+                    own = pa.array(text + first)
+                    if len(own):
+                        yield pa.RecordBatch.from_arrays([*(b.column(c).take(own) for c in others), *arrays], [*others, *names])
 
     kinds = [f"`{c}` {seqs.schema[c].dataType.simpleString()}" for c in others]
     return seqs.select(*others, "seq").mapInArrow(cut, ", ".join([*kinds, added]))
@@ -70,15 +63,17 @@ def minimizers(seqs: DataFrame, k: int, m: int, order: str = "ACTG", policy: str
     """
     of = _minimizing(seqs, k, m, order, policy, ban_aa, ranks, hashed)
 
-    def rows(text: str | None):
-        codes = of.codes(text)
+    def rows(data: bytes, begins: np.ndarray):
+        codes = of.table[np.frombuffer(data, np.uint8)]
         spelt = of.upper[codes]
         for first, mini, place, ok, turned, tied in of.flagged(codes):
             for at in range(0, len(ok), 1 << 15):  # spelled out some at a time
                 x = np.flatnonzero(ok[at : at + (1 << 15)]) + at
                 if len(x):
                     words = np.lib.stride_tricks.sliding_window_view(spelt, k)[x + first]
-                    yield pa.array((x + first).astype(np.int32)), strings(words, np.full(len(x), k)), strings(letters_of(mini[x], m, order), np.full(len(x), m)), pa.array(place[x].astype(np.int32)), *((pa.array(turned[x]), pa.array(tied[x])) if flags else ())
+                    text = np.searchsorted(begins, x + first, "right") - 1
+                    pos, mini_at = (x + first - begins[text]).astype(np.int32), (place[x] - begins[text]).astype(np.int32)
+                    yield text, pa.array(pos), strings(words, np.full(len(x), k)), strings(letters_of(mini[x], m, order), np.full(len(x), m)), pa.array(mini_at), *((pa.array(turned[x]), pa.array(tied[x])) if flags else ())
 
     others = [c for c in seqs.columns if c != "seq"]
     return _mapped(seqs, others, "pos int, kmer string, minimizer string, minimizer_at int" + (", minimizer_reversed boolean, minimizer_tied boolean" if flags else ""), rows)
@@ -91,37 +86,45 @@ def super_kmers(seqs: DataFrame, k: int, m: int, order: str = "ACTG", policy: st
     """
     of = _minimizing(seqs, k, m, order, policy, ban_aa, ranks, hashed)
 
-    def rows(text: str | None):
-        codes = of.codes(text)
-        n, starts, minis, valid, last = max(0, len(codes) - k + 1), [], [], [], None
-        for first, mini, _, ok in of.pieces(codes):  # runs go on from one piece to the next
-            turn = np.concatenate([[last is None or last[0] != mini[0] or last[1] != ok[0]], (mini[1:] != mini[:-1]) | (ok[1:] != ok[:-1])])
-            x = np.flatnonzero(turn)
-            starts.append(x + first)
-            minis.append(mini[x])
-            valid.append(ok[x])
-            last = mini[-1], ok[-1]
-        if not n:
-            return
-        start, mini, ok = (np.concatenate(a) for a in (starts, minis, valid))
-        size = np.diff(np.concatenate([start, [n]]))[ok]
-        start, mini = start[ok], mini[ok]
+    def rows(data: bytes, begins: np.ndarray):
+        codes = of.table[np.frombuffer(data, np.uint8)]
+        start, mini, size = of.runs(codes)
         if max_kmers and len(size):
             parts = -(-size // max_kmers)
             step = (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * max_kmers
             start, mini, size = np.repeat(start, parts) + step, np.repeat(mini, parts), np.minimum(np.repeat(size, parts) - step, max_kmers)
+        text = np.searchsorted(begins, start, "right") - 1
+        ids = np.arange(len(start)) - np.searchsorted(text, text)
         spelt = of.upper[codes]
         for at in range(0, len(start), 20_000):
             s, z = start[at : at + 20_000], size[at : at + 20_000] + (k - 1)
             before = np.cumsum(z) - z
             data = spelt[np.repeat(s - before, z) + np.arange(z.sum())]
-            ids = np.arange(at, at + len(s))
-            yield pa.array(ids), strings(letters_of(mini[at : at + 20_000], m, order), np.full(len(s), m)), pa.array(s.astype(np.int32)), pa.array((z - (k - 1)).astype(np.int32)), strings(data, z)
+            own = text[at : at + 20_000]
+            yield own, pa.array(ids[at : at + 20_000]), strings(letters_of(mini[at : at + 20_000], m, order), np.full(len(s), m)), pa.array((s - begins[own]).astype(np.int32)), pa.array((z - (k - 1)).astype(np.int32)), strings(data, z)
 
     others = [c for c in seqs.columns if c != "seq"]
     return _mapped(seqs, others, "run_id long, minimizer string, start int, n_kmers int, seq string", rows)
 
 
+def minimizer_totals(seqs: DataFrame, k: int, m: int, order: str = "ACTG", policy: str = "skip", ban_aa: bool = False, ranks: DataFrame | None = None, hashed: bool = False) -> DataFrame:
+    """minimizer, n_super_kmers and n_kmers: the sums over ``super_kmers``, whose runs are added up where they are found and never spelled."""
+    of = _minimizing(seqs, k, m, order, policy, ban_aa, ranks, hashed)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, texts in joined_texts(b.column("seq")):
+                _, mini, size = of.runs(of.table[np.frombuffer(b"\0".join(texts), np.uint8)])
+                if len(mini):
+                    by = np.argsort(mini)
+                    mini, size = mini[by], size[by]
+                    first = np.flatnonzero(np.concatenate([[True], mini[1:] != mini[:-1]]))
+                    yield pa.RecordBatch.from_arrays([pa.array(mini[first].astype(np.int64)), pa.array(np.diff(first, append=len(mini))), pa.array(np.add.reduceat(size, first))], ["code", "s", "n"])
+
+    sums = seqs.select("seq").mapInArrow(add, "code long, s long, n long").groupBy("code").agg(F.sum("s").alias("n_super_kmers"), F.sum("n").alias("n_kmers"))
+    return sums.select(spelled("code", m, order).alias("minimizer"), "n_super_kmers", "n_kmers")
+
+
 def mmer_ranks(seqs: DataFrame, m: int, order: str = "ACTG", share: float = 1.0, seed: int = 0) -> DataFrame:
     """mmer, n and rank (from 0, by rising frequency, then by ``order``) of the canonical m-mers that occur.
 
@@ -248,15 +251,22 @@ def sampled_bins(seqs: DataFrame, k: int, m: int, enough: int, key: str, by: str
 BROADCAST_BINS = 1 << 20
 
 
-def route(supers: DataFrame, table: DataFrame, unseen: int | None = None) -> DataFrame:
-    """Super-k-mers with the part of their minimizer, dealt by it; those whose minimizer the table does not have go to part ``unseen``, or out if that is None."""
+def route(supers: DataFrame, table: DataFrame, unseen: int | None = None, deal: bool = True) -> DataFrame:
+    """Super-k-mers, or totals, with the part of their minimizer; those whose minimizer the table does not have go to part ``unseen``, or out if that is None.
+
+    deal brings the rows of a part together, in as many tasks as there are parts at most; without it rows stay where they are, in as many tasks as the input has.
+    """
     parts = table.select(F.col("bin").alias("minimizer"), "part")
     parts = F.broadcast(parts) if table.limit(BROADCAST_BINS + 1).count() <= BROADCAST_BINS else parts
     if unseen is None:
-        return supers.join(parts, "minimizer").repartition("part")
-    return supers.join(parts, "minimizer", "left").withColumn("part", F.coalesce("part", F.lit(unseen))).repartition("part")
+        found = supers.join(parts, "minimizer")
+    else:
+        found = supers.join(parts, "minimizer", "left").withColumn("part", F.coalesce("part", F.lit(unseen)))
+    return found.repartition("part") if deal else found
 
 
 def partition_stats(routed: DataFrame) -> DataFrame:
-    """Per part: n_minimizers, n_super_kmers and n_kmers."""
-    return routed.groupBy("part").agg(F.count_distinct("minimizer").alias("n_minimizers"), F.count("*").alias("n_super_kmers"), F.sum("n_kmers").cast("long").alias("n_kmers"))
+    """Per part: n_minimizers, n_super_kmers and n_kmers, of super-k-mers or of ``minimizer_totals``."""
+    n = F.sum("n_super_kmers") if "n_super_kmers" in routed.columns else F.count("*")
+    each = routed.groupBy("part", "minimizer").agg(n.alias("s"), F.sum("n_kmers").cast("long").alias("n"))  # sums leave tasks, not rows
+    return each.groupBy("part").agg(F.count("*").alias("n_minimizers"), F.sum("s").alias("n_super_kmers"), F.sum("n").alias("n_kmers"))

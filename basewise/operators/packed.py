@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +18,11 @@ from ..functions.alphabet import POLICIES, check_order
 
 MOST_K = 31
 #: Bases that are worked on at once.
-CHUNK = 1 << 20
-#: K-mers that a task counts before it hands counts on.
-HELD = 1 << 22
+CHUNK = 1 << 18
+#: K-mers that a task sorts before it hands counts on.
+HELD = 1 << 20
+#: Possible k-mers up to which a task keeps one count for each instead of k-mers to sort.
+CELLS = 1 << 18
 INVALID = 4
 U = np.uint64
 
@@ -29,6 +32,16 @@ def as_bytes(seq: str | None) -> bytes:
     return (seq or "").replace("\0", "?").encode("ascii", "replace")
 
 
+def joined_texts(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts as bytes, as many at a time as have CHUNK characters in all or a longer one alone, with the row of the first."""
+    upto = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] + CHUNK, "right")) - 1)
+        yield at, [as_bytes(t) for t in texts.slice(at, to - at).to_pylist()]
+        at = to
+
+
 def base_table(order: str, policy: str) -> np.ndarray:
     """The code of each byte under an order of the bases; other letters are invalid, or A under ``replace_a``. NUL is always invalid."""
     if policy not in POLICIES:
@@ -100,41 +113,49 @@ def code_counts(seqs: DataFrame, k: int, policy: str = "skip", order: str | None
             forward, back, ok = both_strands(codes[at : at + CHUNK + k - 1], k, spelling)
             yield (forward if order is None else np.minimum(forward, back))[ok]
 
+    def rows_of(key: tuple, codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        rows = pa.array(np.zeros(len(codes), np.int64))
+        return pa.RecordBatch.from_arrays([*(x.take(rows) for x in key_rows[key]), pa.array(codes.astype(np.int64)), pa.array(n.astype(np.int64))], [*by, "code", "n"])
+
     def counted(group: dict[tuple, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         for key, parts in group.items():
-            codes, n = np.unique(np.concatenate(parts), return_counts=True)
-            if len(codes):
-                rows = pa.array(np.zeros(len(codes), np.int64))
-                yield pa.RecordBatch.from_arrays([*(x.take(rows) for x in key_rows[key]), pa.array(codes.view(np.int64)), pa.array(n.astype(np.int64))], [*by, "code", "n"])
+            codes = np.concatenate(parts)
+            parts.clear()
+            codes.sort()
+            first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.empty(0, np.int64)
+            if len(first):
+                yield rows_of(key, codes[first], np.diff(first, append=len(codes)))
 
     key_rows: dict[tuple, list[pa.Array]] = {}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: dict[tuple, list[np.ndarray]] = {}
         held = 0
+        cells = np.zeros(4**k, np.int64) if not by and 4**k <= CELLS else None
         for b in batches:
-            texts = b.column("seq").to_pylist()
-            keys = list(zip(*(b.column(c).to_pylist() for c in by), strict=True)) if by else [()] * len(texts)
-            lines: dict[tuple, list[bytes]] = {}
-            for i, (key, text) in enumerate(zip(keys, texts, strict=True)):
-                if text:
-                    lines.setdefault(key, []).append(as_bytes(text))
-                    if key not in key_rows:
-                        key_rows[key] = [b.column(c).slice(i, 1) for c in by]
-            for key, own in lines.items():
-                at = 0
-                while at < len(own):  # short sequences together, a separator between them
-                    size, to = len(own[at]), at + 1
-                    while to < len(own) and size + len(own[to]) < CHUNK:
-                        size, to = size + len(own[to]) + 1, to + 1
-                    for codes in numbers(b"\0".join(own[at:to])):
+            keys = list(zip(*(b.column(c).to_pylist() for c in by), strict=True)) if by else [()] * b.num_rows
+            for first, texts in joined_texts(b.column("seq")):  # short sequences together, a separator between them
+                lines: dict[tuple, list[bytes]] = {}
+                for i, text in enumerate(texts, first):
+                    if text:
+                        lines.setdefault(keys[i], []).append(text)
+                        if keys[i] not in key_rows:
+                            key_rows[keys[i]] = [b.column(c).slice(i, 1) for c in by]
+                for key, own in lines.items():
+                    for codes in numbers(b"\0".join(own)):
+                        if cells is not None:
+                            cells += np.bincount(codes.view(np.int64), minlength=len(cells))
+                            continue
                         group.setdefault(key, []).append(codes)
                         held += len(codes)
                         if held >= HELD:
                             yield from counted(group)
                             group, held = {}, 0
-                    at = to
         yield from counted(group)
+        if cells is not None and cells.any():
+            codes = np.flatnonzero(cells)
+            key_rows[()] = []
+            yield rows_of((), codes, cells[codes])
 
     schema = ", ".join([*(f"`{c}` {seqs.schema[c].dataType.simpleString()}" for c in by), "code long", "n long"])
     return seqs.select(*by, "seq").mapInArrow(count, schema)
@@ -192,12 +213,30 @@ class Minimizing:
             part = codes[first : first + CHUNK + self.k - 1]
             value, shown, turned = self._values(part)
             n = len(part) - self.k + 1
-            best, at, tied = value[width - 1 : width - 1 + n], np.full(n, width - 1), np.zeros(n, bool)
+            best, at, tied = value[width - 1 : width - 1 + n].copy(), np.full(n, width - 1, np.int32), np.zeros(n, bool)
             for j in range(width - 2, -1, -1):
                 here = value[j : j + n]
+                tied |= here == best
                 less = here < best
-                tied = np.where(less, False, tied | (here == best))
-                best, at = np.where(less, here, best), np.where(less, j, at)
+                tied &= ~less
+                at[less] = j
+                np.minimum(best, here, out=best)
             bad = np.concatenate([[0], np.cumsum(part == INVALID)])
             place = at + np.arange(n)
             yield first, shown[place], place + first, bad[self.k :] == bad[: -self.k], turned[place], tied
+
+    def runs(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First place, minimizer and number of k-mers of the runs of valid k-mers with one minimizer; they go on from one piece to the next."""
+        starts, minis, valid, last = [], [], [], None
+        for first, mini, _, ok in self.pieces(codes):
+            turn = np.concatenate([[last is None or last[0] != mini[0] or last[1] != ok[0]], (mini[1:] != mini[:-1]) | (ok[1:] != ok[:-1])])
+            x = np.flatnonzero(turn)
+            starts.append(x + first)
+            minis.append(mini[x])
+            valid.append(ok[x])
+            last = mini[-1], ok[-1]
+        if not starts:
+            return np.empty(0, np.int64), np.empty(0, U), np.empty(0, np.int64)
+        start, mini, ok = (np.concatenate(a) for a in (starts, minis, valid))
+        size = np.diff(np.concatenate([start, [len(codes) - self.k + 1]]))
+        return start[ok], mini[ok], size[ok]

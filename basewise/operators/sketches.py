@@ -73,10 +73,11 @@ def passed(counts: DataFrame, levels: int) -> DataFrame:
     return counts.where(F.col("n") > levels).withColumn("n", F.col("n") - levels)
 
 
-def count_min_table(keys: DataFrame, col: str, depth: int, width: int) -> DataFrame:
-    """(row, cell, n) of a count-min sketch."""
-    cells = keys.select(F.posexplode(_places(F.col(col), depth, width)).alias("row", "cell"))
-    return cells.groupBy("row", "cell").agg(F.count("*").alias("n"))
+def count_min_table(keys: DataFrame, col: str, depth: int, width: int, n: str | None = None) -> DataFrame:
+    """(row, cell, n) of a count-min sketch; each row of ``keys`` is one occurrence, or as many as its column ``n`` says."""
+    weight = F.lit(1).cast("long") if n is None else F.col(n)
+    cells = keys.select(weight.alias("_n"), F.posexplode(_places(F.col(col), depth, width)).alias("row", "cell"))
+    return cells.groupBy("row", "cell").agg(F.sum("_n").alias("n"))
 
 
 def count_min_estimate(keys: DataFrame, col: str, table: DataFrame, depth: int, width: int) -> DataFrame:

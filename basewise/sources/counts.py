@@ -46,7 +46,7 @@ def write_histogram(table: DataFrame, path: str) -> None:
 
 
 def write_super_kmers(routed: DataFrame, path: str) -> None:
-    """Super-k-mers in one folder per part."""
+    """Super-k-mers in one folder per part; each task writes a file there."""
     routed.write.partitionBy("part").parquet(path)
 
 
@@ -56,12 +56,14 @@ def read_super_kmers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_partition_info(routed: DataFrame, path: str) -> None:
-    """Lines of what, its key, n_super_kmers and n_kmers with tabs between: one of the total, one for each part and one for each minimizer."""
-    each = [routed.groupBy().agg, routed.groupBy("part").agg, routed.groupBy("minimizer").agg]
+    """Lines of what, its key, n_super_kmers and n_kmers with tabs between: one of the total, one for each part and one for each minimizer. Rows are super-k-mers or ``minimizer_totals``."""
+    n = F.sum("n_super_kmers") if "n_super_kmers" in routed.columns else F.count("*")
+    sums = routed.groupBy("part", "minimizer").agg(n.alias("s"), F.sum("n_kmers").alias("k"))
+    each = [sums.groupBy().agg, sums.groupBy("part").agg, sums.groupBy("minimizer").agg]
     keys = [F.lit(""), F.col("part").cast("string"), F.col("minimizer")]
-    lines = None
+    zero, lines = F.lit(0).cast("long"), None
     for what, agg, key in zip(("total", "part", "minimizer"), each, keys, strict=True):
-        rows = agg(F.count("*").alias("s"), F.coalesce(F.sum("n_kmers"), F.lit(0)).cast("long").alias("k")).select(F.concat_ws("\t", F.lit(what), key, F.col("s").cast("string"), F.col("k").cast("string")).alias("value"))
+        rows = agg(*(F.coalesce(F.sum(c), zero).cast("long").alias(c) for c in "sk")).select(F.concat_ws("\t", F.lit(what), key, F.col("s").cast("string"), F.col("k").cast("string")).alias("value"))
         lines = rows if lines is None else lines.unionByName(rows)
     lines.write.text(path)
 

@@ -404,3 +404,45 @@ def test_cutoffs_of_banks(spark):
     each = histogram.bank_cutoffs(table, ["a", "b", "none"])
     assert each["a"] == histogram.auto_cutoff(histogram.histogram(table.where("bank = 'a'")), floor=3).cutoff and each["none"] == 3 and list(each) == ["a", "b", "none"]
     assert {r.bank: r.cutoff for r in histogram.bank_cutoff_table(table).collect()} == {b: each[b] for b in "ab"}
+
+
+def test_counts_leave_tasks_once_per_kmer(spark, reads):
+    """A task keeps one count for each possible short k-mer, and sorts a bounded number of long ones, however many sequences it has."""
+    from basewise.operators import packed
+
+    bank = banks.from_strings(spark, [*reads, None, "", "acgtNACGTT"] * 3).coalesce(1)
+    parts = packed.code_counts(bank, 5)
+    assert parts.count() == parts.select("code").distinct().count() and packed.HELD <= 1 << 20 and packed.CHUNK <= 1 << 18
+    assert rows(counting.task_counts(bank, 5)) == rows(counting.count_kmers(bank, 5)) == set(brute([r.upper() for r in [*reads, "", "acgtNACGTT"] * 3], 5).items())
+    named = bank.withColumn("bank", F.when(F.col("seq_id") % 2 == 0, F.lit("even")))
+    assert rows(counting.count_banks(named, 5, "bank").groupBy("kmer").agg(F.sum("n"))) == rows(counting.count_kmers(bank, 5))
+
+
+def test_weighted_count_min(spark):
+    one = spark.createDataFrame([("a",)] * 5 + [("b",)] * 2, "x string")
+    parts = spark.createDataFrame([("a", 3), ("b", 2), ("a", 2)], "x string, n long")
+    table = sketches.count_min_table(parts, "x", 3, 64, n="n")
+    assert rows(table) == rows(sketches.count_min_table(one, "x", 3, 64))
+    assert rows(sketches.count_min_estimate(parts, "x", table, 3, 64)) == {("a", 5), ("b", 2)}
+
+
+def test_minimizer_totals_and_parts_without_dealing(spark, reads, tmp_path):
+    from basewise.sources import counts
+
+    bank = banks.from_strings(spark, [*reads, None, "", "NN", "A" * 8, "ACGTACGTACGTNACGTACGTACGT"])
+    supers = minimizers.super_kmers(bank, 9, 4)
+    totals = minimizers.minimizer_totals(bank, 9, 4)
+    assert rows(totals) == rows(supers.groupBy("minimizer").agg(F.count("*"), F.sum("n_kmers")))
+    for text, own in supers.toPandas().groupby("seq_id"):
+        assert sorted(own["run_id"]) == list(range(len(own)))
+    bins = totals.select(F.col("minimizer").alias("bin"), F.col("n_kmers").alias("size"))
+    table = minimizers.grouped_partitions(bins, 3, ["bin"])
+    dealt, placed, summed = minimizers.route(supers, table), minimizers.route(supers, table, deal=False), minimizers.route(totals, table, deal=False)
+    assert rows(dealt) == rows(placed) and placed.rdd.getNumPartitions() == supers.rdd.getNumPartitions()
+    assert rows(minimizers.partition_stats(dealt)) == rows(minimizers.partition_stats(summed))
+    for i, routed in enumerate((dealt, summed)):
+        counts.write_partition_info(routed, str(tmp_path / f"info{i}"))
+    assert rows(counts.read_partition_info(spark, str(tmp_path / "info0"))) == rows(counts.read_partition_info(spark, str(tmp_path / "info1")))
+    counts.write_super_kmers(placed, str(tmp_path / "parts"))
+    back = counts.read_super_kmers(spark, str(tmp_path / "parts"))
+    assert rows(back.select(placed.columns)) == rows(placed)
