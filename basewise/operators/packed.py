@@ -20,7 +20,7 @@ MOST_K = 31
 #: Bases that are worked on at once.
 CHUNK = 1 << 18
 #: K-mers that a task sorts before it hands counts on.
-HELD = 1 << 20
+HELD = 1 << 18
 #: Possible k-mers up to which a task keeps one count for each instead of k-mers to sort.
 CELLS = 1 << 18
 INVALID = 4
