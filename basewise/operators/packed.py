@@ -1,4 +1,4 @@
-"""K-mers as 2-bit numbers, for k up to 31: vectorised inside tasks, a million bases at a time.
+"""K-mers as 2-bit numbers, for k up to 31: vectorised inside tasks, 2^18 bases at a time.
 
 Sequences are taken as bytes, each other character than a base as one invalid letter. A long sequence is worked
 through in pieces that overlap by k - 1 bases, so memory does not grow with its length.
