@@ -187,7 +187,7 @@ def matches(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
 
 
 def span_matches(spans: DataFrame, found: DataFrame, k: int = K) -> DataFrame:
-    """b, b_pos, a, a_pos: the outer seeds of each span with those of the span's first place, where that is in another document.
+    """b, b_pos, a, a_pos, lane: the outer seeds of each span with those of the span's first place, where that is in another document.
 
     Spans that lie inside a passage ``found`` (doc_id, from_word, to_word) before have their place already; they count as places for others.
     """
@@ -197,7 +197,7 @@ def span_matches(spans: DataFrame, found: DataFrame, k: int = K) -> DataFrame:
     both = spans.join(first, F.col("span") == F.col("_span")).where(F.col("b") != F.col("first.b")).join(done, F.col("b") == F.col("_b"), "left")
     both = both.where(~F.coalesce(F.exists("done", lambda p: (p["from_word"] <= F.col("start")) & (F.col("stop") + k <= p["to_word"])), F.lit(False)))
     ends = F.explode(F.array(*(F.struct(F.col(c).alias("b_pos"), F.col(f"first.{c}").alias("a_pos")) for c in ("start", "stop"))))
-    return both.select("b", F.col("first.b").alias("a"), ends.alias("e")).select("b", "e.b_pos", "a", "e.a_pos").distinct()
+    return both.select("b", F.col("first.b").alias("a"), "lane", ends.alias("e")).select("b", "e.b_pos", "a", "e.a_pos", "lane").distinct()
 
 
 def scattered_spans(b: np.ndarray, pos: np.ndarray, a: np.ndarray, a_pos: np.ndarray, h: np.ndarray, length: int, k: int = K, window: int = WINDOW, share: float = 0.7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -224,6 +224,30 @@ def scattered_spans(b: np.ndarray, pos: np.ndarray, a: np.ndarray, a_pos: np.nda
     return x, j[x], _mix((sums[j[x] + 1] - sums[x]) * inverse[pos[x]] + np.uint64(length)).view(np.int64)
 
 
+def _lanes(docs: np.ndarray, code: np.ndarray, start: np.ndarray, stop: np.ndarray, most: int, k: int = K) -> np.ndarray:
+    """For each span of some documents a lane, or -1 where it is left out.
+
+    Where a span overlaps its own repeats (a few words over and over), all of these have one first place. So many are
+    kept that their words are those of all: the first, then the last that begins inside the one before, and, so that a passage up to the end is found, the last
+    with ``most`` words up to it. Spans of such a run that overlap are in different lanes, which are chained by themselves. All other spans are in lane 0.
+    """
+    by, lane = np.lexsort((start, code, docs)), np.zeros(len(start), np.int8)
+    docs, code, start, end = docs[by], code[by], start[by].astype(np.int64), stop[by].astype(np.int64) + k
+    new = np.concatenate([[True], (docs[1:] != docs[:-1]) | (code[1:] != code[:-1]) | (start[1:] > end[:-1]), [True]])
+    bounds = np.flatnonzero(new)
+    for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if y - x > 1:
+            i, picks, at = x, {x, y - 1}, start[x:y]
+            while i < y - 1:
+                i = max(i + 1, x + int(np.searchsorted(at, end[i], side="right")) - 1)
+                picks.add(i)
+            picks.add(max(x, x + int(np.searchsorted(at, end[y - 1] - most, side="right")) - 1))
+            lane[by[x:y]] = -1
+            for n, i in enumerate(sorted(picks)):
+                lane[by[i]] = 1 + n % 3
+    return lane
+
+
 def chain(b_pos: np.ndarray, a_pos: np.ndarray, gap: float = GAP_COST) -> list[list[int]]:
     """Chains of matches, rising in both texts, as lists of indexes; the best first, each match in one chain at most.
 
@@ -275,8 +299,8 @@ def _cut_chains(b_pos: np.ndarray, a_pos: np.ndarray, most: int) -> Iterator[np.
 
 
 def _cover(rows: list[tuple], k: int) -> list[tuple]:
-    """Of one document's chains so many that their words are those of all: longer ones first, and first those of which half is new."""
-    rows = sorted(rows, key=lambda r: (r[2][0] - r[2][-1], r[2][0]))
+    """Of one document's chains so many that their words are those of all: longer ones first, those of repeats last, and first those of which half is new."""
+    rows = sorted(rows, key=lambda r: (r[7] > 0, r[2][0] - r[2][-1], r[2][0]))
     seen, kept = np.zeros(max(r[2][-1] for r in rows) + k, bool), []
     for half in (True, False):
         rest = []
@@ -295,10 +319,11 @@ def _cover(rows: list[tuple], k: int) -> list[tuple]:
 def chains(found: DataFrame, most: int, min_seeds: int = 2, span: int | None = None, k: int = K, window: int = WINDOW, cover: bool = False) -> DataFrame:
     """b, a and the seeds (b_at, a_at) of each chain. Matches are dealt by b, so a task sees all of a document.
 
-    With ``cover``, of overlapping chains of a document only so many that their words are those of all. With ``span`` (a length), further rows hold the scattered spans of each b: span (hash), start and stop (outer seeds).
+    With ``cover``, of overlapping chains of a document only so many that their words are those of all. With ``span`` (a length), further rows hold the scattered spans of each b: span (hash), start and stop (outer seeds) and lane.
     """
     kind = found.schema["b"].dataType.simpleString()
-    columns = ["b", "a", "b_at", "a_at", "span", "start", "stop"]
+    columns = ["b", "a", "b_at", "a_at", "span", "start", "stop", "lane"]
+    order = ["b", "a", "lane"] if "lane" in found.columns else ["b", "a"]
 
     def link(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = []  # a document's matches until the next document begins
@@ -318,13 +343,14 @@ def chains(found: DataFrame, most: int, min_seeds: int = 2, span: int | None = N
     def linked(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
         b_pos, a_pos = frame["b_pos"].to_numpy(), frame["a_pos"].to_numpy()
         b, a, rows = frame["b"].to_numpy(), frame["a"].to_numpy(), []
-        starts = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (a[1:] != a[:-1]), [True]]))
+        lane = frame["lane"].to_numpy() if "lane" in order else np.zeros(len(b), np.int8)
+        starts = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (a[1:] != a[:-1]) | (lane[1:] != lane[:-1]), [True]]))
         for x, y in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
             if y - x >= min_seeds and a[x] != b[x]:
                 for path in _cut_chains(b_pos[x:y], a_pos[x:y], most):
                     if len(path) >= min_seeds:
                         at = x + path
-                        rows.append((b[x], a[x], b_pos[at].tolist(), a_pos[at].tolist(), None, None, None))
+                        rows.append((b[x], a[x], b_pos[at].tolist(), a_pos[at].tolist(), None, None, None, int(lane[x])))
         if cover:
             rows = [r for _, own in groupby(rows, key=lambda r: r[0]) for r in _cover(list(own), k)]
         if rows:
@@ -334,10 +360,13 @@ def chains(found: DataFrame, most: int, min_seeds: int = 2, span: int | None = N
             by = np.lexsort((b_pos, docs))
             first, last, code = scattered_spans(docs[by], b_pos[by], firsts[by], a_pos[by], frame["hash"].to_numpy()[by], span, k, window)
             if len(first):
-                yield pd.DataFrame({"b": b[by][first], "a": None, "b_at": None, "a_at": None, "span": code, "start": b_pos[by][first], "stop": b_pos[by][last]})
+                start, stop = b_pos[by][first], b_pos[by][last]
+                lane = _lanes(docs[by][first], code, start, stop, most, k)
+                some = lane >= 0
+                yield pd.DataFrame({"b": b[by][first][some], "a": None, "b_at": None, "a_at": None, "span": code[some], "start": start[some], "stop": stop[some], "lane": lane[some]})
 
-    dealt = found.repartition("b").sortWithinPartitions("b", "a", "b_pos", "a_pos")
-    return dealt.mapInPandas(released(link), f"b {kind}, a {kind}, b_at array<int>, a_at array<int>, span long, start int, stop int")
+    dealt = found.repartition("b").sortWithinPartitions(*order, "b_pos", "a_pos")
+    return dealt.mapInPandas(released(link), f"b {kind}, a {kind}, b_at array<int>, a_at array<int>, span long, start int, stop int, lane byte")
 
 
 Step = tuple[int, int, bool]
@@ -351,13 +380,23 @@ def edit_path(x: list[bytes], y: list[bytes], most: int | None = None, spare: fl
     """
     n, m = len(x), len(y)
     levels: list[dict[int, int]] = []
+    best = 0.0  # the most that a path has gained
     while True:
         d, row = len(levels), {}
-        before = levels[-1] if levels else {}
+        get = levels[-1].get if levels else None
         for k in range(-min(d, m), min(d, n) + 1):
-            i = _reach(before, k, n, m) if d else 0
-            if i < 0:
-                continue
+            i = 0
+            if get:  # as _reach does
+                i = -1
+                if (at := get(k, n)) < n and at - k < m:
+                    i = at + 1
+                if (at := get(k - 1, n)) < n and at >= i:
+                    i = at + 1
+                at = get(k + 1, -1)
+                if at > i and at - k <= m:
+                    i = at
+                if i < 0:
+                    continue
             j = i - k
             while i < n and j < m and x[i] == y[j]:
                 i, j = i + 1, j + 1
@@ -367,7 +406,13 @@ def edit_path(x: list[bytes], y: list[bytes], most: int | None = None, spare: fl
             if row.get(n - m) == n:
                 d, k = len(levels) - 1, n - m
                 break
-        elif d == most or not row:
+            continue
+        if spare > 0:  # both ends reached: no later path reaches further
+            done = row.get(n - m) == n and (n + m) / 2 - 5 * d >= -spare
+        else:  # no later path can gain more
+            best = max([best, *(i - k / 2 - 5 * d for k, i in row.items())])
+            done = min((n + m) / 2, min(n, m) + (d + 1) / 2) - 5 * (d + 1) <= best
+        if done or d == most or not row:
             value = lambda d, k: (2 * levels[d][k] - k) / 2 - 5 * d
             ends = [(d, k) for d, r in enumerate(levels) for k in r]
             d, k = max(ends, key=lambda e: (value(*e), -e[0]))
@@ -497,7 +542,7 @@ def _passages(known: DataFrame, k: int = K, window: int = WINDOW, min_words: int
     span = max(k + window, min_words - 3 * (window - 1))
     linked = staged(chains(matches(known, k, window), min_words, span=span, k=k, window=window), "chains")
     found = staged(aligned(linked.where("span is null"), known, k, min_words, min_similarity), "passages")
-    more = chains(span_matches(linked.where("span is not null").select("b", "span", "start", "stop"), found, k), min_words, k=k, cover=True)
+    more = chains(span_matches(linked.where("span is not null").select("b", "span", "start", "stop", "lane"), found, k), min_words, k=k, cover=True)
     return found.unionByName(aligned(more, known, k, min_words, min_similarity)).distinct()
 
 

@@ -715,3 +715,18 @@ def test_viterbi_matches_the_library(spark, odd):
     assert out.count() == 13 and {"doc_id", "n_pieces", "score", "bucket"} <= set(out.columns)
     assert {r.n_pieces for r in out.where("doc_id in (1, 2)").collect()} == {0}
     assert viterbi.count_tokens(odd.limit(0)).count() == 0
+
+
+def test_passages_of_words_over_and_over_ask_for_few_spans(spark):
+    """A run of two words over and over: spans and passages by its length in passages, not one for each place in it; all its words are found."""
+    rng = np.random.default_rng(11)
+    other = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 10**9, n))
+    runs = [" ".join(["is onhe."] * 400) for _ in range(6)]
+    docs = spark.createDataFrame([(i, f"{other(40)} {r} {other(40)}") for i, r in enumerate(runs)], "doc_id long, text string")
+    linked = passages.chains(passages.matches(docs), passages.MIN_WORDS, span=35)
+    spans = linked.where("span is not null").groupBy("b").count().collect()
+    assert len(spans) == 6 and all(r[1] <= 800 // 35 * 2 for r in spans)
+    found = passages.find_passages(docs).collect()
+    assert all(r.ref_id == 0 for r in found) and len(found) <= 5 * 800 // 35 * 2
+    for i in range(1, 6):
+        assert set(range(40, 840)) <= {w for r in found if r.doc_id == i for w in range(r.from_word, r.to_word)}
